@@ -8,7 +8,8 @@ from driver_queries.registry import query
 from touchline.constants import SNAPSHOT_COLUMNS
 from touchline.operators import lookups
 from touchline.operators.ranking import best_first
-from touchline.schemas import ENTITY, FIXTURE, TEAM
+from touchline.plans import read_query
+from touchline.schemas import ENTITY, FIXTURE, PERIOD, TEAM
 from touchline.session import new_folder
 from touchline.sources import readers, writers
 from touchline.streaming.refresh import refresh
@@ -97,6 +98,66 @@ def _entity_rows(spark, sf_dir):
     return rows.select(*[F.col(f.name).cast(f.dataType) for f in known])
 
 
+@query(
+    "latest_copy",
+    b.with_(*CLAUSES, f"SELECT id, {', '.join(KEPT)}, true AS stamped FROM snapshot"),
+)
+def latest_copy(spark, sf_dir):
+    """The copy of the newest rows, overwritten once, with its stamp."""
+    folder = new_folder(spark, "copies")
+    rows = _rows(spark, sf_dir)
+    writers.write_latest(rows.withColumn("minutes", F.lit(0).cast("long")), folder)
+    read = spark.read.parquet(writers.write_latest(rows, folder))
+    stamped = F.col("last_updated").rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d UTC$")
+    return read.select("id", *KEPT, stamped.alias("stamped"))
+
+
+@query(
+    "serve_predictions",
+    b.with_(
+        *CLAUSES,
+        """SELECT 5 AS gameweek, name, team, position, predicted_points, COALESCE(form, 0) AS form, id AS player_code,
+                  'https://resources.premierleague.com/premierleague/photos/players/110x140/p' || id || '.png' AS image_url,
+                  (SELECT count(*) FROM snapshot) AS total_players, 30 AS filtered_players
+           FROM snapshot WHERE regexp_matches(team, 'nation', 'i') AND position = 'MID'
+           ORDER BY predicted_points DESC, name LIMIT 30""",
+    ),
+)
+def serve_predictions(spark, sf_dir):
+    """Latest CSV, codes looked up by name, filtered, sorted and limited, with its counts."""
+    folder = new_folder(spark, "exports")
+    rows = b.snapshot(spark, sf_dir, *KEPT)
+    full = rows.select(
+        *[F.col(name) if name in rows.columns else F.lit(None).cast("string").alias(name) for name in SNAPSHOT_COLUMNS]
+    )
+    writers.export_csv(full, folder, 5, best_first("predicted_points", "name"))
+    source = b.players(spark, sf_dir, "first_name", "second_name", "code").withColumn("pos", F.col("code"))
+    shown, metadata = read_query.serve_predictions(spark, folder, source, team="nation", position="MID", limit=30)
+    counts = metadata.select("gameweek", "total_players", "filtered_players")
+    number = lambda name: counts.select(name).scalar().alias(name)
+    return shown.select(
+        number("gameweek"), "name", "team", "position", "predicted_points", "form", "player_code", "image_url",
+        number("total_players"), number("filtered_players").cast("int").alias("filtered_players"),
+    )
+
+
+@query(
+    "calendar_roundtrip",
+    b.with_(
+        b.FIXTURES_SQL,
+        b.CALENDAR_SQL,
+        "SELECT id, name, is_current, is_next, finished FROM calendar",
+    ),
+)
+def calendar_roundtrip(spark, sf_dir):
+    """The calendar landed as snapshot documents and read again."""
+    folder = new_folder(spark, "landing")
+    days = b.calendar(spark, sf_dir).select(*[F.col(f.name).cast(f.dataType) for f in PERIOD.fields])
+    writers.write_envelopes(days, folder, "events")
+    read = readers.calendar(readers.read_envelopes(spark, folder, one_per_line=True))
+    return read.select(F.col("id").cast("int").alias("id"), "name", "is_current", "is_next", "finished")
+
+
 @query(
     "envelope_roundtrip",
     b.with_(

@@ -132,7 +132,7 @@ def best_eleven_without_points(spark, sf_dir):
 LINES_SQL = """SELECT l_suppkey AS grp,
          l_orderkey || '/' || l_linenumber || '/' || l_partkey AS id,
          CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'GKP' WHEN 'NF' THEN 'DEF' WHEN 'RO' THEN 'MID' WHEN 'AO' THEN 'FWD' END AS position,
-         round(l_extendedprice / 10000, 4) AS points, l_quantity AS cost
+         l_extendedprice / 10000 AS points, l_quantity AS cost
   FROM lineitem WHERE l_returnflag || l_linestatus IN ('AF', 'NF', 'RO', 'AO')"""
 
 
@@ -144,7 +144,7 @@ def _line_squad(spark, sf_dir):
         F.col("l_suppkey").alias("team"),
         F.concat_ws("/", text_of("l_orderkey"), text_of("l_linenumber"), text_of("l_partkey")).alias("id"),
         position.alias("position"),
-        F.round(F.col("l_extendedprice") / 10000, 4).alias("predicted_points"),
+        (F.col("l_extendedprice") / 10000).alias("predicted_points"),
         F.col("l_quantity").alias("now_cost"),
     )
 

@@ -11,6 +11,7 @@ from touchline.constants import DEFAULT_DIFFICULTY, MISSING_OPPONENT
 from touchline.functions import numbers, text
 from touchline.operators.filters import not_finished, required
 from touchline.operators.lookups import keep_last, look_up
+from touchline.session import stage
 
 
 def with_team_names(fixtures: DataFrame, teams: DataFrame) -> DataFrame:
@@ -57,9 +58,12 @@ def target_period(calendar: DataFrame, fixtures: DataFrame, ordinal: str = "pos"
 
 
 def fixtures_of_target(calendar: DataFrame, fixtures: DataFrame, ordinal: str = "pos") -> DataFrame:
-    """Fixtures of the target period; under the fallback only its unfinished ones. No period at all is an error."""
+    """Fixtures of the target period; under the fallback only its unfinished ones. No period at all is an error.
+
+    The check sits in the subquery, which runs once before the filter, whatever the rows hold.
+    """
     target = target_period(calendar, fixtures, ordinal)
-    period = required(target.select("gameweek").scalar(), "No upcoming fixtures found.")
+    period = target.select(required(F.col("gameweek"), "No upcoming fixtures found.")).scalar()
     unplanned = target.select("is_fallback").scalar()
     return fixtures.where((F.col("event") == period) & (~unplanned | not_finished(F.col("finished"))))
 
@@ -114,7 +118,12 @@ def fixture_info(
 
 
 def attach_fixture(entities: DataFrame, info: DataFrame) -> DataFrame:
-    """Left lookup by team; an entity without a fixture gets each column's own default."""
+    """Left lookup by team; an entity without a fixture gets each column's own default.
+
+    The info is written first: it holds a row per team, but Catalyst estimates it from the size of all fixtures and
+    would shuffle every entity by team. From the written table it knows the size, and broadcasts it if it is small.
+    """
+    info = stage(info, "fixture-info")
     taken = {
         "is_home": "is_home",
         "opponent": "opponent",

@@ -69,6 +69,8 @@ def rank_rows(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), al
         "_part",
         (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
     )
+    # Written too, so that the join knows its size and need not move the rows when it is small.
+    starts = stage(starts, "rank-starts")
     rows = slots.withColumn("_row_part", part)
     same_run = rows["_row_part"] == starts["_part"]
     for name in by:

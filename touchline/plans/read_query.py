@@ -1,12 +1,16 @@
-"""The read query: filter, sort, limit, fill."""
+"""Queries on a published snapshot: filter, sort, limit, fill; and the same with names and images looked up."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from touchline.operators.filters import matching_rows
+from touchline.functions import text
+from touchline.operators.filters import NoRowsError, matching_rows
+from touchline.operators.lookups import enrich_by_name
 from touchline.operators.ranking import requested_order, take_sorted
 from touchline.operators.schema import fill_missing
+from touchline.sources import readers, writers
 
 
 def predictions_query(
@@ -27,3 +31,34 @@ def predictions_query(
     if sort_by in df.columns or limit > 0:
         rows = take_sorted(rows, order, limit)
     return fill_missing(rows, fill_strings)
+
+
+def with_image_address(df: DataFrame, source: DataFrame | None) -> DataFrame:
+    """Code by full name from the entity rows of ``source``, and the address built from it."""
+    if source is not None:
+        name = text.full_name(F.col("first_name"), F.col("second_name"))
+        source = source.select(name.alias("full_name"), "code", "pos")
+    enriched = enrich_by_name(df, source)
+    return enriched.withColumn("image_url", text.image_address(F.col("player_code")))
+
+
+def with_image_sources(df: DataFrame) -> DataFrame:
+    """Addresses to try per entity, in order, and the initials of its name."""
+    avatar = text.avatar_address(F.col("name"), F.col("position"))
+    stored = [F.col(f"image_url_{place}") for place in ("primary", "secondary", "tertiary")]
+    sources = text.image_sources(*stored, F.col("player_code"), avatar)
+    return df.withColumns({"image_sources": sources, "initials": text.initials(F.col("name"))})
+
+
+def serve_predictions(
+    spark: SparkSession, folder: str, source: DataFrame | None = None, **arguments
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of the latest CSV snapshot that ``predictions_query`` selects, and their one-row metadata."""
+    period = readers.latest_period(spark, folder)
+    if period is None:
+        raise NoRowsError("No prediction CSV files found")
+    path = readers.snapshot_path(folder, period)
+    everything = with_image_address(readers.read_predictions(spark, path), source)
+    shown = predictions_query(everything, **{"tiebreak": "name", **arguments})
+    file = path.rsplit("/", 1)[-1]
+    return shown, writers.response_metadata(everything, shown, period, file)

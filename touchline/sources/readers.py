@@ -48,10 +48,20 @@ def read_fixtures(spark: SparkSession, path: str, one_per_line: bool = False, sc
 
 
 def read_predictions(spark: SparkSession, path: str | list[str], infer: bool = False) -> DataFrame:
-    """CSV snapshot with a header; blank lines are dropped."""
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    reader = reader.option("inferSchema", True) if infer else reader.schema(PREDICTIONS)
-    return reader.csv(path)
+    """CSV snapshot with a header; blank lines are dropped and an empty cell is missing.
+
+    ``infer`` looks at the values instead of the declared schema, for numbers and booleans only: a text such as ``T10``
+    would otherwise be taken for a time.
+    """
+    options = {"header": True, "mode": "PERMISSIVE"}
+    schema = PREDICTIONS
+    if infer:
+        found = spark.read.options(inferSchema=True, **options).csv(path).schema
+        kept_as_text = (T.DateType, T.TimestampType, T.TimestampNTZType, T.TimeType)
+        schema = T.StructType(
+            [T.StructField(f.name, T.StringType() if isinstance(f.dataType, kept_as_text) else f.dataType) for f in found]
+        )
+    return spark.read.options(**options).schema(schema).csv(path)
 
 
 def latest_period(spark: SparkSession, folder: str) -> int | None:
