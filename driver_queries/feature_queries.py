@@ -12,6 +12,7 @@ from touchline.operators.features import feature_matrix, prepare_entities
 from touchline.operators.filters import active_rows
 from touchline.operators.schema import coerce_numbers
 from touchline.operators.stats import scaled_by_maximum
+from touchline.session import stage
 
 
 def _rounded(df, *names):
@@ -202,11 +203,12 @@ _ZERO = ", ".join(
     ),
 )
 def features(spark, sf_dir):
-    """All 27 features of every player, with fixture context; absent ones are 0."""
+    """All 27 features of every player, with fixture context; absent ones are 0. The players are written once, so that
+    the maximum of form comes from them and not from a second pass over the order lines."""
     rows = b.players(spark, sf_dir)
     named = lookups.look_up(rows, b.teams(spark, sf_dir), {"team_id": "id"}, {"team": "name"})
-    with_context = pairings.attach_fixture(named, _info(spark, sf_dir))
-    matrix = feature_matrix(prepare_entities(with_context, b.players(spark, sf_dir, "form")))
+    with_context = stage(pairings.attach_fixture(named, _info(spark, sf_dir)), "entities")
+    matrix = feature_matrix(prepare_entities(with_context))
     return matrix.select("id", *[F.round(name, 6).alias(name) for name in FEATURES])
 
 

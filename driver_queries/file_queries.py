@@ -10,7 +10,7 @@ from touchline.operators import lookups
 from touchline.operators.ranking import best_first
 from touchline.plans import read_query
 from touchline.schemas import ENTITY, FIXTURE, PERIOD, TEAM
-from touchline.session import new_folder
+from touchline.session import new_folder, stage
 from touchline.sources import readers, writers
 from touchline.streaming.refresh import refresh
 
@@ -18,7 +18,14 @@ KEPT = ["name", "team", "position", "predicted_points", "now_cost", "form", "min
 
 
 def _rows(spark, sf_dir):
-    return b.snapshot(spark, sf_dir, "id", *KEPT)
+    """Written once, for each of these queries writes them several times over."""
+    return stage(b.snapshot(spark, sf_dir, "id", *KEPT), "snapshot")
+
+
+def _full_width(rows):
+    """All snapshot columns, empty where the rows lack them."""
+    missing = lambda name: F.lit(None).cast("string").alias(name)
+    return rows.select(*[F.col(name) if name in rows.columns else missing(name) for name in SNAPSHOT_COLUMNS])
 
 
 @query("snapshot_roundtrip", b.with_(*CLAUSES, f"SELECT 9 AS gameweek, id, {', '.join(KEPT)} FROM snapshot"))
@@ -44,9 +51,9 @@ def latest_snapshot(spark, sf_dir):
         shifted = rows.withColumn("predicted_points", F.col("predicted_points") + period)
         writers.export_csv(shifted, folder, period)
     schema = "name STRING, team STRING, position STRING, predicted_points DOUBLE, now_cost DOUBLE, form DOUBLE, minutes BIGINT"
-    path = readers.snapshot_path(folder, readers.latest_period(spark, folder))
-    read = spark.read.schema(schema).option("header", True).csv(path)
-    return read.select(F.lit(readers.latest_period(spark, folder)).alias("gameweek"), *KEPT)
+    period = readers.latest_period(spark, folder)
+    read = spark.read.schema(schema).option("header", True).csv(readers.snapshot_path(folder, period))
+    return read.select(F.lit(period).alias("gameweek"), *KEPT)
 
 
 @query("latest_partition", b.with_(*CLAUSES, LATEST))
@@ -68,10 +75,7 @@ def csv_snapshot_schema(spark, sf_dir):
     """A full-width CSV snapshot read with its declared schema."""
     folder = new_folder(spark, "exports")
     rows = _rows(spark, sf_dir)
-    full = rows.select(
-        *[F.col(name) if name in rows.columns else F.lit(None).cast("string").alias(name) for name in SNAPSHOT_COLUMNS]
-    )
-    writers.export_csv(full, folder, 3)
+    writers.export_csv(_full_width(rows), folder, 3)
     read = readers.read_latest(spark, folder)
     return read.select("name", "team", "position", F.round("predicted_points", 4).alias("predicted_points"), "minutes")
 
@@ -84,10 +88,7 @@ def first_available(spark, sf_dir):
     """The first source does not exist, so the rows come from the CSV copy."""
     folder = new_folder(spark, "exports")
     rows = _rows(spark, sf_dir)
-    full = rows.select(
-        *[F.col(name) if name in rows.columns else F.lit(None).cast("string").alias(name) for name in SNAPSHOT_COLUMNS]
-    )
-    path = writers.export_csv(full, folder, 4)
+    path = writers.export_csv(_full_width(rows), folder, 4)
     found, _ = readers.read_first_available(spark, [("json", f"{folder}/predictions.json"), ("csv", path)])
     return found.groupBy("team").agg(F.count(F.lit(1)).alias("rows"), F.max("predicted_points").alias("best"))
 
@@ -126,11 +127,8 @@ def latest_copy(spark, sf_dir):
 def serve_predictions(spark, sf_dir):
     """Latest CSV, codes looked up by name, filtered, sorted and limited, with its counts."""
     folder = new_folder(spark, "exports")
-    rows = b.snapshot(spark, sf_dir, *KEPT)
-    full = rows.select(
-        *[F.col(name) if name in rows.columns else F.lit(None).cast("string").alias(name) for name in SNAPSHOT_COLUMNS]
-    )
-    writers.export_csv(full, folder, 5, best_first("predicted_points", "name"))
+    rows = _rows(spark, sf_dir)
+    writers.export_csv(_full_width(rows), folder, 5, best_first("predicted_points", "name"))
     source = b.players(spark, sf_dir, "first_name", "second_name", "code").withColumn("pos", F.col("code"))
     shown, metadata = read_query.serve_predictions(spark, folder, source, team="nation", position="MID", limit=30)
     counts = metadata.select("gameweek", "total_players", "filtered_players")
@@ -236,7 +234,7 @@ def refresh_stream(spark, sf_dir):
     """Two runs of the refresh: the first sees period 9 in part, the second the rest of it and period 10."""
     base = new_folder(spark, "refresh")
     landing, published, checkpoint = f"{base}/landing", f"{base}/published", f"{base}/state"
-    rows = _entity_rows(spark, sf_dir)
+    rows = stage(_entity_rows(spark, sf_dir), "entities")
 
     def build(documents):
         items = documents.select("gameweek", F.explode("elements").alias("e"))

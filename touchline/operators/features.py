@@ -16,13 +16,15 @@ from touchline.operators.stats import scaled_by_maximum
 PREFIX = "feature_"
 
 
-def prepare_entities(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
-    """Numeric fields as numbers, and form scaled by its maximum (taken from ``source`` when that is cheaper to read)."""
+def prepare_entities(df: DataFrame) -> DataFrame:
+    """Numeric fields as numbers, and form scaled by its maximum.
+
+    The maximum reads ``df`` once more, so stage one that is costly to compute.
+    """
     ready = coerce_numbers(df, NUMERIC_FIELDS)
     if "form" not in df.columns:
         return ready.withColumn("form_normalized", F.lit(0.0))
-    form_only = None if source is None else coerce_numbers(source.select("form"), ["form"])
-    return scaled_by_maximum(ready, "form", "form_normalized", form_only)
+    return scaled_by_maximum(ready, "form", "form_normalized")
 
 
 def _number(df: DataFrame, name: str, absent: float | None, fill: float | None = None) -> Column:

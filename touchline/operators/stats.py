@@ -45,12 +45,9 @@ def prediction_statistics(df: DataFrame) -> DataFrame:
     )
 
 
-def scaled_by_maximum(df: DataFrame, column: str, alias: str, source: DataFrame | None = None) -> DataFrame:
-    """``column`` over its global maximum, 0 when that is 0 or missing.
-
-    The maximum is a scalar subquery; ``source`` may name a cheaper table with the same values.
-    """
-    largest = (source if source is not None else df).agg(F.max(column)).scalar()
+def scaled_by_maximum(df: DataFrame, column: str, alias: str) -> DataFrame:
+    """``column`` over its global maximum, 0 when that is 0 or missing; the maximum is a scalar subquery."""
+    largest = df.agg(F.max(column)).scalar()
     return df.withColumn(alias, F.when(largest != 0, F.col(column) / largest).otherwise(F.lit(0.0)))
 
 

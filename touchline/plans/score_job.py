@@ -103,6 +103,7 @@ def run(
     rows = keep_present(scored, [key, *SNAPSHOT_COLUMNS]).withColumn("gameweek", F.lit(period))
     path = None
     if folder is not None:
+        rows = stage(rows, "scored")  # the sort reads its input twice, which would apply the forest twice
         order = best_first(model.PREDICTION, key)
         writers.publish(rows, f"{folder}/predictions", order)
         rows = in_period(rows.sparkSession.read.parquet(f"{folder}/predictions"), period, "gameweek")
