@@ -105,6 +105,31 @@ def display_format(spark, sf_dir):
     return schema.display_table(b.snapshot(spark, sf_dir, *columns), keep=["id"])
 
 
+TWO = "printf('%.2f', round({0}, 2))"
+
+
+@query(
+    "display_all_columns",
+    b.with_(
+        *CLAUSES,
+        f"""SELECT id, name AS Player, team AS Team, COALESCE(position, '-') AS Pos,
+                   {ONE.format('predicted_points')} AS "Pred Pts", {ONE.format('now_cost')} AS Price,
+                   {ONE.format('points_per_game')} AS PPG, COALESCE({ONE.format('form')}, '-') AS Form,
+                   CAST(minutes AS VARCHAR) AS Minutes, CAST(goals_scored AS VARCHAR) AS Goals,
+                   CAST(assists AS VARCHAR) AS Assists, {TWO.format('points_per_game * 0.06E0')} AS xG,
+                   CAST(clean_sheets AS VARCHAR) AS CS, CASE WHEN minutes > 100 THEN 'H' ELSE 'A' END AS "H/A",
+                   COALESCE(CAST(CAST(chance_of_playing_this_round AS INTEGER) AS VARCHAR), '-') AS "Play %"
+            FROM (SELECT * REPLACE (round(predicted_points, 4) AS predicted_points) FROM snapshot)""",
+    ),
+)
+def display_all_columns(spark, sf_dir):
+    """Every catalogue column the data has, with two decimals, flags and missing values among them."""
+    rows = b.snapshot(spark, sf_dir).withColumns(
+        {"expected_goals": F.col("points_per_game") * 0.06, "is_home": F.col("minutes") > 100}
+    )
+    return schema.display_table(rows, [key for key, *_ in schema.COLUMN_CATALOGUE], keep=["id"])
+
+
 @query(
     "detail_card",
     b.with_(

@@ -47,7 +47,8 @@ def rank_lines_in_status(spark, sf_dir):
 )
 def topk_per_position(spark, sf_dir):
     order = ranking.best_first("p_retailprice", "p_partkey")
-    return ranking.top_per_group(_parts(spark, sf_dir), ["p_brand", "p_type"], order, 5)
+    top = ranking.top_per_group(_parts(spark, sf_dir), ["p_brand", "p_type"], order, 5)
+    return top.withColumn("rank", F.col("rank").cast("long"))
 
 
 FORMATIONS_SQL = """formations(pref, formation, d, m, f) AS (

@@ -25,7 +25,7 @@ def team_lookup(spark, sf_dir):
     """Id to name, code to label, full name; the last row of a repeated team id wins."""
     rows = b.players(spark, sf_dir, "id", "first_name", "second_name", "team_id", "element_type")
     teams = select_renamed(b.teams(spark, sf_dir), {"id": "team_key", "name": "team_name", "strength": "strength"})
-    teams = lookups.keep_last(teams, ["team_key"], ["team_name"])
+    teams = lookups.lookup_table(teams, ["team_key"], ["team_name"])
     named = lookups.look_up(rows, teams, {"team_id": "team_key"}, {"team": "team_name"})
     return named.select(
         "id",

@@ -1,7 +1,7 @@
 """Equi-lookups on dimensions, and one row per key.
 
 No side is hinted for broadcast: Catalyst broadcasts a dimension whose size it knows to be small, and adaptive execution
-splits hot keys where it is not.
+splits hot keys where it is not. For both, a dimension must be a table and not the result of an aggregation.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.session import stage
+
 MATCHED = "_matched"
 
 
@@ -30,6 +32,16 @@ def keep_first(df: DataFrame, keys: Sequence[str], ordinal: Sequence[str]) -> Da
     return _one_per_key(df, keys, ordinal, F.min_by)
 
 
+def lookup_table(df: DataFrame, keys: Sequence[str], ordinal: Sequence[str]) -> DataFrame:
+    """The last row per key, written as a table to look up in.
+
+    Joined straight from its aggregation, a dimension shares the aggregation's shuffle, and adaptive execution then
+    cannot split a hot key of the other side; nor does Catalyst know how small the dimension is. The written table has
+    neither fault.
+    """
+    return stage(keep_last(df, keys, ordinal), "lookup")
+
+
 def look_up(
     df: DataFrame,
     dim: DataFrame,
@@ -82,7 +94,6 @@ def enrich_by_name(
     """
     if source is None:
         return df.withColumn(code, F.lit(None).cast("long"))
-    latest = source.groupBy("full_name").agg(
-        F.max_by("code", F.struct(*[F.col(column) for column in ordinal])).alias("code")
-    )
+    ordered = source.select("full_name", "code", *[F.col(column).alias(f"_at_{i}") for i, column in enumerate(ordinal)])
+    latest = lookup_table(ordered, ["full_name"], [f"_at_{i}" for i in range(len(ordinal))])
     return look_up(df, latest, {name: "full_name"}, {code: "code"})

@@ -95,10 +95,11 @@ def last_side(rows: DataFrame, keys: Sequence[str] = ("team",), ordinal: Sequenc
 
 
 def difficulty_table(teams: DataFrame, ordinal: str = "id", invert: bool = False) -> DataFrame:
-    """``team, difficulty``; the first row of a repeated name wins."""
+    """``team, difficulty``, written as a lookup table; the first row of a repeated name wins."""
     rating = numbers.difficulty_from_strength(F.col("strength"), invert)
     boxed = F.min_by(F.struct(rating.alias("difficulty")), F.col(ordinal))
-    return teams.groupBy(F.col("name").alias("team")).agg(boxed.alias("_first")).select("team", "_first.difficulty")
+    first = teams.groupBy(F.col("name").alias("team")).agg(boxed.alias("_first"))
+    return stage(first.select("team", "_first.difficulty"), "difficulty")
 
 
 def fixture_info(

@@ -93,7 +93,7 @@ def run(
     calendar_ordinal: str = "pos",
 ) -> Scored:
     """Score one snapshot and, with a ``folder``, publish it as table partition, CSV export and latest copy."""
-    distinct_teams = lookups.keep_last(teams, ["id"], ["pos"]) if "pos" in teams.columns else teams
+    distinct_teams = lookups.lookup_table(teams, ["id"], ["pos"]) if "pos" in teams.columns else teams
     period, fallback = resolve_period(calendar, fixtures, calendar_ordinal)
     info = context_of_period(fixtures, distinct_teams, period, fallback, fixture_ordinal)
     # Training reads the prepared rows once per tree level, and form is read once more for its maximum.
