@@ -57,7 +57,7 @@ FORMATIONS_SQL = """formations(pref, formation, d, m, f) AS (
 
 
 def _lineup_sql(candidates: str, body: str) -> tuple[str, ...]:
-    """``candidates`` yields grp, id, position, points, cost, and the columns that break ties in order k1, k2, k3."""
+    """``candidates`` yields grp, id, position, points and cost; the smaller id wins a tie."""
     return (
         FORMATIONS_SQL,
         f"candidates AS ({candidates})",

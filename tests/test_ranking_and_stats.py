@@ -21,7 +21,8 @@ def test_requested_order_puts_missing_last(spark):
 
 
 def test_client_order(spark):
-    df = spark.createDataFrame([(1, -1.0, "b"), (2, None, None), (3, 1.0, "a")], "id int, v double, s string")
+    df = spark.createDataFrame([(1, -1.0, "b", True), (2, None, None, None), (3, 1.0, "a", False)], "id int, v double, s string, f boolean")
+    assert _values(df.orderBy(*ranking.client_order(df, "f", "asc")), "id") == [2, 3, 1]
     assert _values(df.orderBy(*ranking.client_order(df, "v", "asc")), "v") == [-1.0, None, 1.0]
     assert _values(df.orderBy(*ranking.client_order(df, "v", "desc")), "v") == [1.0, None, -1.0]
     assert _values(df.orderBy(*ranking.client_order(df, "s", "asc")), "s") == ["a", "b", None]

@@ -12,7 +12,8 @@ _NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)\s*$"
 
 
 def without_nan(value: Column) -> Column:
-    return F.when(~F.isnan(value), value)
+    """A double, missing where it is not a number: Spark would take NaN for the largest value of all."""
+    return F.nanvl(value, F.lit(None).cast("double"))
 
 
 def read_number(text: Column, fill: float | None = None) -> Column:
@@ -23,11 +24,11 @@ def read_number(text: Column, fill: float | None = None) -> Column:
 
 def at_least(value: Column, floor: float) -> Column:
     """``greatest`` would skip the missing operand and return the floor."""
-    return F.when(value.isNotNull(), F.greatest(value.cast("double"), F.lit(float(floor))))
+    return F.when(value < floor, F.lit(float(floor))).otherwise(value.cast("double"))
 
 
 def at_most(value: Column, ceiling: float) -> Column:
-    return F.when(value.isNotNull(), F.least(value.cast("double"), F.lit(float(ceiling))))
+    return F.when(value > ceiling, F.lit(float(ceiling))).otherwise(value.cast("double"))
 
 
 def clamped_ratio(numerator: Column, denominator: Column, floor: float) -> Column:

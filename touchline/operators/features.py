@@ -32,7 +32,7 @@ def _number(df: DataFrame, name: str, absent: float | None, fill: float | None =
     if name not in df.columns:
         return F.lit(None if absent is None else float(absent)).cast("double")
     if isinstance(df.schema[name].dataType, T.StringType):
-        number = numbers.without_nan(numbers.read_number(F.col(name)))
+        number = numbers.read_number(F.col(name))
     else:
         number = numbers.without_nan(F.col(name).cast("double"))
     return number if fill is None else F.coalesce(number, F.lit(float(fill)))

@@ -18,6 +18,8 @@ MATCHED = "_matched"
 
 def _one_per_key(df: DataFrame, keys: Sequence[str], ordinal: Sequence[str], pick) -> DataFrame:
     rest = [name for name in df.columns if name not in keys]
+    if not rest:
+        return df.select(*keys).distinct()
     row = F.struct(*[F.col(name) for name in rest])
     order = F.struct(*[F.col(name) for name in ordinal])
     return df.groupBy(*keys).agg(pick(row, order).alias("_row")).select(*keys, *[F.col("_row")[name].alias(name) for name in rest])

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.constants import FEATURES
@@ -30,7 +30,7 @@ def with_label(df: DataFrame, target: str = "points_per_game") -> DataFrame:
     return df.withColumn(LABEL, F.coalesce(F.col(target).cast("double"), F.lit(0.0)))
 
 
-def in_training_share(key: str = "id", share: int = 80, seed: int = 42):
+def in_training_share(key: str = "id", share: int = 80, seed: int = 42) -> Column:
     """Repeatable row-by-row choice by a hash of the key; it does not depend on partitioning."""
     return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100)) < share
 
@@ -71,8 +71,6 @@ def fit_quality(model: RandomForestRegressionModel, training: DataFrame, testing
 
 def importance(model: RandomForestRegressionModel, features: Sequence[str] = FEATURES, top: int = 5) -> DataFrame:
     """The features with the largest importance; the table has one row per feature."""
-    from pyspark.sql import SparkSession
-
     rows = [(name, float(weight)) for name, weight in zip(features, model.featureImportances.toArray())]
     table = SparkSession.active().createDataFrame(rows, "feature string, importance double")
     return table.orderBy(F.desc("importance"), "feature").limit(top)

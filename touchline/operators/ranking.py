@@ -32,10 +32,11 @@ def requested_order(
 
 
 def client_order(df: DataFrame, sort_by: str = "predicted_points", sort_order: str = "desc", tiebreak: str = "id") -> list[Column]:
-    """Missing numbers sort as 0; missing texts sort last."""
+    """Missing numbers sort as 0 and missing flags as false; missing texts sort last."""
     value = F.col(sort_by)
-    if isinstance(df.schema[sort_by].dataType, T.NumericType):
-        value = F.coalesce(value, F.lit(0))
+    kind = df.schema[sort_by].dataType
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        value = F.coalesce(value, F.lit(0).cast(kind))
     direction = value.asc_nulls_last() if sort_order == "asc" else value.desc_nulls_last()
     return [direction, F.asc(tiebreak)]
 
@@ -56,7 +57,7 @@ def rank_rows(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), al
 
     A window would bring a whole group to one task. Here rows are range-partitioned on group and order, so a hot group
     spreads over many tasks; each row is written with its slot, and a table of one row per task and group turns slots
-    into ranks. ``order`` must be total.
+    into ranks; its running sum is over that small table only. ``order`` must be total.
     """
     keys = [*[F.asc(name) for name in by], *order]
     laid_out = df.repartitionByRange(*keys).sortWithinPartitions(*keys)

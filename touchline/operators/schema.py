@@ -45,7 +45,7 @@ def coerce_numbers(df: DataFrame, columns: Iterable[str], fill: float | None = 0
         if name not in df.columns:
             continue
         if isinstance(df.schema[name].dataType, T.StringType):
-            number = without_nan(read_number(F.col(name)))
+            number = read_number(F.col(name))
         else:
             number = without_nan(F.col(name).cast("double"))
         read[name] = number if fill is None else F.coalesce(number, F.lit(float(fill)))
