@@ -168,7 +168,7 @@ def calendar_roundtrip(spark, sf_dir):
 def envelope_roundtrip(spark, sf_dir):
     """Players and teams landed as snapshot documents, read and joined again."""
     folder = new_folder(spark, "landing")
-    writers.write_envelopes(_entity_rows(spark, sf_dir), folder, "elements")
+    writers.write_envelopes(stage(_entity_rows(spark, sf_dir), "entities"), folder, "elements")
     team_rows = b.teams(spark, sf_dir).select(*[F.col(f.name).cast(f.dataType) for f in TEAM.fields])
     writers.write_envelopes(team_rows, folder, "teams")
     envelopes = readers.read_envelopes(spark, folder, one_per_line=True)

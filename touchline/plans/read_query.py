@@ -58,7 +58,11 @@ def serve_predictions(
     if period is None:
         raise NoRowsError("No prediction CSV files found")
     path = readers.snapshot_path(folder, period)
-    everything = with_image_address(readers.read_predictions(spark, path), source)
-    shown = predictions_query(everything, **{"tiebreak": "name", **arguments})
-    file = path.rsplit("/", 1)[-1]
-    return shown, writers.response_metadata(everything, shown, period, file)
+    rows = readers.read_predictions(spark, path)
+    shown = predictions_query(with_image_address(rows, source), **{"tiebreak": "name", **arguments})
+    # The counts need neither the lookup nor the sort.
+    conditions = {name: arguments[name] for name in ("team", "position", "search", "literal") if name in arguments}
+    matching = matching_rows(rows, **conditions)
+    limit = arguments.get("limit", 0)
+    counted = matching.limit(limit) if limit > 0 else matching
+    return shown, writers.response_metadata(rows, counted, period, path.rsplit("/", 1)[-1])

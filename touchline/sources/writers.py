@@ -60,7 +60,10 @@ def response_metadata(total: DataFrame, shown: DataFrame, period: int, file: str
 
 
 def chunked(df: DataFrame, key: str, rows_per_chunk: int) -> DataFrame:
-    """Rows packed as arrays (``items``) of about ``rows_per_chunk``; a hash of the unique key keeps the arrays even."""
+    """Rows packed as arrays (``items``) of about ``rows_per_chunk``; a hash of the unique key keeps the arrays even.
+
+    Counting reads ``df`` once more, so stage one that is costly to compute.
+    """
     chunks = df.agg(F.greatest(F.ceil(F.count(F.lit(1)) / rows_per_chunk), F.lit(1))).scalar()
     number = F.pmod(F.xxhash64(key), chunks)
     packed = df.select(number.alias("_chunk"), F.struct("*").alias("_row")).groupBy("_chunk")
