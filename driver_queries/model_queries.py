@@ -9,7 +9,10 @@ from touchline.operators import lookups, model, pairings
 from touchline.operators.features import prepare_entities
 from touchline.operators.filters import active_rows
 from touchline.plans import score_job
+from touchline.schemas import ENTITY, PERIOD, TEAM
 from touchline.session import new_folder, stage
+from touchline.sources import writers
+from touchline.streaming import refresh
 
 TREES, DEPTH = 20, 5
 LEAKING = ["points_per_game", "value_indicator", "consistency_score", "recent_form_trend"]
@@ -72,3 +75,23 @@ def end_to_end(spark, sf_dir):
         DEPTH,
     )
     return result.rows
+
+
+@query("refresh_scores")
+def refresh_scores(spark, sf_dir):
+    """Players, teams and calendar landed as a snapshot, scored by the refresh; returns the latest copy."""
+    base = new_folder(spark, "scores")
+    landing = f"{base}/landing/gameweek=1"
+
+    def land(rows, array, schema):
+        shaped = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields if f.name in rows.columns])
+        writers.write_envelopes(stage(shaped, array), landing, array)
+
+    land(_entities(spark, sf_dir), "elements", ENTITY)
+    land(b.teams(spark, sf_dir), "teams", TEAM)
+    land(b.calendar(spark, sf_dir), "events", PERIOD)
+    refresh.refresh_scores(
+        spark, f"{base}/landing", b.fixtures(spark, sf_dir), f"{base}/published", f"{base}/state",
+        trees=TREES, depth=DEPTH, calendar_ordinal="id",
+    )
+    return spark.read.parquet(f"{base}/published/latest").select("id", "name", "team", "gameweek", "predicted_points", "last_updated")

@@ -8,6 +8,8 @@ from touchline.constants import FEATURES, SNAPSHOT_COLUMNS
 from touchline.operators import model
 from touchline.operators.features import feature_matrix, prepare_entities
 from touchline.plans import score_job
+from touchline.sources import readers
+from touchline.streaming import refresh
 
 
 def _element(i, generator):
@@ -72,6 +74,24 @@ def test_job(spark, landed, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/latest").count() == 240
 
 
+def test_refresh_scores(spark, landed, tmp_path):
+    """A second landed snapshot moves the calendar on; the first period stays published."""
+    envelope = json.loads((landed / "snapshot.json").read_text())
+    fixtures = readers.read_fixtures(spark, str(landed / "fixtures.json"))
+    run = lambda: refresh.refresh_scores(
+        spark, str(tmp_path / "landing"), fixtures, str(tmp_path / "out"), str(tmp_path / "state"),
+        one_per_line=False, trees=3, depth=3,
+    )
+    for day, upcoming in ((1, 4), (2, 3)):
+        envelope["events"] = [{"id": upcoming, "name": "n", "is_current": False, "is_next": True, "finished": False}]
+        (tmp_path / f"landing/gameweek={day}").mkdir(parents=True)
+        (tmp_path / f"landing/gameweek={day}/s.json").write_text(json.dumps(envelope, indent=1))
+        run()
+    table = spark.read.parquet(str(tmp_path / "out/predictions"))
+    assert {r["gameweek"]: r["count"] for r in table.groupBy("gameweek").count().collect()} == {3: 240, 4: 240}
+    assert {r["gameweek"] for r in spark.read.parquet(str(tmp_path / "out/latest")).collect()} == {4}
+
+
 def test_published_partition_is_ordered(spark, tmp_path):
     from touchline.operators.ranking import best_first
     from touchline.sources.writers import publish

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from touchline.plans import score_job
 from touchline.schemas import ENVELOPE
 from touchline.sources import readers, writers
 
@@ -19,37 +20,31 @@ def landed(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField(PERIOD_COLUMN, T.IntegerType())])
 
 
-def refresh(
+def process_landed(
     spark: SparkSession,
     landing: str,
-    folder: str,
     checkpoint: str,
-    build: Callable[[DataFrame], DataFrame],
-    order: Sequence[Column] = (),
+    handle: Callable[[DataFrame, list[int]], None],
     schema: T.StructType = ENVELOPE,
     one_per_line: bool = True,
-    latest_copy: bool = True,
 ) -> None:
-    """Process what landed in ``landing/gameweek=<n>/`` and stop.
+    """Hand over what landed in ``landing/gameweek=<n>/`` since the last run, and stop.
 
-    ``build`` turns landed documents into rows to publish, ``gameweek`` included. A period may land in several files
-    over several runs, so each touched period is rebuilt from all its files and its partition replaced as a whole: the
-    outcome does not depend on how files fall into batches, and a repeated batch gives the same table. The checkpoint
-    keeps the list of files seen.
+    A period may land in several files over several runs, so ``handle`` gets all documents of the touched periods, not
+    only the new ones, with the list of those periods. What it writes must replace a period as a whole: the outcome then
+    does not depend on how files fall into batches, and a repeated batch does no harm. The checkpoint keeps the list of
+    files seen.
     """
     whole = landed(schema)
-    multi_line = not one_per_line
-    published = f"{folder}/predictions"
+    options = {"multiLine": not one_per_line}
 
     def rebuild(batch: DataFrame, _batch_id: int) -> None:
-        session = batch.sparkSession
         touched = [row[0] for row in batch.select(PERIOD_COLUMN).distinct().collect()]  # one value per landed period
-        if not touched:
-            return
-        documents = session.read.schema(whole).option("multiLine", multi_line).json(landing)
-        writers.publish(build(documents.where(F.col(PERIOD_COLUMN).isin(touched))), published, order)
+        if touched:
+            documents = batch.sparkSession.read.schema(whole).options(**options).json(landing)
+            handle(documents.where(F.col(PERIOD_COLUMN).isin(touched)), sorted(touched))
 
-    stream = spark.readStream.schema(whole).option("multiLine", multi_line).json(landing)
+    stream = spark.readStream.schema(whole).options(**options).json(landing)
     query = (
         stream.writeStream.foreachBatch(rebuild)
         .option("checkpointLocation", checkpoint)
@@ -57,5 +52,47 @@ def refresh(
         .start()
     )
     query.awaitTermination()
-    if latest_copy:
-        writers.write_latest(readers.latest_partition(spark.read.parquet(published)), folder)
+
+
+def refresh(
+    spark: SparkSession,
+    landing: str,
+    folder: str,
+    checkpoint: str,
+    build: Callable[[DataFrame], DataFrame],
+    order: Sequence[Column] = (),
+    schema: T.StructType = ENVELOPE,
+    one_per_line: bool = True,
+) -> None:
+    """Publish what ``build`` makes of the landed documents (``gameweek`` included), and renew the latest copy."""
+    published = f"{folder}/predictions"
+
+    def publish(documents: DataFrame, _touched: list[int]) -> None:
+        writers.publish(build(documents), published, order)
+
+    process_landed(spark, landing, checkpoint, publish, schema, one_per_line)
+    writers.write_latest(readers.latest_partition(spark.read.parquet(published)), folder)
+
+
+def refresh_scores(
+    spark: SparkSession,
+    landing: str,
+    fixtures: DataFrame,
+    folder: str,
+    checkpoint: str,
+    one_per_line: bool = True,
+    **settings,
+) -> None:
+    """Run the scoring job once per landed snapshot, oldest first, and renew the latest copy.
+
+    The calendar in a snapshot names the period that its scores are published under.
+    """
+
+    def score(documents: DataFrame, touched: list[int]) -> None:
+        for period in touched:
+            snapshot = documents.where(F.col(PERIOD_COLUMN) == period)
+            parts = (readers.entities(snapshot), readers.teams(snapshot), readers.calendar(snapshot))
+            score_job.run(*parts, fixtures, folder, **settings)
+
+    process_landed(spark, landing, checkpoint, score, one_per_line=one_per_line)
+    writers.write_latest(readers.latest_partition(spark.read.parquet(f"{folder}/predictions")), folder)
