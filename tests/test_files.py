@@ -157,6 +157,8 @@ def test_refresh(spark, tmp_path):
         latest = spark.read.parquet(f"{out}/latest")
         return {r["gameweek"]: r["count"] for r in table.groupBy("gameweek").count().collect()}, latest.select("gameweek").distinct().collect()
 
+    (tmp_path / "landing").mkdir()
+    refresh(spark, landing, out, state, _build)  # nothing landed yet
     land(9, 0, 30)
     assert run()[0] == {9: 30}
     land(9, 30, 50)

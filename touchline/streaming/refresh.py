@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +55,17 @@ def process_landed(
     query.awaitTermination()
 
 
+def renew_latest(spark: SparkSession, folder: str) -> None:
+    """Copy the newest published period; before anything is published there is nothing to do."""
+    try:
+        published = spark.read.parquet(f"{folder}/predictions")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return
+        raise
+    writers.write_latest(readers.latest_partition(published), folder)
+
+
 def refresh(
     spark: SparkSession,
     landing: str,
@@ -65,13 +77,12 @@ def refresh(
     one_per_line: bool = True,
 ) -> None:
     """Publish what ``build`` makes of the landed documents (``gameweek`` included), and renew the latest copy."""
-    published = f"{folder}/predictions"
 
     def publish(documents: DataFrame, _touched: list[int]) -> None:
-        writers.publish(build(documents), published, order)
+        writers.publish(build(documents), f"{folder}/predictions", order)
 
     process_landed(spark, landing, checkpoint, publish, schema, one_per_line)
-    writers.write_latest(readers.latest_partition(spark.read.parquet(published)), folder)
+    renew_latest(spark, folder)
 
 
 def refresh_scores(
@@ -95,4 +106,4 @@ def refresh_scores(
             score_job.run(*parts, fixtures, folder, **settings)
 
     process_landed(spark, landing, checkpoint, score, one_per_line=one_per_line)
-    writers.write_latest(readers.latest_partition(spark.read.parquet(f"{folder}/predictions")), folder)
+    renew_latest(spark, folder)
