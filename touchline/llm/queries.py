@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from touchline.llm import chat_format, exact_dedup, mixing, quality_rules, sql, url_filter
+from touchline.llm import bpe, chat_format, exact_dedup, line_dedup, mixing, near_dedup, quality_crf, quality_rules, secret_scan, sql, url_filter
+from touchline.llm.settings import TOKENIZER
 
 QUERIES = {}
 ORACLES = {}
@@ -57,3 +58,47 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_exact_dedup", sql.EXACT_DEDUP)
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def of_kinds(spans: Column, kinds: list[str]) -> Column:
+    return F.filter(spans, lambda s: s["kind"].isin(kinds))
+
+
+def base_digest(spans: Column) -> list[Column]:
+    kinds = [r.kind for r in secret_scan.BASE]
+    base = of_kinds(spans, kinds)
+    counts = [F.size(of_kinds(spans, [kind])).cast("long").alias(f"n_{kind}") for kind in kinds]
+    return [*counts, F.sha2(secret_scan.joined_spans(base), 256).alias("base_sha256"), secret_scan.joined_spans(spans).alias("spans")]
+
+
+@query("op1_secret_scan")
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents")).select("doc_id", *base_digest(F.col("secrets")))
+
+
+@query("op6_line_dedup", sql.LINE_DEDUP)
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op7_bpe")
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = bpe.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op3_near_dedup")
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op10_quality_classifier")
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -131,3 +131,14 @@ EXACT_DEDUP = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
+
+LINE_DEDUP = f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+split AS (SELECT n, doc_id, string_split(t, chr(10)) AS l FROM docs),
+lines AS (SELECT n, doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM split),
+keyed AS MATERIALIZED (SELECT *, {LOWERED.format(f"trim(line, {BLANKS})")} AS k FROM lines),
+repeated AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT n) >= 10),
+marked AS (SELECT keyed.*, repeated.k IS NOT NULL AS gone FROM keyed LEFT JOIN repeated ON keyed.k = repeated.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY n, doc_id"""
