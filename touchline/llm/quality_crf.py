@@ -119,7 +119,7 @@ def _blank(labels: list[int]) -> Model:
     return Model(flat, flat, flat, log(share / (1 - share)), 0.0, np.zeros((2, 2)))
 
 
-def train(sequences: list[np.ndarray], labels: list[int], turns: int = 120, rate: float = 0.15, ridge: float = 0.02) -> Model:
+def train(sequences: list[np.ndarray], labels: list[int], turns: int = 200, rate: float = 0.2, ridge: float = 0.0005) -> Model:
     """Maximum likelihood with every line labelled as its text, by Adam over forward and backward sums of all texts at once."""
     if len(set(labels)) < 2:
         return _blank(labels)
