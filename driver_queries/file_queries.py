@@ -5,14 +5,13 @@ from pyspark.sql import functions as F
 from driver_queries import bindings as b
 from driver_queries.read_queries import CLAUSES
 from driver_queries.registry import query
-from touchline.constants import SNAPSHOT_COLUMNS
-from touchline.operators import lookups
+from touchline.operators import lookups, ranking
 from touchline.operators.ranking import best_first
 from touchline.plans import read_query
 from touchline.schemas import ENTITY, FIXTURE, PERIOD, TEAM
 from touchline.session import new_folder, stage
 from touchline.sources import readers, writers
-from touchline.streaming.refresh import refresh
+from touchline.streaming.refresh import newest_rows, refresh
 
 KEPT = ["name", "team", "position", "predicted_points", "now_cost", "form", "minutes"]
 
@@ -22,12 +21,6 @@ def _rows(spark, sf_dir):
     return stage(b.snapshot(spark, sf_dir, "id", *KEPT), "snapshot")
 
 
-def _full_width(rows):
-    """All snapshot columns, empty where the rows lack them."""
-    missing = lambda name: F.lit(None).cast("string").alias(name)
-    return rows.select(*[F.col(name) if name in rows.columns else missing(name) for name in SNAPSHOT_COLUMNS])
-
-
 @query("snapshot_roundtrip", b.with_(*CLAUSES, f"SELECT 9 AS gameweek, id, {', '.join(KEPT)} FROM snapshot"))
 def snapshot_roundtrip(spark, sf_dir):
     """Published as a table partition twice, the second time over the first."""
@@ -50,10 +43,7 @@ def latest_snapshot(spark, sf_dir):
     for period in (2, 9, 10):
         shifted = rows.withColumn("predicted_points", F.col("predicted_points") + period)
         writers.export_csv(shifted, folder, period)
-    schema = "name STRING, team STRING, position STRING, predicted_points DOUBLE, now_cost DOUBLE, form DOUBLE, minutes BIGINT"
-    period = readers.latest_period(spark, folder)
-    read = spark.read.schema(schema).option("header", True).csv(readers.snapshot_path(folder, period))
-    return read.select(F.lit(period).alias("gameweek"), *KEPT)
+    return readers.read_latest(spark, folder).select("gameweek", *KEPT)
 
 
 @query("latest_partition", b.with_(*CLAUSES, LATEST))
@@ -72,10 +62,9 @@ def latest_partition(spark, sf_dir):
     b.with_(*CLAUSES, "SELECT name, team, position, round(predicted_points, 4) AS predicted_points, minutes FROM snapshot"),
 )
 def csv_snapshot_schema(spark, sf_dir):
-    """A full-width CSV snapshot read with its declared schema."""
+    """A CSV snapshot without most of its columns, read by the names in its header."""
     folder = new_folder(spark, "exports")
-    rows = _rows(spark, sf_dir)
-    writers.export_csv(_full_width(rows), folder, 3)
+    writers.export_csv(_rows(spark, sf_dir), folder, 3)
     read = readers.read_latest(spark, folder)
     return read.select("name", "team", "position", F.round("predicted_points", 4).alias("predicted_points"), "minutes")
 
@@ -87,8 +76,7 @@ def csv_snapshot_schema(spark, sf_dir):
 def first_available(spark, sf_dir):
     """The first source does not exist, so the rows come from the CSV copy."""
     folder = new_folder(spark, "exports")
-    rows = _rows(spark, sf_dir)
-    path = writers.export_csv(_full_width(rows), folder, 4)
+    path = writers.export_csv(_rows(spark, sf_dir), folder, 4)
     found, _ = readers.read_first_available(spark, [("json", f"{folder}/predictions.json"), ("csv", path)])
     return found.groupBy("team").agg(F.count(F.lit(1)).alias("rows"), F.max("predicted_points").alias("best"))
 
@@ -104,11 +92,14 @@ def _entity_rows(spark, sf_dir):
     b.with_(*CLAUSES, f"SELECT id, {', '.join(KEPT)}, true AS stamped FROM snapshot"),
 )
 def latest_copy(spark, sf_dir):
-    """The copy of the newest rows, overwritten once, with its stamp."""
+    """The newest published rows, of a period published twice after an older one, with the time of refresh."""
     folder = new_folder(spark, "copies")
     rows = _rows(spark, sf_dir)
-    writers.write_latest(rows.withColumn("minutes", F.lit(0).cast("long")), folder)
-    read = spark.read.parquet(writers.write_latest(rows, folder))
+    stale = rows.withColumn("minutes", F.lit(0).cast("long"))
+    for period, published in ((9, stale), (10, stale), (10, rows)):
+        writers.publish(published.withColumn("gameweek", F.lit(period)), f"{folder}/predictions")
+        writers.stamp(spark, folder)
+    read = readers.read_newest(spark, folder)
     stamped = F.col("last_updated").rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d UTC$")
     return read.select("id", *KEPT, stamped.alias("stamped"))
 
@@ -121,16 +112,16 @@ def latest_copy(spark, sf_dir):
                   'https://resources.premierleague.com/premierleague/photos/players/110x140/p' || id || '.png' AS image_url,
                   (SELECT count(*) FROM snapshot) AS total_players, 30 AS filtered_players
            FROM snapshot WHERE regexp_matches(team, 'nation', 'i') AND position = 'MID'
-           ORDER BY predicted_points DESC, name LIMIT 30""",
+           ORDER BY predicted_points DESC, id LIMIT 30""",
     ),
 )
 def serve_predictions(spark, sf_dir):
     """Latest CSV, codes looked up by name, filtered, sorted and limited, with its counts."""
     folder = new_folder(spark, "exports")
-    rows = _rows(spark, sf_dir)
-    writers.export_csv(_full_width(rows), folder, 5, best_first("predicted_points", "name"))
+    writers.export_csv(_rows(spark, sf_dir), folder, 5, best_first("predicted_points"))
     source = b.players(spark, sf_dir, "first_name", "second_name", "code").withColumn("pos", F.col("code"))
-    shown, metadata = read_query.serve_predictions(spark, folder, source, team="nation", position="MID", limit=30)
+    names = read_query.names_of(source)
+    shown, metadata = read_query.serve_predictions(spark, folder, names, team="nation", position="MID", limit=30)
     counts = metadata.select("gameweek", "total_players", "filtered_players")
     number = lambda name: counts.select(name).scalar().alias(name)
     return shown.select(
@@ -139,6 +130,48 @@ def serve_predictions(spark, sf_dir):
     )
 
 
+@query(
+    "serve_repeated_names",
+    b.with_(
+        *CLAUSES,
+        """SELECT team AS name, position, predicted_points, minutes, (SELECT count(*) FROM snapshot) AS total_players,
+                  (SELECT count(*) FROM snapshot WHERE position = 'FWD') AS filtered_players
+           FROM snapshot WHERE position = 'FWD' ORDER BY minutes ASC, id LIMIT 1000000""",
+    ),
+)
+def serve_repeated_names(spark, sf_dir):
+    """Twenty-five names for all rows: the key in the export settles ties, and the limit exceeds the matches."""
+    folder = new_folder(spark, "exports")
+    writers.export_csv(_rows(spark, sf_dir).withColumn("name", F.col("team")), folder, 5, best_first("predicted_points"))
+    shown, metadata = read_query.serve_predictions(spark, folder, position="FWD", sort_by="minutes", sort_order="asc", limit=1_000_000)
+    number = lambda name: metadata.select(name).scalar().alias(name)
+    return shown.select("name", "position", "predicted_points", "minutes", number("total_players"), number("filtered_players"))
+
+
+@query(
+    "first_available_json",
+    b.with_(
+        *CLAUSES,
+        """SELECT 12 AS gameweek, name, team, position, predicted_points, form, minutes, count(*) OVER () AS total_players,
+                  count(*) FILTER (WHERE position = 'MID') OVER () AS filtered_players FROM snapshot""",
+    ),
+)
+def first_available_json(spark, sf_dir):
+    """Stored response documents, each with some of the rows and all of the metadata, come before the CSV copy."""
+    folder = new_folder(spark, "responses")
+    rows = _rows(spark, sf_dir)
+    counts = writers.response_metadata(rows, rows.where("position = 'MID'"), 12, "gameweek_12_predictions.csv")
+    documents = writers.chunked(rows, "id", 500).select(F.col("items").alias("players"))
+    number = lambda name: counts.select(name).scalar().alias(name)
+    documents = documents.select(*[number(name) for name in counts.columns], "players")
+    documents.write.json(f"{folder}/predictions.json")
+    found, metadata = readers.read_first_available(spark, [("jsonl", f"{folder}/predictions.json"), ("csv", f"{folder}/none.csv")])
+    one = lambda name: metadata.select(F.max(name)).scalar().alias(name)
+    return found.select(
+        one("gameweek"), "name", "team", "position", "predicted_points", "form", "minutes", one("total_players"), one("filtered_players")
+    )
+
+
 @query(
     "calendar_roundtrip",
     b.with_(
@@ -180,15 +213,21 @@ def envelope_roundtrip(spark, sf_dir):
 
 @query(
     "fixtures_roundtrip",
-    b.with_(b.FIXTURES_SQL, "SELECT pos AS id, CAST(event AS BIGINT) AS event, team_h, team_a, finished FROM fixtures"),
+    b.with_(
+        b.FIXTURES_SQL,
+        """SELECT pos AS id, CAST(event AS BIGINT) AS event, team_h, team_a, finished, row_number() OVER (ORDER BY pos) AS place
+           FROM fixtures""",
+    ),
 )
 def fixtures_roundtrip(spark, sf_dir):
-    """Fixtures landed as root-level arrays and read again."""
+    """Fixtures landed in their order as root-level arrays, and read again with that order."""
     folder = new_folder(spark, "landing")
     rows = b.fixtures(spark, sf_dir).withColumnRenamed("pos", "id").select(*[F.col(f.name).cast(f.dataType) for f in FIXTURE.fields])
-    writers.write_root_arrays(rows, folder)
-    read = readers.read_fixtures(spark, folder, one_per_line=True)
-    return read.select("id", "event", F.col("team_h").cast("int").alias("team_h"), F.col("team_a").cast("int").alias("team_a"), "finished")
+    writers.write_root_arrays(stage(rows.orderBy("id").withColumn("pos", F.monotonically_increasing_id()), "fixtures"), folder)
+    read = ranking.rank_rows(readers.read_fixtures(spark, folder, one_per_line=True), [F.asc("pos")], alias="place")
+    return read.select(
+        "id", "event", F.col("team_h").cast("int").alias("team_h"), F.col("team_a").cast("int").alias("team_a"), "finished", "place"
+    )
 
 
 @query(
@@ -227,27 +266,58 @@ def field_profile(spark, sf_dir):
     b.with_(
         *CLAUSES,
         """SELECT w AS gameweek, id, team_id, minutes, round(COALESCE(TRY_CAST(points_per_game AS DOUBLE), 0) * 0.6E0, 6) AS predicted_points
-           FROM players, (VALUES (9), (10)) v(w) WHERE w = 9 OR minutes > 0""",
+           FROM players, (VALUES (9), (10)) v(w)""",
     ),
 )
 def refresh_stream(spark, sf_dir):
     """Two runs of the refresh: the first sees period 9 in part, the second the rest of it and period 10."""
+    rows, land, run, published = _refreshed(spark, sf_dir)
+    land(rows.where("minutes <= 100"), 9)
+    run()
+    land(rows.where("minutes > 100"), 9)
+    land(rows, 10)
+    run()
+    return published()
+
+
+@query(
+    "refresh_same_period",
+    b.with_(
+        *CLAUSES,
+        """SELECT 9 AS gameweek, id, CASE WHEN id % 3 = 0 THEN 24 - team_id ELSE team_id END AS team_id,
+                  CASE WHEN id % 3 = 0 THEN minutes + 1 ELSE minutes END AS minutes,
+                  round(COALESCE(TRY_CAST(points_per_game AS DOUBLE), 0) * 0.6E0, 6) AS predicted_points FROM players""",
+    ),
+)
+def refresh_same_period(spark, sf_dir):
+    """A second snapshot of a period, with changed values for a third of the entities: of each entity the newest counts."""
+    rows, land, run, published = _refreshed(spark, sf_dir)
+    land(rows, 9)
+    run()
+    changed = {"team": F.lit(24) - F.col("team"), "minutes": F.col("minutes") + 1}
+    land(rows.where("id % 3 = 0").withColumns(changed), 9)
+    run()
+    return published()
+
+
+def _refreshed(spark, sf_dir):
+    """Entities, and how to land them, to run the refresh and to read what it published."""
     base = new_folder(spark, "refresh")
     landing, published, checkpoint = f"{base}/landing", f"{base}/published", f"{base}/state"
-    rows = stage(_entity_rows(spark, sf_dir), "entities")
 
     def build(documents):
-        items = documents.select("gameweek", F.explode("elements").alias("e"))
-        points = F.coalesce(F.col("e.points_per_game").try_cast("double"), F.lit(0.0)) * 0.6
-        return items.select("gameweek", "e.id", F.col("e.team").alias("team_id"), "e.minutes", F.round(points, 6).alias("predicted_points"))
+        items = newest_rows(documents, "elements")
+        points = F.coalesce(F.col("points_per_game").try_cast("double"), F.lit(0.0)) * 0.6
+        return items.select("gameweek", "id", F.col("team").alias("team_id"), "minutes", F.round(points, 6).alias("predicted_points"))
+
+    def land(rows, period):
+        writers.write_envelopes(rows, f"{landing}/gameweek={period}", "elements")
 
     def run():
         refresh(spark, landing, published, checkpoint, build, best_first("predicted_points"))
 
-    writers.write_envelopes(rows.where("minutes <= 100"), f"{landing}/gameweek=9", "elements")
-    run()
-    writers.write_envelopes(rows.where("minutes > 100"), f"{landing}/gameweek=9", "elements")
-    writers.write_envelopes(rows.where("minutes > 0"), f"{landing}/gameweek=10", "elements")
-    run()
-    table = spark.read.parquet(f"{published}/predictions")
-    return table.select("gameweek", "id", F.col("team_id").cast("int").alias("team_id"), "minutes", "predicted_points")
+    def read():
+        table = spark.read.parquet(f"{published}/predictions")
+        return table.select("gameweek", "id", F.col("team_id").cast("int").alias("team_id"), "minutes", "predicted_points")
+
+    return stage(_entity_rows(spark, sf_dir), "entities"), land, run, read

@@ -138,6 +138,15 @@ def read_query_ascending(spark, sf_dir):
     return predictions_query(rows, search="household", sort_by="now_cost", sort_order="asc", limit=40)
 
 
+@query(
+    "read_query_unknown_sort",
+    b.with_(*CLAUSES, READ_SQL.format(where="position = 'GKP'", order="predicted_points DESC NULLS LAST, id")),
+)
+def read_query_unknown_sort(spark, sf_dir):
+    """An unknown column leaves the published order, also under a limit."""
+    return predictions_query(b.snapshot(spark, sf_dir, *READ), position="GKP", sort_by="no such column", limit=40)
+
+
 @query(
     "response_rows",
     b.with_(

@@ -1,5 +1,6 @@
 import json
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,8 @@ from touchline.operators.filters import NoRowsError
 from touchline.operators.ranking import best_first
 from touchline.plans import read_query
 from touchline.sources import readers, writers
-from touchline.streaming.refresh import refresh
+from touchline.schemas import PREDICTIONS
+from touchline.streaming.refresh import newest_rows, refresh
 
 ENVELOPE = {
     "elements": [{"id": 5, "first_name": "A", "second_name": "B", "code": 7, "form": "1.0"}, {"id": 4, "first_name": "C"}],
@@ -42,13 +44,45 @@ def test_landed_chunks_hold_every_row_once(spark, tmp_path):
     envelopes = readers.read_envelopes(spark, str(tmp_path / "e"), one_per_line=True)
     assert sorted(r["id"] for r in readers.entities(envelopes).select("id").collect()) == list(range(2300))
     assert envelopes.agg(F.max(F.size("elements"))).first()[0] < 160
-    writers.write_root_arrays(rows, str(tmp_path / "f"), rows_per_chunk=100)
-    read = readers.read_fixtures(spark, str(tmp_path / "f"), one_per_line=True)
-    assert sorted((r["id"], r["event"]) for r in read.collect()) == [(i, i % 5) for i in range(2300)]
+    for folder, files in (("f", 1), ("h", 7)):
+        writers.write_root_arrays(rows.repartition(files, "id").withColumn("pos", F.lit(5000) - F.col("id")), str(tmp_path / folder), rows_per_chunk=100)
+        read = readers.read_fixtures(spark, str(tmp_path / folder), one_per_line=True)
+        assert sorted((r["pos"], r["id"], r["event"]) for r in read.collect()) == [(5000 - i, i, i % 5) for i in range(2299, -1, -1)]
+    given = [row["id"] for row in rows.orderBy(F.desc("id")).collect()]
+    writers.write_root_arrays(spark.createDataFrame([(i,) for i in given], "id long"), str(tmp_path / "o"), rows_per_chunk=100)
+    read = readers.read_fixtures(spark, str(tmp_path / "o"), one_per_line=True)
+    assert [r["id"] for r in read.orderBy("pos").collect()] == given and read.select("pos").distinct().count() == 2300
     empty = rows.limit(0)
     writers.write_envelopes(empty, str(tmp_path / "g"), "elements")
 
 
+def test_repeated_keys_do_not_fill_one_chunk(spark, tmp_path):
+    writers.write_envelopes(spark.range(2000).withColumn("id", F.lit(1).cast("long")), str(tmp_path / "e"), "elements", rows_per_chunk=100)
+    envelopes = readers.read_envelopes(spark, str(tmp_path / "e"), one_per_line=True)
+    assert envelopes.agg(F.max(F.size("elements"))).first()[0] < 160
+    assert readers.entities(envelopes).count() == 2000
+
+
+def test_csv_columns_are_taken_by_name(spark, tmp_path):
+    """Other order, absent columns, further ones, and whole numbers written as fractions."""
+    (tmp_path / "gameweek_2_predictions.csv").write_text("minutes,extra,name,is_home,assists,points_per_game,id\n74.0,x,N,True,bad,1.5,8\n\n9,,M,,3,,\n")
+    read = readers.read_latest(spark, str(tmp_path))
+    assert [f for f in read.columns if f in PREDICTIONS.names] == PREDICTIONS.names
+    kinds = {f.name: f.dataType for f in read.schema.fields}
+    assert all(kinds[f.name] == f.dataType for f in PREDICTIONS.fields)
+    rows = {r["name"]: r for r in read.collect()}
+    assert (rows["N"]["minutes"], rows["N"]["is_home"], rows["N"]["assists"], rows["N"]["points_per_game"]) == (74, True, None, 1.5)
+    assert (rows["N"]["extra"], rows["N"]["id"], rows["N"]["team"], rows["N"]["gameweek"]) == ("x", 8, None, 2)
+    assert (rows["M"]["minutes"], rows["M"]["extra"], rows["M"]["assists"]) == (9, None, 3)
+
+
+def test_period_is_that_of_the_file(spark, tmp_path):
+    folder = tmp_path / "gameweek_99_old"
+    folder.mkdir()
+    _csv(folder, 3)
+    assert readers.latest_period(spark, str(folder)) == 3
+
+
 def _csv(folder, period, rows=1):
     lines = "\n".join(f"P{n},T{period},MID,,,{n + period}.5,4.5" for n in range(rows))
     (folder / f"gameweek_{period}_predictions.csv").write_text(
@@ -81,6 +115,9 @@ def test_serve_predictions(spark, tmp_path):
     assert (row["gameweek"], row["csv_file"]) == (3, "gameweek_3_predictions.csv")
     assert (row["total_players"], row["filtered_players"]) == (5, 2)
     assert re.fullmatch(r"\d{4}-\d\d-\d\d \d\d:\d\d:\d\d UTC", row["last_updated"])
+    prepared, metadata = read_query.serve_predictions(spark, str(tmp_path), read_query.names_of(source), limit=1000, sort_order="asc")
+    assert [r["player_code"] for r in prepared.collect()][:2] == [r["player_code"] for r in shown.collect()]
+    assert metadata.first()["filtered_players"] == 5
     without, _ = read_query.serve_predictions(spark, str(tmp_path), None)
     assert all(r["image_url"] is None for r in without.collect())
 
@@ -154,11 +191,12 @@ def test_refresh(spark, tmp_path):
     def run():
         refresh(spark, landing, out, state, _build, best_first("predicted_points"))
         table = spark.read.parquet(f"{out}/predictions")
-        latest = spark.read.parquet(f"{out}/latest")
+        latest = readers.read_newest(spark, out)
         return {r["gameweek"]: r["count"] for r in table.groupBy("gameweek").count().collect()}, latest.select("gameweek").distinct().collect()
 
     (tmp_path / "landing").mkdir()
     refresh(spark, landing, out, state, _build)  # nothing landed yet
+    assert not (tmp_path / "out").exists()
     land(9, 0, 30)
     assert run()[0] == {9: 30}
     land(9, 30, 50)
@@ -166,7 +204,24 @@ def test_refresh(spark, tmp_path):
     counts, latest = run()
     assert counts == {9: 50, 10: 7}
     assert [r[0] for r in latest] == [10]
+    files = lambda: sorted(str(p) for p in (tmp_path / "out").rglob("*.parquet"))
+    before = files()
     assert run()[0] == {9: 50, 10: 7}  # nothing new landed
+    assert files() == before
+
+
+@pytest.mark.parametrize("chunk", [5, 1000])
+def test_newest_landing_wins(spark, tmp_path, chunk):
+    """Three overlapping snapshots of a period, in many files or few: of each key the last one counts."""
+    landing, out, state = (str(tmp_path / name) for name in ("landing", "out", "state"))
+    build = lambda documents: newest_rows(documents, "elements").select("gameweek", "id", F.col("minutes").alias("predicted_points"))
+    for low, high, minutes in ((0, 30, 1), (20, 40, 2), (10, 22, 3)):
+        rows = spark.range(low, high).withColumn("minutes", F.lit(minutes).cast("long"))
+        writers.write_envelopes(rows, f"{landing}/gameweek=4", "elements", rows_per_chunk=chunk)
+        refresh(spark, landing, out, state, build)
+        time.sleep(1.1)  # file times may be whole seconds
+    got = {r["id"]: r["predicted_points"] for r in spark.read.parquet(f"{out}/predictions").collect()}
+    assert got == {i: 3 if 10 <= i < 22 else 2 if i >= 20 else 1 for i in range(40)}
 
 
 def test_shared_folder_comes_from_the_session(spark):

@@ -22,6 +22,12 @@ def read_number(text: Column, fill: float | None = None) -> Column:
     return number if fill is None else F.coalesce(number, F.lit(float(fill)))
 
 
+def whole_number(text: Column) -> Column:
+    """Whole number in a text, also one written with a fraction of 0; missing for others."""
+    with_fraction = F.regexp_replace(F.trim(text), r"\.0*$", "")
+    return with_fraction.try_cast("long")
+
+
 def at_least(value: Column, floor: float) -> Column:
     """``greatest`` would skip the missing operand and return the floor."""
     return F.when(value < floor, F.lit(float(floor))).otherwise(value.cast("double"))
@@ -94,4 +100,5 @@ def zero_if_unavailable(prediction: Column, availability: Column) -> Column:
 
 
 def period_in_name(name: Column) -> Column:
-    return F.regexp_extract(name, r"gameweek_(\d+)_", 1).try_cast("int")
+    """Period in the last part of a path that names a snapshot; folders above it don't count."""
+    return F.regexp_extract(name, r"gameweek_(\d+)_predictions\.csv(/[^/]*)?$", 1).try_cast("int")

@@ -9,22 +9,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from touchline.constants import NUMERIC_SORT_COLUMNS
+from touchline.functions.numbers import without_nan
 from touchline.operators.schema import coerce_numbers
 from touchline.session import stage
 
+STORED_BY = "predicted_points"
 _SLOT_BITS = 33  # monotonically_increasing_id keeps the partition number above these bits
 
 
 def best_first(column: str, tiebreak: str = "id") -> list[Column]:
-    return [F.desc_nulls_last(column), F.asc(tiebreak)]
+    """Largest first; what is no number comes last, with the missing ones."""
+    value = F.col(column)
+    return [F.desc_nulls_last(F.when(~F.isnan(value), value)), F.asc(tiebreak)]
 
 
 def requested_order(
     df: DataFrame, sort_by: str = "predicted_points", sort_order: str = "desc", tiebreak: str = "id"
 ) -> tuple[DataFrame, list[Column]]:
-    """Order asked for by name; missing values last both ways; an unknown column leaves the input order."""
+    """Order asked for by name; missing values last both ways; an unknown column gives the order of a published snapshot."""
     if sort_by not in df.columns:
-        return df, [F.asc(tiebreak)]
+        return df, best_first(STORED_BY, tiebreak) if STORED_BY in df.columns else [F.asc(tiebreak)]
     if sort_by in NUMERIC_SORT_COLUMNS:
         df = coerce_numbers(df, [sort_by], fill=None)
     direction = F.asc_nulls_last if sort_order == "asc" else F.desc_nulls_last
@@ -36,7 +40,7 @@ def client_order(df: DataFrame, sort_by: str = "predicted_points", sort_order: s
     value = F.col(sort_by)
     kind = df.schema[sort_by].dataType
     if isinstance(kind, (T.NumericType, T.BooleanType)):
-        value = F.coalesce(value, F.lit(0).cast(kind))
+        value = F.coalesce(without_nan(value) if isinstance(kind, (T.DoubleType, T.FloatType)) else value, F.lit(0).cast(kind))
     direction = value.asc_nulls_last() if sort_order == "asc" else value.desc_nulls_last()
     return [direction, F.asc(tiebreak)]
 

@@ -39,11 +39,15 @@ def with_full_name(df: DataFrame, first: str = "first_name", last: str = "second
 
 
 def coerce_numbers(df: DataFrame, columns: Iterable[str], fill: float | None = 0.0) -> DataFrame:
-    """Read the present ones of ``columns`` as doubles; what is no number becomes ``fill``."""
+    """Read the present ones of ``columns`` as numbers; what is no number becomes ``fill``. Whole numbers stay whole."""
     read = {}
     for name in columns:
         if name not in df.columns:
             continue
+        kind = df.schema[name].dataType
+        if isinstance(kind, T.IntegralType):
+            read[name] = F.col(name) if fill is None else F.coalesce(F.col(name), F.lit(fill).cast(kind))
+            continue
         if isinstance(df.schema[name].dataType, T.StringType):
             number = read_number(F.col(name))
         else:

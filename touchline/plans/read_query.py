@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import text
 from touchline.operators.filters import NoRowsError, matching_rows
-from touchline.operators.lookups import enrich_by_name
+from touchline.operators.lookups import enrich_by_name, name_table
 from touchline.operators.ranking import requested_order, take_sorted
 from touchline.operators.schema import fill_missing
 from touchline.sources import readers, writers
@@ -25,19 +25,30 @@ def predictions_query(
     tiebreak: str = "id",
     fill_strings: str | None = None,
 ) -> DataFrame:
-    """Rows that match every given condition, in the order asked for, with missing values filled; one plan."""
+    """Rows that match every given condition, in the order asked for, with missing values filled; one plan.
+
+    An unknown column leaves the order in which a snapshot is published, best prediction first.
+    """
     rows = matching_rows(df, team, position, search, literal)
     rows, order = requested_order(rows, sort_by, sort_order, tiebreak)
-    if sort_by in df.columns or limit > 0:
-        rows = take_sorted(rows, order, limit)
+    rows = take_sorted(rows, order, limit)
     return fill_missing(rows, fill_strings)
 
 
+def _named(entities: DataFrame) -> DataFrame:
+    name = text.full_name(F.col("first_name"), F.col("second_name"))
+    return entities.select(name.alias("full_name"), "code", "pos")
+
+
+def names_of(entities: DataFrame) -> DataFrame:
+    """Names and codes of entity rows, written once for many calls of ``serve_predictions``."""
+    return name_table(_named(entities))
+
+
 def with_image_address(df: DataFrame, source: DataFrame | None) -> DataFrame:
-    """Code by full name from the entity rows of ``source``, and the address built from it."""
-    if source is not None:
-        name = text.full_name(F.col("first_name"), F.col("second_name"))
-        source = source.select(name.alias("full_name"), "code", "pos")
+    """Code by full name from entity rows or from a table of ``names_of``, and the address built from it."""
+    if source is not None and "full_name" not in source.columns:
+        source = _named(source)
     enriched = enrich_by_name(df, source)
     return enriched.withColumn("image_url", text.image_address(F.col("player_code")))
 
@@ -53,16 +64,18 @@ def with_image_sources(df: DataFrame) -> DataFrame:
 def serve_predictions(
     spark: SparkSession, folder: str, source: DataFrame | None = None, **arguments
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows of the latest CSV snapshot that ``predictions_query`` selects, and their one-row metadata."""
+    """Rows of the latest CSV snapshot that ``predictions_query`` selects, and their one-row metadata.
+
+    Ties go to the smaller ``id``, or to the smaller name in an export without ids.
+    """
     period = readers.latest_period(spark, folder)
     if period is None:
         raise NoRowsError("No prediction CSV files found")
     path = readers.snapshot_path(folder, period)
     rows = readers.read_predictions(spark, path)
-    shown = predictions_query(with_image_address(rows, source), **{"tiebreak": "name", **arguments})
+    tiebreak = "id" if "id" in rows.columns else "name"
+    shown = predictions_query(with_image_address(rows, source), **{"tiebreak": tiebreak, **arguments})
     # The counts need neither the lookup nor the sort.
     conditions = {name: arguments[name] for name in ("team", "position", "search", "literal") if name in arguments}
     matching = matching_rows(rows, **conditions)
-    limit = arguments.get("limit", 0)
-    counted = matching.limit(limit) if limit > 0 else matching
-    return shown, writers.response_metadata(rows, counted, period, path.rsplit("/", 1)[-1])
+    return shown, writers.response_metadata(rows, matching, period, path.rsplit("/", 1)[-1], arguments.get("limit", 0))

@@ -54,7 +54,7 @@ def context_of_period(
     if fallback:
         played = played.where(not_finished(F.col("finished")))
     named = pairings.with_team_names(played, teams)
-    return pairings.fixture_info(named, pairings.difficulty_table(teams), ordinal)
+    return pairings.fixture_info(named, stage(pairings.difficulty_table(teams), "difficulty"), ordinal)
 
 
 def score_entities(
@@ -71,7 +71,7 @@ def score_entities(
     a model without that leak.
     """
     features = [name for name in FEATURES if name not in set(exclude_features)]
-    vectors = model.with_label(model.assembled(prepared, features))
+    vectors = stage(model.with_label(model.assembled(prepared, features)), "vectors")
     training, testing = model.split_rows(active_rows(vectors), key, seed=seed)
     forest = model.train(training, trees, depth, seed=seed)
     scored = model.finish_scores(model.score(forest, vectors).drop(model.LABEL))
@@ -92,23 +92,27 @@ def run(
     fixture_ordinal: Sequence[str] = ("pos",),
     calendar_ordinal: str = "pos",
 ) -> Scored:
-    """Score one snapshot and, with a ``folder``, publish it as table partition, CSV export and latest copy."""
-    distinct_teams = lookups.lookup_table(teams, ["id"], ["pos"]) if "pos" in teams.columns else teams
+    """Score one snapshot and, with a ``folder``, publish it as table partition and CSV export, with the time of refresh.
+
+    Teams that repeat an id count once, the last by ordinal.
+    """
+    ordinal = ["pos"] if "pos" in teams.columns else [name for name in teams.columns if name != "id"]
+    distinct_teams = lookups.lookup_table(teams, ["id"], ordinal)
     period, fallback = resolve_period(calendar, fixtures, calendar_ordinal)
-    info = context_of_period(fixtures, distinct_teams, period, fallback, fixture_ordinal)
+    info = stage(context_of_period(fixtures, distinct_teams, period, fallback, fixture_ordinal), "fixture-info")
     # Training reads the prepared rows once per tree level, and form is read once more for its maximum.
     enriched = stage(enrich(entities, distinct_teams, info), "enriched")
     prepared = prepare_entities(enriched)
     scored, quality, importance = score_entities(prepared, trees, depth, seed, key, exclude_features)
-    rows = keep_present(scored, [key, *SNAPSHOT_COLUMNS]).withColumn("gameweek", F.lit(period))
+    rows = writers.declared(keep_present(scored, [key, *SNAPSHOT_COLUMNS])).withColumn("gameweek", F.lit(period))
     path = None
     if folder is not None:
-        rows = stage(rows, "scored")  # the sort reads its input twice, which would apply the forest twice
+        rows = stage(rows, "scored")  # two writes read it, which would apply the forest twice
         order = best_first(model.PREDICTION, key)
+        path = writers.export_csv(rows, folder, period, order)
         writers.publish(rows, f"{folder}/predictions", order)
+        writers.stamp(rows.sparkSession, folder)
         rows = in_period(rows.sparkSession.read.parquet(f"{folder}/predictions"), period, "gameweek")
-        path = writers.export_csv(rows, folder, period, order)
-        writers.write_latest(rows, folder)
     return Scored(rows, period, path, quality, importance)
 
 

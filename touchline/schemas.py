@@ -48,6 +48,9 @@ PREDICTIONS = _struct(
     """
 )
 
+#: What an export may hold: the snapshot and, after it, the key that makes its order total.
+EXPORTED = T.StructType([*PREDICTIONS.fields, T.StructField("id", T.LongType())])
+
 RESPONSE = T.StructType(
     [
         T.StructField("gameweek", T.IntegerType()),

@@ -5,24 +5,48 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.functions.numbers import period_in_name
+from touchline.functions.numbers import period_in_name, whole_number
 from touchline.operators.filters import NoRowsError
-from touchline.schemas import ENVELOPE, FIXTURE, PREDICTIONS, RESPONSE
+from touchline.schemas import ENVELOPE, EXPORTED, FIXTURE, PREDICTIONS, RESPONSE
+
+POS = "pos"
+#: Column of landed documents: time and path of the file.
+LANDED = "_landed"
 
 
 def read_envelopes(spark: SparkSession, path: str, one_per_line: bool = False, schema: T.StructType = ENVELOPE) -> DataFrame:
     """Snapshot documents. Files of one document per line can be split between tasks; whole documents cannot."""
-    return spark.read.schema(schema).option("multiLine", not one_per_line).json(path)
+    return spark.read.schema(positioned_arrays(schema)).option("multiLine", not one_per_line).json(path)
 
 
 def array_rows(envelopes: DataFrame, array: str) -> DataFrame:
-    """One row per array item, with its place in the array as ``pos``."""
-    exploded = envelopes.select(F.posexplode(array).alias("pos", "_item"))
-    return exploded.select("pos", "_item.*")
+    """One row per array item, with an ordinal ``pos``.
+
+    The ordinal is the item's own ``pos``, which the writers of landed documents give it, else its place in the array. It is
+    total over all documents of one landing. Documents that carry ``LANDED``, the time and path of their file, put that first, so that an item of a
+    later landing comes after all earlier ones.
+    """
+    landed = [LANDED] if LANDED in envelopes.columns else []
+    exploded = envelopes.select(*landed, F.posexplode(array).alias("_at", "_item"))
+    item = exploded.schema["_item"].dataType
+    at = F.coalesce(F.col("_item.pos"), F.col("_at")) if POS in item.names else F.col("_at")
+    pos = F.struct(F.col(LANDED), at.alias("at")) if landed else at
+    return exploded.select(pos.alias(POS), *[F.col("_item")[name].alias(name) for name in item.names if name != POS])
+
+
+def positioned(schema: T.StructType) -> T.StructType:
+    """Schema of items that may carry their ordinal."""
+    return schema if POS in schema.names else T.StructType([*schema.fields, T.StructField(POS, T.LongType())])
+
+
+def positioned_arrays(schema: T.StructType) -> T.StructType:
+    """Schema of documents whose items may carry their ordinal."""
+    arrays = lambda f: isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)
+    return T.StructType([T.StructField(f.name, T.ArrayType(positioned(f.dataType.elementType))) if arrays(f) else f for f in schema.fields])
 
 
 def entities(envelopes: DataFrame) -> DataFrame:
@@ -38,30 +62,43 @@ def calendar(envelopes: DataFrame) -> DataFrame:
 
 
 def read_fixtures(spark: SparkSession, path: str, one_per_line: bool = False, schema: T.StructType = FIXTURE) -> DataFrame:
-    """Rows of files whose root is a JSON array, with their place as ``pos``.
+    """Rows of files whose root is a JSON array, with their ordinal as ``pos``.
 
     By default a file is one array; ``one_per_line`` reads files with one array on each line, which can be split.
     """
     documents = spark.read.text(path, wholetext=not one_per_line)
-    parsed = documents.select(F.from_json("value", T.ArrayType(schema)).alias("_items"))
+    parsed = documents.select(F.from_json("value", T.ArrayType(positioned(schema))).alias("_items"))
     return array_rows(parsed, "_items")
 
 
 def read_predictions(spark: SparkSession, path: str | list[str], infer: bool = False) -> DataFrame:
     """CSV snapshot with a header; blank lines are dropped and an empty cell is missing.
 
-    ``infer`` looks at the values instead of the declared schema, for numbers and booleans only: a text such as ``T10``
-    would otherwise be taken for a time.
+    Columns are taken by the names in the header, in the declared types; declared columns that the file lacks are
+    missing, and others follow as text. A whole number may be written with a fraction of 0. ``infer`` looks at the values
+    instead of the declared schema, for numbers and booleans only: a text such as ``T10`` would otherwise be taken for a time.
     """
     options = {"header": True, "mode": "PERMISSIVE"}
-    schema = PREDICTIONS
     if infer:
         found = spark.read.options(inferSchema=True, **options).csv(path).schema
         kept_as_text = (T.DateType, T.TimestampType, T.TimestampNTZType, T.TimeType)
         schema = T.StructType(
             [T.StructField(f.name, T.StringType() if isinstance(f.dataType, kept_as_text) else f.dataType) for f in found]
         )
-    return spark.read.options(**options).schema(schema).csv(path)
+        return spark.read.options(**options).schema(schema).csv(path)
+    header = spark.read.options(**options).csv(path).columns  # reads one line
+    declared = {f.name: f.dataType for f in EXPORTED.fields}
+    in_file = lambda name: T.StringType() if isinstance(declared.get(name), T.LongType) else declared.get(name, T.StringType())
+    schema = T.StructType([T.StructField(name, in_file(name)) for name in header])
+    rows = spark.read.options(**options).schema(schema).csv(path) if header else spark.createDataFrame([], schema)
+
+    def column(name: str) -> Column:
+        if name not in header:
+            return F.lit(None).cast(declared[name])
+        return whole_number(F.col(name)) if isinstance(declared[name], T.LongType) else F.col(name)
+
+    wanted = [f.name for f in PREDICTIONS.fields] + [name for name in header if name not in PREDICTIONS.names]
+    return rows.select(*[(column(name) if name in declared else F.col(name)).alias(name) for name in wanted])
 
 
 def latest_period(spark: SparkSession, folder: str) -> int | None:
@@ -90,25 +127,32 @@ def read_latest(spark: SparkSession, folder: str, infer: bool = False) -> DataFr
     return read_predictions(spark, snapshot_path(folder, period), infer).withColumn("gameweek", F.lit(period))
 
 
+def read_newest(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest published period with the time of the last refresh; other partitions are pruned at run time."""
+    rows = latest_partition(spark.read.parquet(f"{folder}/predictions"))
+    stamp = spark.read.parquet(f"{folder}/stamps").agg(F.max("last_updated")).scalar()
+    return rows.withColumn("last_updated", stamp)
+
+
 def latest_partition(published: DataFrame, column: str = "gameweek") -> DataFrame:
     """The rows of the largest period of a published table; the other partitions are pruned at run time."""
     newest = published.agg(F.max(column)).scalar()
     return published.where(F.col(column) == newest)
 
 
-def read_response(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Rows and one-row metadata of a stored response document."""
-    document = spark.read.schema(RESPONSE).option("multiLine", True).json(path)
+def read_response(spark: SparkSession, path: str, one_per_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows and metadata of a stored response: one document, or one on each line with some of the rows each."""
+    document = spark.read.schema(RESPONSE).option("multiLine", not one_per_line).json(path)
     rows = document.select(F.explode("players").alias("_player")).select("_player.*")
     return rows, document.drop("players")
 
 
 def read_first_available(spark: SparkSession, places: Sequence[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
-    """Rows and metadata from the first place that exists; ``places`` are (format, path) with format json or csv."""
+    """Rows and metadata from the first place that exists; ``places`` are (format, path) with format json, jsonl or csv."""
     for kind, path in places:
         try:
-            if kind == "json":
-                return read_response(spark, path)
+            if kind in ("json", "jsonl"):
+                return read_response(spark, path, kind == "jsonl")
             rows = read_predictions(spark, path)
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from touchline.constants import SNAPSHOT_COLUMNS
 from touchline.operators.schema import keep_present
+from touchline.schemas import PREDICTIONS
 from touchline.sources.readers import snapshot_path
 
 
@@ -17,6 +19,11 @@ def refresh_stamp() -> Column:
     return F.date_format(now, "yyyy-MM-dd HH:mm:ss 'UTC'")
 
 
+def declared(df: DataFrame, schema: T.StructType = PREDICTIONS) -> DataFrame:
+    """Columns that the schema names in its types; others as they are."""
+    return df.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in schema.fields if f.name in df.columns})
+
+
 def publish(df: DataFrame, folder: str, order: Sequence[Column] = ()) -> None:
     """Replace the periods that ``df`` holds (column ``gameweek``) in a table partitioned by period.
 
@@ -28,18 +35,17 @@ def publish(df: DataFrame, folder: str, order: Sequence[Column] = ()) -> None:
 
 
 def export_csv(df: DataFrame, folder: str, period: int, order: Sequence[Column] = ()) -> str:
-    """CSV snapshot of one period in the fixed column order; the name carries the period."""
+    """CSV snapshot of one period in the fixed column order, and the key after it; the name carries the period."""
     path = snapshot_path(folder, period)
     ordered = df.orderBy(*order) if order else df
-    keep_present(ordered, SNAPSHOT_COLUMNS).write.mode("overwrite").option("header", True).csv(path)
+    keep_present(ordered, [*SNAPSHOT_COLUMNS, "id"]).write.mode("overwrite").option("header", True).csv(path)
     return path
 
 
-def write_latest(df: DataFrame, folder: str) -> str:
-    """Overwrite the copy that readers of the newest snapshot use, stamped with the time of refresh."""
-    path = f"{folder}/latest"
-    df.withColumn("last_updated", refresh_stamp()).write.mode("overwrite").parquet(path)
-    return path
+def stamp(spark: SparkSession, folder: str) -> None:
+    """Note the time of refresh. The newest rows are the published table's largest period; they are not copied, and nothing that
+    readers use is removed."""
+    spark.range(1).select(refresh_stamp().alias("last_updated")).write.mode("append").parquet(f"{folder}/stamps")
 
 
 def response_records(df: DataFrame) -> DataFrame:
@@ -47,9 +53,11 @@ def response_records(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("record"))
 
 
-def response_metadata(total: DataFrame, shown: DataFrame, period: int, file: str) -> DataFrame:
+def response_metadata(total: DataFrame, matching: DataFrame, period: int, file: str, limit: int = 0) -> DataFrame:
     """One row of counts beside the records; the records themselves are never gathered into it."""
-    shown_rows = shown.agg(F.count(F.lit(1))).scalar()
+    shown_rows = matching.agg(F.count(F.lit(1))).scalar()
+    if limit > 0:
+        shown_rows = F.least(shown_rows, F.lit(limit).cast("long"))
     return total.agg(F.count(F.lit(1)).alias("total_players")).select(
         F.lit(period).alias("gameweek"),
         F.lit(file).alias("csv_file"),
@@ -60,12 +68,15 @@ def response_metadata(total: DataFrame, shown: DataFrame, period: int, file: str
 
 
 def chunked(df: DataFrame, key: str, rows_per_chunk: int) -> DataFrame:
-    """Rows packed as arrays (``items``) of about ``rows_per_chunk``; a hash of the unique key keeps the arrays even.
+    """Rows packed as arrays (``items``) of about ``rows_per_chunk``; a hash keeps the arrays even.
 
-    Counting reads ``df`` once more, so stage one that is costly to compute.
+    Each item carries its place among all rows as ``pos``, unless it has one. The hash is of key and place, so a key that
+    repeats does not fill one array. Counting reads ``df`` once more, so stage one that is costly to compute.
     """
+    if "pos" not in df.columns:
+        df = df.withColumn("pos", F.monotonically_increasing_id())
     chunks = df.agg(F.greatest(F.ceil(F.count(F.lit(1)) / rows_per_chunk), F.lit(1))).scalar()
-    number = F.pmod(F.xxhash64(key), chunks)
+    number = F.pmod(F.xxhash64(key, "pos"), chunks)
     packed = df.select(number.alias("_chunk"), F.struct("*").alias("_row")).groupBy("_chunk")
     return packed.agg(F.collect_list("_row").alias("items"))
 

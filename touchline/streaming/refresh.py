@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from touchline.operators import lookups
 from touchline.plans import score_job
 from touchline.schemas import ENVELOPE
+from touchline.session import stage
 from touchline.sources import readers, writers
 
 PERIOD_COLUMN = "gameweek"
@@ -28,22 +29,27 @@ def process_landed(
     handle: Callable[[DataFrame, list[int]], None],
     schema: T.StructType = ENVELOPE,
     one_per_line: bool = True,
-) -> None:
+) -> bool:
     """Hand over what landed in ``landing/gameweek=<n>/`` since the last run, and stop.
 
     A period may land in several files over several runs, so ``handle`` gets all documents of the touched periods, not
     only the new ones, with the list of those periods. What it writes must replace a period as a whole: the outcome then
     does not depend on how files fall into batches, and a repeated batch does no harm. The checkpoint keeps the list of
-    files seen.
+    files seen. Documents carry the time and path of their file, so that of several snapshots of a period the newest can
+    win. True if anything was handed over.
     """
-    whole = landed(schema)
+    handled: list[bool] = []
+    whole = landed(readers.positioned_arrays(schema))
     options = {"multiLine": not one_per_line}
 
     def rebuild(batch: DataFrame, _batch_id: int) -> None:
         touched = [row[0] for row in batch.select(PERIOD_COLUMN).distinct().collect()]  # one value per landed period
         if touched:
             documents = batch.sparkSession.read.schema(whole).options(**options).json(landing)
-            handle(documents.where(F.col(PERIOD_COLUMN).isin(touched)), sorted(touched))
+            file = F.struct(F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("path"))
+            documents = documents.withColumn(readers.LANDED, file).where(F.col(PERIOD_COLUMN).isin(touched))
+            handle(documents, sorted(touched))
+            handled.append(True)
 
     stream = spark.readStream.schema(whole).options(**options).json(landing)
     query = (
@@ -53,17 +59,17 @@ def process_landed(
         .start()
     )
     query.awaitTermination()
+    return bool(handled)
+
+
+def newest_rows(documents: DataFrame, array: str, key: str = "id") -> DataFrame:
+    """Items of landed documents, one per period and key: that of the newest landing, in it the last."""
+    dated = documents.select(PERIOD_COLUMN, readers.LANDED, F.transform(array, _with_period).alias(array))
+    return lookups.keep_last(readers.array_rows(dated, array), [PERIOD_COLUMN, key], [readers.POS])
 
 
-def renew_latest(spark: SparkSession, folder: str) -> None:
-    """Copy the newest published period; before anything is published there is nothing to do."""
-    try:
-        published = spark.read.parquet(f"{folder}/predictions")
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return
-        raise
-    writers.write_latest(readers.latest_partition(published), folder)
+def _with_period(item: Column) -> Column:
+    return item.withField(PERIOD_COLUMN, F.col(PERIOD_COLUMN))
 
 
 def refresh(
@@ -76,13 +82,17 @@ def refresh(
     schema: T.StructType = ENVELOPE,
     one_per_line: bool = True,
 ) -> None:
-    """Publish what ``build`` makes of the landed documents (``gameweek`` included), and renew the latest copy."""
+    """Publish what ``build`` makes of the landed documents (``gameweek`` included), and note the time.
+
+    ``build`` takes rows by ``newest_rows`` where several snapshots of a period may land. A run for which nothing landed
+    does nothing.
+    """
 
     def publish(documents: DataFrame, _touched: list[int]) -> None:
         writers.publish(build(documents), f"{folder}/predictions", order)
 
-    process_landed(spark, landing, checkpoint, publish, schema, one_per_line)
-    renew_latest(spark, folder)
+    if process_landed(spark, landing, checkpoint, publish, schema, one_per_line):
+        writers.stamp(spark, folder)
 
 
 def refresh_scores(
@@ -94,16 +104,17 @@ def refresh_scores(
     one_per_line: bool = True,
     **settings,
 ) -> None:
-    """Run the scoring job once per landed snapshot, oldest first, and renew the latest copy.
+    """Run the scoring job once per period for which snapshots landed, oldest first.
 
-    The calendar in a snapshot names the period that its scores are published under.
+    Of several snapshots of a period the newest landing of each entity, team and calendar entry counts. The landed
+    documents are parsed once per array for all touched periods. The calendar in a snapshot names the period that its
+    scores are published under.
     """
 
     def score(documents: DataFrame, touched: list[int]) -> None:
+        parts = [stage(newest_rows(documents, array), array) for array in ("elements", "teams", "events")]
         for period in touched:
-            snapshot = documents.where(F.col(PERIOD_COLUMN) == period)
-            parts = (readers.entities(snapshot), readers.teams(snapshot), readers.calendar(snapshot))
-            score_job.run(*parts, fixtures, folder, **settings)
+            of_period = [part.where(F.col(PERIOD_COLUMN) == period).drop(PERIOD_COLUMN) for part in parts]
+            score_job.run(*of_period, fixtures, folder, **settings)
 
     process_landed(spark, landing, checkpoint, score, one_per_line=one_per_line)
-    renew_latest(spark, folder)
