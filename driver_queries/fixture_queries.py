@@ -6,6 +6,7 @@ from driver_queries import bindings as b
 from driver_queries.registry import query
 from touchline.functions import text
 from touchline.operators import lookups, pairings
+from touchline.session import stage
 
 
 @query(
@@ -43,7 +44,11 @@ TARGET_FIXTURES = """SELECT pos, CAST(event AS INTEGER) AS event, team_h, team_a
 
 @query("target_fixtures", b.with_(b.FIXTURES_SQL, b.CALENDAR_SQL, b.STATUS_SQL, b.TARGET_SQL, TARGET_FIXTURES))
 def target_fixtures(spark, sf_dir):
-    return pairings.fixtures_of_target(b.calendar(spark, sf_dir), b.fixtures(spark, sf_dir))
+    return _target_fixtures(spark, sf_dir, b.calendar(spark, sf_dir))
+
+
+def _target_fixtures(spark, sf_dir, calendar):
+    return pairings.fixtures_of_target(calendar, b.fixtures(spark, sf_dir), states=b.fixture_periods(spark, sf_dir))
 
 
 @query(
@@ -51,7 +56,7 @@ def target_fixtures(spark, sf_dir):
     b.with_(b.FIXTURES_SQL, b.LAST_DAY_CALENDAR_SQL, b.STATUS_SQL, b.TARGET_SQL, TARGET_FIXTURES),
 )
 def target_fixtures_fallback(spark, sf_dir):
-    return pairings.fixtures_of_target(b.calendar(spark, sf_dir, flag_next=False), b.fixtures(spark, sf_dir))
+    return _target_fixtures(spark, sf_dir, b.calendar(spark, sf_dir, flag_next=False))
 
 
 @query(
@@ -78,7 +83,7 @@ def fixture_sides(spark, sf_dir):
 
 def _info(spark, sf_dir):
     """Last side per team in the target period; the ratings lack one region and miss another's strength."""
-    played = pairings.fixtures_of_target(b.calendar(spark, sf_dir), b.fixtures(spark, sf_dir))
+    played = _target_fixtures(spark, sf_dir, b.calendar(spark, sf_dir))
     named = pairings.with_team_names(played, b.teams(spark, sf_dir))
     return pairings.fixture_info(named, pairings.difficulty_table(b.rated_teams(spark, sf_dir)))
 
@@ -105,7 +110,7 @@ def fixture_info_last(spark, sf_dir):
     ),
 )
 def fixture_info_every(spark, sf_dir):
-    played = pairings.fixtures_of_target(b.calendar(spark, sf_dir), b.fixtures(spark, sf_dir))
+    played = _target_fixtures(spark, sf_dir, b.calendar(spark, sf_dir))
     named = pairings.with_team_names(played, b.teams(spark, sf_dir))
     return pairings.fixture_info(named, pairings.difficulty_table(b.rated_teams(spark, sf_dir)), every=True)
 
@@ -128,7 +133,7 @@ def fixture_info_every(spark, sf_dir):
 def player_fixture_join(spark, sf_dir):
     rows = b.players(spark, sf_dir, "id", "team_id")
     named = lookups.look_up(rows, b.teams(spark, sf_dir), {"team_id": "id"}, {"team": "name"}).select("id", "team")
-    joined = pairings.attach_fixture(named, _info(spark, sf_dir))
+    joined = pairings.attach_fixture(named, stage(_info(spark, sf_dir), "fixture-info"))
     return joined.withColumn("difficulty_adjustment", F.round("difficulty_adjustment", 6))
 
 

@@ -84,17 +84,18 @@ def dedupe_lines(spark, sf_dir):
     "name_enrich",
     """SELECT p.p_partkey AS id, p.p_name || ' ' || p.p_brand AS name, s.code AS player_code,
               'https://resources.premierleague.com/premierleague/photos/players/110x140/p' || s.code || '.png' AS image_url
-       FROM part p LEFT JOIN (SELECT p_name, p_brand, max(p_partkey) AS code FROM part WHERE p_size <= 40
-                              GROUP BY p_name, p_brand) s
+       FROM part p LEFT JOIN (SELECT CASE WHEN p_size <= 40 THEN p_name ELSE 'not ' || p_name END AS p_name, p_brand,
+                                     max(p_partkey) AS code FROM part GROUP BY ALL) s
          ON s.p_name = p.p_name AND s.p_brand = p.p_brand""",
 )
 def name_enrich(spark, sf_dir):
     """Code looked up by full name, the last of repeated names; missing where the source lacks the name."""
     parts = b.table(spark, sf_dir, "part")
     name = text.full_name(F.col("p_name"), F.col("p_brand"))
-    source = parts.where(F.col("p_size") <= 40).select(name.alias("full_name"), F.col("p_partkey").alias("code"))
+    known_as = F.when(F.col("p_size") <= 40, name).otherwise(F.concat(F.lit("not "), name))
+    source = parts.select(known_as.alias("full_name"), F.col("p_partkey").alias("code"))
     rows = parts.select(F.col("p_partkey").alias("id"), name.alias("name"), F.col("p_partkey").alias("player_code"))
-    enriched = lookups.enrich_by_name(rows, source, ordinal=["code"])
+    enriched = lookups.enrich_by_name(rows, lookups.name_table(source, ["code"]))
     return enriched.withColumn("image_url", text.image_address(F.col("player_code"))).select("id", "name", "player_code", "image_url")
 
 

@@ -49,7 +49,7 @@ def test_hot_key_of_a_large_lookup_is_split(spark, settings):
     payload = F.sha2(F.col("id").cast("string"), 256).alias("payload")
     rows = spark.range(0, 300_000, 1, 16).select("id", name.alias("name"), F.lit(-1).cast("long").alias("player_code"), payload)
     source = rows.select(F.col("name").alias("full_name"), F.col("id").alias("code"), F.col("id").alias("pos"))
-    enriched = lookups.enrich_by_name(rows, source)
+    enriched = lookups.enrich_by_name(rows, lookups.name_table(source))
     plan = _final_plan(enriched)
     assert "skew=true" in plan
     hot = enriched.where("name = 'hot'").agg(F.count(F.lit(1)), F.min("player_code"), F.max("player_code")).first()
@@ -60,6 +60,7 @@ def test_hot_key_of_a_large_lookup_is_split(spark, settings):
 def test_fixture_info_is_broadcast_by_its_written_size(spark, settings):
     entities = stage(spark.range(1000).select("id", F.concat(F.lit("T"), F.col("id") % 5).alias("team")), "entities")
     info = spark.createDataFrame([("T1", "T2", True, 3, "x")], "team string, opponent string, is_home boolean, difficulty int, fixture string")
+    info = stage(info, "info")
     assert "BroadcastHashJoin" in _plan(pairings.attach_fixture(entities, info))
     settings(autoBroadcastJoinThreshold="10")
     joined = pairings.attach_fixture(entities, info)
@@ -114,3 +115,32 @@ def test_last_per_key_combines_before_the_shuffle(spark):
 def test_top_k_does_not_sort_everything(spark):
     df = spark.range(100).withColumn("v", F.col("id"))
     assert "TakeOrderedAndProject" in _plan(ranking.take_sorted(df, ranking.best_first("v"), 3))
+
+
+def test_target_fixtures_read_each_table_few_times(spark):
+    from driver_queries import fixture_queries
+
+    made = fixture_queries.target_fixtures(spark, "/root/testdata/sf0.001")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("o_orderpriority") > 0
+    assert sum("Relation" in line and "o_orderkey" in line for line in plan.splitlines()) <= 3
+
+
+def test_operators_write_nothing(spark, monkeypatch):
+    """Lookups, context and the read query build plans; only their callers write dimensions."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    def refuse(*_args, **_kwargs):
+        raise AssertionError("an operator wrote a table")
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", refuse)
+    teams = spark.createDataFrame([(1, "A", 3), (2, "B", 4)], "id long, name string, strength int")
+    fixtures = spark.createDataFrame([(0, 1, 1, 2, False)], "pos long, event long, team_h long, team_a long, finished boolean")
+    calendar = spark.createDataFrame([(0, 1, "n", False, True, False)], "pos long, id long, name string, is_current boolean, is_next boolean, finished boolean")
+    named = pairings.with_team_names(pairings.fixtures_of_target(calendar, fixtures), teams)
+    info = pairings.fixture_info(named, pairings.difficulty_table(teams))
+    rows = spark.createDataFrame([("x", "A", "MID", 1.0, 5)], "name string, team string, position string, predicted_points double, id long")
+    joined = pairings.attach_fixture(rows, info)
+    names = spark.createDataFrame([("x", 9)], "full_name string, code long")
+    shown = predictions_query(lookups.enrich_by_name(joined, names), limit=5)
+    assert [(r["player_code"], r["next_opponent"]) for r in shown.collect()] == [(9, "B")]

@@ -44,6 +44,15 @@ def lookup_table(df: DataFrame, keys: Sequence[str], ordinal: Sequence[str]) ->
     return stage(keep_last(df, keys, ordinal), "lookup")
 
 
+def name_table(source: DataFrame, ordinal: Sequence[str] = ("pos",)) -> DataFrame:
+    """``full_name, code``: the last code of each name in ``source``, written as a table to look up in.
+
+    It is made once, by the job or beside a published snapshot, and not for each request.
+    """
+    ordered = source.select("full_name", "code", *[F.col(column).alias(f"_at_{i}") for i, column in enumerate(ordinal)])
+    return lookup_table(ordered, ["full_name"], [f"_at_{i}" for i in range(len(ordinal))]).select("full_name", "code")
+
+
 def look_up(
     df: DataFrame,
     dim: DataFrame,
@@ -92,10 +101,11 @@ def enrich_by_name(
 ) -> DataFrame:
     """Overwrite the code by the one that ``source`` (``full_name, code`` and the ordinal) gives last for the name.
 
-    Without a source the code is missing everywhere.
+    Without a source the code is missing everywhere. A ``name_table`` is unique already and has no ordinal: use it where
+    rows are many or requests repeat.
     """
     if source is None:
         return df.withColumn(code, F.lit(None).cast("long"))
-    ordered = source.select("full_name", "code", *[F.col(column).alias(f"_at_{i}") for i, column in enumerate(ordinal)])
-    latest = lookup_table(ordered, ["full_name"], [f"_at_{i}" for i in range(len(ordinal))])
-    return look_up(df, latest, {name: "full_name"}, {code: "code"})
+    if set(ordinal) <= set(source.columns):
+        source = keep_last(source.select("full_name", "code", *[F.col(c).alias(f"_at_{i}") for i, c in enumerate(ordinal)]), ["full_name"], [f"_at_{i}" for i in range(len(ordinal))])
+    return look_up(df, source, {name: "full_name"}, {code: "code"})

@@ -11,7 +11,6 @@ from touchline.constants import DEFAULT_DIFFICULTY, MISSING_OPPONENT
 from touchline.functions import numbers, text
 from touchline.operators.filters import not_finished, required
 from touchline.operators.lookups import keep_last, look_up
-from touchline.session import stage
 
 
 def with_team_names(fixtures: DataFrame, teams: DataFrame) -> DataFrame:
@@ -45,7 +44,10 @@ def period_status(calendar: DataFrame, ordinal: str = "pos") -> DataFrame:
 
 
 def target_period(calendar: DataFrame, fixtures: DataFrame, ordinal: str = "pos") -> DataFrame:
-    """One row: the next period when it has fixtures, else the smallest period with an unfinished fixture."""
+    """One row: the next period when it has fixtures, else the smallest period with an unfinished fixture.
+
+    Of the fixtures only ``event`` and ``finished`` are read.
+    """
     upcoming = period_status(calendar, ordinal).select("next_id").scalar()
     found = fixtures.agg(
         F.max(F.when(F.col("event") == upcoming, F.col("event"))).alias("planned"),
@@ -57,15 +59,20 @@ def target_period(calendar: DataFrame, fixtures: DataFrame, ordinal: str = "pos"
     )
 
 
-def fixtures_of_target(calendar: DataFrame, fixtures: DataFrame, ordinal: str = "pos") -> DataFrame:
+def fixtures_of_target(
+    calendar: DataFrame, fixtures: DataFrame, ordinal: str = "pos", states: DataFrame | None = None
+) -> DataFrame:
     """Fixtures of the target period; under the fallback only its unfinished ones. No period at all is an error.
 
-    The check sits in the subquery, which runs once before the filter, whatever the rows hold.
+    ``states`` gives ``event`` and ``finished`` of the same fixtures where that is cheaper than the whole rows. The wanted
+    pairs of period and state are one value of one subquery, which runs once before the filter and holds the check.
     """
-    target = target_period(calendar, fixtures, ordinal)
-    period = target.select(required(F.col("gameweek"), "No upcoming fixtures found.")).scalar()
-    unplanned = target.select("is_fallback").scalar()
-    return fixtures.where((F.col("event") == period) & (~unplanned | not_finished(F.col("finished"))))
+    target = target_period(calendar, fixtures if states is None else states, ordinal)
+    period = required(F.col("gameweek"), "No upcoming fixtures found.")
+    state = lambda event, finished: F.struct(event.cast("int").alias("event"), finished.alias("finished"))
+    unfinished, any_state = [state(period, F.lit(False))], [state(period, F.lit(False)), state(period, F.lit(True))]
+    wanted = target.select(F.when(F.col("is_fallback"), F.array(*unfinished)).otherwise(F.array(*any_state))).scalar()
+    return fixtures.where(F.array_contains(wanted, state(F.col("event"), ~not_finished(F.col("finished")))))
 
 
 def sides(
@@ -95,11 +102,11 @@ def last_side(rows: DataFrame, keys: Sequence[str] = ("team",), ordinal: Sequenc
 
 
 def difficulty_table(teams: DataFrame, ordinal: str = "id", invert: bool = False) -> DataFrame:
-    """``team, difficulty``, written as a lookup table; the first row of a repeated name wins."""
+    """``team, difficulty``; the first row of a repeated name wins. Stage it before a lookup from many rows."""
     rating = numbers.difficulty_from_strength(F.col("strength"), invert)
     boxed = F.min_by(F.struct(rating.alias("difficulty")), F.col(ordinal))
     first = teams.groupBy(F.col("name").alias("team")).agg(boxed.alias("_first"))
-    return stage(first.select("team", "_first.difficulty"), "difficulty")
+    return first.select("team", "_first.difficulty")
 
 
 def fixture_info(
@@ -121,10 +128,9 @@ def fixture_info(
 def attach_fixture(entities: DataFrame, info: DataFrame) -> DataFrame:
     """Left lookup by team; an entity without a fixture gets each column's own default.
 
-    The info is written first: it holds a row per team, but Catalyst estimates it from the size of all fixtures and
-    would shuffle every entity by team. From the written table it knows the size, and broadcasts it if it is small.
+    Stage the info first: it holds a row per team, but Catalyst estimates it from the size of all fixtures and would
+    shuffle every entity by team. From a written table it knows the size, and broadcasts it if it is small.
     """
-    info = stage(info, "fixture-info")
     taken = {
         "is_home": "is_home",
         "opponent": "opponent",
