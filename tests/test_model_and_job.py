@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from touchline.constants import FEATURES, SNAPSHOT_COLUMNS
 from touchline.operators import model
 from touchline.operators.features import feature_matrix, prepare_entities
-from touchline.plans import score_job
+from touchline.plans import read_query, score_job
+from touchline.schemas import PREDICTIONS
 from touchline.sources import readers
 from touchline.streaming import refresh
 
@@ -71,7 +72,41 @@ def test_job(spark, landed, tmp_path):
     assert done.path.endswith("gameweek_4_predictions.csv")
     written = [r["predicted_points"] for r in spark.read.option("header", True).csv(done.path).select(F.col("predicted_points").cast("double")).collect()]
     assert written == sorted(written, reverse=True)
-    assert spark.read.parquet(f"{tmp_path}/latest").count() == 240
+    assert readers.read_newest(spark, str(tmp_path)).count() == 240
+    kinds = {f.name: f.dataType for f in done.rows.schema.fields}
+    assert all(kinds[f.name] == f.dataType for f in PREDICTIONS.fields if f.name in kinds)
+    read = {r["id"]: r for r in readers.read_latest(spark, str(tmp_path)).collect()}
+    for row in done.rows.collect():
+        for name in set(SNAPSHOT_COLUMNS) & set(done.rows.columns):
+            assert read[row["id"]][name] == (row[name] if row[name] != "" else None), name
+    shown, metadata = read_query.serve_predictions(spark, str(tmp_path), sort_by="minutes", limit=10)
+    assert min(r["minutes"] for r in shown.collect()) > 45 and metadata.first()["filtered_players"] == 10
+
+
+def test_repeated_teams_count_once(spark):
+    teams = spark.createDataFrame([(1, "Old", 2), (1, "New", 5), (2, "B", 3)], "id long, name string, strength long")
+    entities = spark.createDataFrame([_element(i, random.Random(i)) | {"team": i % 2 + 1} for i in range(120)])
+    calendar = spark.createDataFrame([(0, 4, "n", False, True, False)], "pos long, id long, name string, is_current boolean, is_next boolean, finished boolean")
+    fixtures = spark.createDataFrame([(0, 4, 1, 2, False)], "pos long, event long, team_h long, team_a long, finished boolean")
+    assert score_job.run(entities, teams, calendar, fixtures, trees=3, depth=3).rows.count() == 120
+
+
+def test_strata_give_their_share(spark):
+    rows = spark.range(1000).withColumn("s", F.when(F.col("id") < 900, "hot").when(F.col("id") < 905, "few"))
+    training, testing = model.split_rows(rows, strata=["s"])
+    count = lambda df: {r["s"]: r["count"] for r in df.groupBy("s").count().collect()}
+    assert count(training) == {"hot": 720, "few": 4, None: 76} and count(testing) == {"hot": 180, "few": 1, None: 19}
+    assert training.columns == ["id", "s"]
+
+
+def test_defaults_are_the_preset():
+    import inspect
+
+    from touchline.plans.score_job import run, score_entities
+
+    for function in (model.train, run, score_entities):
+        defaults = {n: p.default for n, p in inspect.signature(function).parameters.items()}
+        assert (defaults["trees"], defaults["depth"]) == (200, 15)
 
 
 def test_refresh_scores(spark, landed, tmp_path):
@@ -89,7 +124,7 @@ def test_refresh_scores(spark, landed, tmp_path):
         run()
     table = spark.read.parquet(str(tmp_path / "out/predictions"))
     assert {r["gameweek"]: r["count"] for r in table.groupBy("gameweek").count().collect()} == {3: 240, 4: 240}
-    assert {r["gameweek"] for r in spark.read.parquet(str(tmp_path / "out/latest")).collect()} == {4}
+    assert {r["gameweek"] for r in readers.read_newest(spark, str(tmp_path / "out")).collect()} == {4}
 
 
 def test_published_partition_is_ordered(spark, tmp_path):

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from touchline.constants import FEATURES
 from touchline.functions import numbers
 from touchline.operators.features import PREFIX, with_features
+from touchline.operators.ranking import rank_rows
 from touchline.operators.stats import r_squared
+from touchline.session import shared_dir, stage
 
 LABEL = "label"
 VECTOR = "features"
@@ -30,19 +32,43 @@ def with_label(df: DataFrame, target: str = "points_per_game") -> DataFrame:
     return df.withColumn(LABEL, F.coalesce(F.col(target).cast("double"), F.lit(0.0)))
 
 
-def in_training_share(key: str = "id", share: int = 80, seed: int = 42) -> Column:
-    """Repeatable row-by-row choice by a hash of the key; it does not depend on partitioning."""
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100)) < share
+def draw(key: str = "id", seed: int = 42) -> Column:
+    """A number below 2**32 for each key, the same in every engine that has MD5."""
+    digest = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
-def split_rows(df: DataFrame, key: str = "id", share: int = 80, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def in_training_share(key: str = "id", share: int = 80, seed: int = 42) -> Column:
+    """Repeatable row-by-row choice by a hash of the key; it does not depend on partitioning."""
+    return draw(key, seed) % 100 < share
+
+
+def split_rows(
+    df: DataFrame, key: str = "id", share: int = 80, seed: int = 42, strata: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows. With ``strata`` each stratum gives its share, rounded down, in the order of the hash."""
+    if strata:
+        order = "_draw"
+        ranked = rank_rows(df.withColumn(order, draw(key, seed)), [F.asc(order), F.asc(key)], strata, "_place").drop(order)
+        sizes = stage(ranked.groupBy(*[F.col(name).alias(f"_of_{name}") for name in strata]).agg(F.count(F.lit(1)).alias("_size")), "strata")
+        same = F.lit(True)
+        for name in strata:
+            same = same & F.col(name).eqNullSafe(F.col(f"_of_{name}"))
+        df, training = ranked.join(sizes, same), F.col("_place") * 100 <= F.col("_size") * share
+        kept = [name for name in ranked.columns if name != "_place"]
+        return df.where(training).select(*kept), df.where(~training).select(*kept)
     training = in_training_share(key, share, seed)
     return df.where(training), df.where(~training)
 
 
 def train(
-    df: DataFrame, trees: int = 200, depth: int = 15, leaf: int = 2, seed: int = 42
+    df: DataFrame, trees: int = 200, depth: int = 15, leaf: int = 2, seed: int = 42, memory_mb: int = 1024
 ) -> RandomForestRegressionModel:
+    """A forest of the given size. ``memory_mb`` bounds the statistics that are gathered at once: more of it means fewer passes.
+
+    The tree of each row is kept between the levels, and its lineage is cut in the shared folder every few levels.
+    """
+    shared_dir(df.sparkSession)
     forest = RandomForestRegressor(
         featuresCol=VECTOR,
         labelCol=LABEL,
@@ -52,7 +78,9 @@ def train(
         minInstancesPerNode=leaf,
         featureSubsetStrategy="all",
         seed=seed,
-        maxMemoryInMB=512,
+        maxMemoryInMB=memory_mb,
+        cacheNodeIds=True,
+        checkpointInterval=5,
     )
     return forest.fit(df.select(VECTOR, LABEL))
 
