@@ -139,22 +139,28 @@ def display_all_columns(spark, sf_dir):
                    CASE WHEN minutes > 100 THEN 'Home' ELSE 'Away' END AS venue,
                    '£' || {ONE.format('now_cost')} || 'm' AS price, {ONE.format('points_per_game')} AS points_per_game,
                    CAST(minutes AS VARCHAR) AS minutes, CAST(goals_scored AS VARCHAR) AS goals_scored,
+                   CAST(minutes * 3 AS VARCHAR) AS total_points, {ONE.format('form')} AS form,
+                   {TWO.format('points_per_game * 0.06E0')} AS expected_goals, CAST(assists AS VARCHAR) AS assists,
+                   CAST(clean_sheets AS VARCHAR) AS clean_sheets, CAST(goals_scored % 6 AS VARCHAR) AS yellow_cards,
+                   CAST(assists % 2 AS VARCHAR) AS red_cards, {ONE.format('minutes / 90.0E0')} AS saves_per_90,
                    CASE WHEN chance_of_playing_this_round IS NULL OR chance_of_playing_this_round = 0 THEN 'Unknown%'
                         ELSE CAST(CAST(chance_of_playing_this_round AS INTEGER) AS VARCHAR) || '%' END AS chance_of_playing
             FROM snapshot""",
     ),
 )
 def detail_card(spark, sf_dir):
-    """The six sections of every entity, some of their fields laid flat."""
-    rows = schema.complete_schema(
-        b.snapshot(spark, sf_dir).withColumns({"opponent_difficulty": F.lit(3), "is_home": F.col("minutes") > 100}),
-        ["total_points", "expected_goals", "yellow_cards", "red_cards", "saves_per_90"],
-    )
-    card = schema.entity_detail(rows, keep=["id"])
-    return card.select(
-        "id", "predictions.predicted_points", "predictions.opponent_difficulty", "predictions.venue", "value.price",
-        "value.points_per_game", "performance.minutes", "season.goals_scored", "availability.chance_of_playing",
-    )
+    """The six sections of every entity, all of their fields laid flat."""
+    made = {
+        "opponent_difficulty": F.lit(3),
+        "is_home": F.col("minutes") > 100,
+        "total_points": F.col("minutes") * 3,
+        "expected_goals": F.col("points_per_game") * 0.06,
+        "yellow_cards": F.col("goals_scored") % 6,
+        "red_cards": F.col("assists") % 2,
+        "saves_per_90": F.col("minutes") / 90,
+    }
+    card = schema.entity_detail(b.snapshot(spark, sf_dir).withColumns(made), keep=["id"])
+    return card.select("id", *[f"{f.name}.*" for f in card.schema.fields if f.name != "id"])
 
 
 @query("visible_columns", b.with_(*CLAUSES, "SELECT name, team, now_cost, points_per_game, form, assists FROM snapshot"))

@@ -6,7 +6,7 @@ from driver_queries import bindings as b
 from driver_queries.read_queries import CLAUSES
 from driver_queries.registry import query
 from touchline.functions import text
-from touchline.operators import lineup, ranking
+from touchline.operators import lineup, lookups, ranking
 
 
 def _parts(spark, sf_dir):
@@ -66,7 +66,7 @@ def _lineup_sql(candidates: str, body: str) -> tuple[str, ...]:
   QUALIFY slot <= 5)""",
         """totals AS (
   SELECT grp, pref, formation, d, m, f,
-         sum(CAST(points AS DECIMAL(18,6))) FILTER (WHERE slot <= CASE position WHEN 'GKP' THEN 1 WHEN 'DEF' THEN d WHEN 'MID' THEN m ELSE f END) AS total,
+         sum(CAST(points AS DECIMAL(18,6))) FILTER (WHERE slot <= CASE position WHEN 'GKP' THEN 1 WHEN 'DEF' THEN d WHEN 'MID' THEN m WHEN 'FWD' THEN f END) AS total,
          count(*) FILTER (WHERE position = 'GKP') >= 1 AND count(*) FILTER (WHERE position = 'DEF') >= d
            AND count(*) FILTER (WHERE position = 'MID') >= m AND count(*) FILTER (WHERE position = 'FWD') >= f AS feasible
   FROM ranked, formations GROUP BY grp, pref, formation, d, m, f)""",
@@ -77,7 +77,7 @@ def _lineup_sql(candidates: str, body: str) -> tuple[str, ...]:
     ON t.grp = g.grp)""",
         """picked AS (
   SELECT r.*, formation FROM ranked r JOIN chosen c ON c.grp = r.grp
-  WHERE slot <= CASE position WHEN 'GKP' THEN 1 WHEN 'DEF' THEN d WHEN 'MID' THEN m ELSE f END)""",
+  WHERE slot <= CASE position WHEN 'GKP' THEN 1 WHEN 'DEF' THEN d WHEN 'MID' THEN m WHEN 'FWD' THEN f END)""",
         body,
     )
 
@@ -124,6 +124,37 @@ def best_eleven_overall_summary(spark, sf_dir):
     return _rounded(lineup.best_eleven_summary(_squad(spark, sf_dir)))
 
 
+TEXTS = """SELECT grp AS team, printf('%.1f', round(points, 1)) AS total_points, '£' || printf('%.1f', round(cost, 1)) || 'm' AS team_cost,
+         printf('%.1f', round(points / 11, 1)) AS average_points, formation
+  FROM (SELECT c.grp, c.formation, round(COALESCE(CAST(sum(CAST(points AS DECIMAL(18,6))) AS DOUBLE), 0), 6) AS points,
+               COALESCE(CAST(sum(CAST(cost AS DECIMAL(18,6))) AS DOUBLE), 0) AS cost
+        FROM chosen c LEFT JOIN picked p ON p.grp = c.grp GROUP BY c.grp, c.formation)"""
+BY_SUPPLIER = """SELECT 'S' || l_suppkey AS grp, l_orderkey AS id,
+         CASE WHEN l_suppkey % 4 = 0 THEN NULL WHEN l_linenumber = 1 THEN 'GKP' WHEN l_linenumber <= 3 THEN 'DEF' WHEN l_linenumber <= 5 THEN 'MID' ELSE 'FWD' END AS position,
+         l_quantity AS points, l_tax * 100 AS cost
+  FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_orderkey ORDER BY l_linenumber, l_partkey) = 1"""
+
+
+@query(
+    "lineup_texts",
+    b.with_(*_lineup_sql(BY_SUPPLIER, TEXTS)),
+)
+def lineup_texts(spark, sf_dir):
+    """Summaries as shown; a fourth of the suppliers has lines of no position only, and so an empty line-up."""
+    lines = b.table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_tax")
+    first = lookups.keep_first(lines, ["l_suppkey", "l_orderkey"], ["l_linenumber", "l_partkey"])
+    number = F.col("l_linenumber")
+    position = F.when(number == 1, "GKP").when(number <= 3, "DEF").when(number <= 5, "MID").otherwise("FWD")
+    squad = first.select(
+        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("team"),
+        F.col("l_orderkey").alias("id"),
+        F.when(F.col("l_suppkey") % 4 != 0, position).alias("position"),
+        F.col("l_quantity").alias("predicted_points"),
+        (F.col("l_tax") * 100).alias("now_cost"),
+    )
+    return lineup.lineup_texts(_rounded(lineup.best_eleven_summary(squad, ["team"])), ["team"])
+
+
 @query("best_eleven_without_points", b.with_(*CLAUSES, *_lineup_sql(UNAVAILABLE, PICKED)))
 def best_eleven_without_points(spark, sf_dir):
     """No formation has a positive total, so every team falls back."""
@@ -132,14 +163,15 @@ def best_eleven_without_points(spark, sf_dir):
 
 LINES_SQL = """SELECT l_suppkey AS grp,
          l_orderkey || '/' || l_linenumber || '/' || l_partkey AS id,
-         CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'GKP' WHEN 'NF' THEN 'DEF' WHEN 'RO' THEN 'MID' WHEN 'AO' THEN 'FWD' END AS position,
+         CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'GKP' WHEN 'NF' THEN 'DEF' WHEN 'RO' THEN 'MID' WHEN 'AO' THEN 'FWD'
+              WHEN 'RF' THEN 'DEF' ELSE 'MID' END AS position,
          l_extendedprice / 10000 AS points, l_quantity AS cost
-  FROM lineitem WHERE l_returnflag || l_linestatus IN ('AF', 'NF', 'RO', 'AO')"""
+  FROM lineitem"""
 
 
 def _line_squad(spark, sf_dir):
     kind = F.concat("l_returnflag", "l_linestatus")
-    position = F.when(kind == "AF", "GKP").when(kind == "NF", "DEF").when(kind == "RO", "MID").when(kind == "AO", "FWD")
+    position = F.when(kind == "AF", "GKP").when(kind.isin("NF", "RF"), "DEF").when(kind == "AO", "FWD").otherwise("MID")
     text_of = lambda name: F.col(name).cast("string")
     return b.table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("team"),

@@ -17,7 +17,8 @@ from touchline.operators.schema import coerce_numbers
         """SELECT count(*) AS total_players,
                   round(CAST(sum(CAST(predicted_points AS DECIMAL(18,6))) AS DOUBLE) / count(predicted_points), 6) AS avg_predicted_points,
                   max(predicted_points) AS max_predicted_points,
-                  CAST(count(DISTINCT position) + max(CASE WHEN position IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS positions,
+                  (SELECT string_agg(position || ':' || n, ',' ORDER BY position) FROM
+                     (SELECT position, count(*) AS n FROM snapshot WHERE position IS NOT NULL GROUP BY position)) AS positions,
                   CAST(count(DISTINCT team) + max(CASE WHEN team IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS teams,
                   'id,team,position,predicted_points' AS columns
            FROM snapshot""",
@@ -27,7 +28,8 @@ def snapshot_stats(spark, sf_dir):
     rows = b.snapshot(spark, sf_dir, "id", "team", "position", "predicted_points")
     exact = rows.withColumn("predicted_points", F.col("predicted_points").cast("decimal(18,6)"))
     totals = stats.prediction_statistics(exact)
-    positions = rows.agg(stats.distinct_with_missing("position").cast("long")).scalar()
+    entry = lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))
+    positions = F.array_join(F.transform(F.map_entries("positions"), entry), ",")
     return totals.select(
         "total_players",
         F.round("avg_predicted_points", 6).alias("avg_predicted_points"),
@@ -60,7 +62,7 @@ def line_statistics(spark, sf_dir):
         F.col("l_suppkey").alias("team"), F.col("l_extendedprice").cast("decimal(18,2)").alias("predicted_points")
     )
     totals = stats.prediction_statistics(lines)
-    return totals.withColumn("avg_predicted_points", F.round("avg_predicted_points", 4))
+    return totals.withColumn("avg_predicted_points", F.round("avg_predicted_points", 4)).drop("positions")
 
 
 @query(

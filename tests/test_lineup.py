@@ -107,3 +107,21 @@ def test_slots_count_from_one(spark):
     for r in got.collect():
         slots.setdefault(r["position"], set()).add(r["slot"])
     assert all(found == set(range(1, len(found) + 1)) for found in slots.values())
+
+
+def test_no_number_is_no_points(spark):
+    rows = [(i, p, float("nan") if i == 0 else 5.0 - i / 100) for i, p in enumerate(["GKP"] + ["GKP", "DEF", "MID", "FWD"] * 6)]
+    df = spark.createDataFrame([(i, p, v, 1.0) for i, p, v in rows], "id long, position string, predicted_points double, now_cost double")
+    keeper = lineup.best_eleven(df).where("position = 'GKP'").first()
+    assert keeper["id"] == 1 and keeper["predicted_points"] == 4.99
+
+
+def test_group_without_candidates_has_an_empty_line_up(spark):
+    df = spark.createDataFrame([("a", 1, "GKP", 2.0, 4.0), ("b", 2, "COACH", 9.0, 9.0), ("b", 3, None, 9.0, 9.0)], "team string, id long, position string, predicted_points double, now_cost double")
+    summary = {r["team"]: r for r in lineup.best_eleven_summary(df, ["team"]).collect()}
+    assert tuple(summary["b"])[1:] == ("4-4-2", 0, 0.0, 0.0, 0.0)
+    assert (summary["a"]["players"], summary["a"]["total_points"]) == (1, 2.0)
+    assert {r["team"] for r in lineup.best_eleven(df, ["team"]).collect()} == {"a"}
+    texts = {r["team"]: tuple(r)[1:] for r in lineup.lineup_texts(lineup.best_eleven_summary(df, ["team"]), ["team"]).collect()}
+    assert texts == {"a": ("2.0", "£4.0m", "0.2", "4-4-2"), "b": ("0.0", "£0.0m", "0.0", "4-4-2")}
+    assert tuple(lineup.best_eleven_summary(df.where("false")).first()) == ("4-4-2", 0, 0.0, 0.0, 0.0)

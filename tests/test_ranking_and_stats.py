@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline.operators import ranking, stats
+from touchline.plans.read_query import predictions_query
 
 
 def _values(df, column):
@@ -89,8 +90,33 @@ def test_value_counts_order(spark):
 
 def test_statistics(spark):
     df = spark.createDataFrame([("A", 1.0), (None, None), ("A", 4.0)], "team string, predicted_points double")
-    assert tuple(stats.prediction_statistics(df).first()) == (3, 2.5, 4.0, 2, "team,predicted_points")
-    assert tuple(stats.prediction_statistics(df.select(F.lit(1).alias("x"))).first()) == (3, 0.0, 0.0, 0, "x")
+    shown = ["total_players", "avg_predicted_points", "max_predicted_points", "teams", "columns"]
+    assert tuple(stats.prediction_statistics(df).select(*shown).first()) == (3, 2.5, 4.0, 2, "team,predicted_points")
+    assert tuple(stats.prediction_statistics(df.select(F.lit(1).alias("x"))).select(*shown).first()) == (3, 0.0, 0.0, 0, "x")
+    placed = spark.createDataFrame([("MID",), ("DEF",), (None,), ("MID",)], "position string")
+    assert stats.prediction_statistics(placed).first()["positions"] == {"DEF": 1, "MID": 2}
+
+
+def test_statistics_of_no_rows(spark):
+    empty = spark.createDataFrame([], "team string, position string, predicted_points double")
+    row = stats.prediction_statistics(empty).first().asDict()
+    assert row == {
+        "total_players": 0, "avg_predicted_points": None, "max_predicted_points": None, "positions": {}, "teams": 0,
+        "columns": "team,position,predicted_points",
+    }
+    assert empty.agg(stats.distinct_with_missing("team")).first()[0] == 0
+
+
+def test_no_number_comes_last(spark):
+    df = spark.createDataFrame([(1, float("nan")), (2, 5.0), (3, None), (4, -1.0)], "id long, v double")
+    assert [r["id"] for r in df.orderBy(*ranking.best_first("v")).collect()][:2] == [2, 4]
+    assert [r["id"] for r in df.orderBy(*ranking.client_order(df, "v")).collect()] == [2, 1, 3, 4]
+
+
+def test_unknown_sort_column_keeps_the_published_order(spark):
+    df = spark.createDataFrame([(1, "A", 1.0), (2, "B", 3.0), (3, "C", 3.0)], "id long, name string, predicted_points double")
+    shown = predictions_query(df, sort_by="nothing", limit=2)
+    assert [r["id"] for r in shown.collect()] == [2, 3]
 
 
 @pytest.mark.parametrize(("values", "scaled"), [([2.0, 4.0, None], [0.5, 1.0, None]), ([0.0, 0.0], [0.0, 0.0]), ([None], [0.0])])

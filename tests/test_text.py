@@ -109,3 +109,12 @@ def test_money_and_ratio(value):
     assert value(text.venue_word(F.lit(True))) == "Home"
     assert value(text.venue_word(F.lit(None).cast("boolean"))) == "Away"
     assert value(text.venue_letter(F.lit(False))) == "A"
+
+
+def test_plain_numbers_are_written_out(spark):
+    shown = {
+        12345678.5: "12345678.5", 0.0005: "0.0005", 5e-7: "5e-7", 1.5e-9: "1.5e-9", 1e-6: "0.000001", 1e21: "1e+21", 1e20: "100000000000000000000",
+        -12345678.5: "-12345678.5", -0.00025: "-0.00025", 3.0: "3", -4.0: "-4", 0.0: "0", 1234567.891: "1234567.891", 2.5: "2.5", None: None,
+    }
+    df = spark.createDataFrame([(v,) for v in shown], "v double")
+    assert {r["v"]: r["t"] for r in df.select("v", text.plain_number(F.col("v")).alias("t")).collect()} == shown

@@ -125,9 +125,14 @@ def fixed_decimals(number: Column, decimals: int) -> Column:
 
 
 def plain_number(number: Column) -> Column:
-    """Whole numbers without a fraction part, others in shortest form."""
-    whole = (number == F.floor(number)) & (F.abs(number) < 1e18)
-    return F.when(whole, number.cast("decimal(20,0)").cast("string")).otherwise(number.cast("string"))
+    """Whole numbers without a fraction part, others in shortest form; an exponent only from 1e21 on and below 1e-6."""
+    size = F.abs(number)
+    exponent = F.regexp_replace(F.lower(number.cast("string")), r"(\.0)?e(?=\d)", "e+")
+    scientific = F.regexp_replace(exponent, r"\.0e", "e")
+    fraction = F.regexp_replace(number.try_cast("decimal(38,22)").cast("string"), "0+$", "")
+    shown = F.when((size >= 1e21) | ((size < 1e-6) & (size > 0)), scientific)
+    shown = shown.when(number == F.rint(number), number.try_cast("decimal(38,0)").cast("string"))
+    return F.when(F.isnan(number) | (size == float("inf")), number.cast("string")).otherwise(shown.otherwise(fraction))
 
 
 def display_value(value: Column, source_type: str, kind: str, decimals: int | None) -> Column:

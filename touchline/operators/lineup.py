@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.constants import FALLBACK_FORMATION, FORMATIONS, POSITIONS, TEAM_SIZE
+from touchline.functions.numbers import without_nan
+from touchline.functions.text import fixed_decimals, money
 from touchline.operators.ranking import best_first, top_per_group
 
 KEEPER, DEFENDER, MIDFIELDER, FORWARD = POSITIONS.values()
@@ -26,13 +28,15 @@ def _formation(name: str, defenders: int, midfielders: int, forwards: int) -> Co
 
 def _squads(df: DataFrame, by: Sequence[str], points: str, cost: str | None, key: str, keep: Sequence[str]) -> DataFrame:
     """One row per group: its few candidate players and the chosen formation."""
-    value = F.coalesce(F.col(points).cast("double"), F.lit(0.0))
-    candidates = df.where(F.col("position").isin(*POSITIONS.values())).select(
+    number = lambda name: F.coalesce(without_nan(F.col(name).cast("double")), F.lit(0.0))
+    # Rows of no known position stay, a few of each group, so that a group without any other has its summary.
+    known = F.when(F.col("position").isin(*POSITIONS.values()), F.col("position"))
+    candidates = df.select(
         *by,
-        "position",
+        known.alias("position"),
         F.col(key).alias("_key"),
-        value.alias("_points"),
-        (F.coalesce(F.col(cost).cast("double"), F.lit(0.0)) if cost else F.lit(0.0)).alias("_cost"),
+        number(points).alias("_points"),
+        (number(cost) if cost else F.lit(0.0)).alias("_cost"),
         *keep,
     )
     top = top_per_group(candidates, [*by, "position"], best_first("_points", "_key"), _WIDEST, "_rank")
@@ -50,7 +54,7 @@ def _squads(df: DataFrame, by: Sequence[str], points: str, cost: str | None, key
     counts = [F.count_if(F.col("position") == position).alias(f"_count_{position}") for position in needed]
     # At most _WIDEST rows per position reach this list, whatever the size of the group.
     player = F.struct("position", F.col("_rank").alias("slot"), "_key", "_points", "_cost", *keep)
-    packed = top.groupBy(*by).agg(F.collect_list(player).alias("_players"), *sums, *counts)
+    packed = top.groupBy(*by).agg(F.collect_list(F.when(F.col("position").isNotNull(), player)).alias("_players"), *sums, *counts)
 
     options = []
     for preference, (name, defenders, midfielders, forwards) in enumerate(FORMATIONS):
@@ -120,7 +124,10 @@ def best_eleven_summary(
     cost: str | None = "now_cost",
     key: str = "id",
 ) -> DataFrame:
-    """One row per group: formation, size, total points and cost, average over a full team."""
+    """One row per group: formation, size, total points and cost, average over a full team.
+
+    A group without candidates has the fallback formation and totals of 0.
+    """
     squads = _squads(df, by, points, cost, key, ())
     rows = squads.select(*by, F.col("_formation.name").alias("formation"), _selected(squads).alias("_team"))
 
@@ -136,3 +143,15 @@ def best_eleven_summary(
         total("_cost").alias("total_cost"),
         (total("_points") / TEAM_SIZE).alias("average_points"),
     )
+
+
+def lineup_texts(summary: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Summary rows as they are shown: total, cost, average and formation."""
+    one = lambda name: fixed_decimals(F.col(name), 1)
+    return summary.select(
+        *by,
+        one("total_points").alias("total_points"),
+        money(F.col("total_cost")).alias("team_cost"),
+        one("average_points").alias("average_points"),
+        "formation",
+    )

@@ -14,8 +14,8 @@ def row_counts(df: DataFrame, chosen: Column) -> DataFrame:
 
 
 def distinct_with_missing(column: str) -> Column:
-    """Number of distinct values, with a missing value counted as one more."""
-    return F.count_distinct(F.col(column)) + F.max(F.when(F.col(column).isNull(), 1).otherwise(0))
+    """Number of distinct values, with a missing value counted as one more; 0 for no rows."""
+    return F.count_distinct(F.col(column)) + F.coalesce(F.max(F.when(F.col(column).isNull(), 1).otherwise(0)), F.lit(0))
 
 
 def smallest_period(fixtures: DataFrame, condition: Column, column: str = "event") -> DataFrame:
@@ -33,16 +33,25 @@ def sorted_distinct(df: DataFrame, column: str = "team") -> DataFrame:
 
 
 def prediction_statistics(df: DataFrame) -> DataFrame:
-    """One row in one pass: row count, mean and maximum prediction, number of teams, column names."""
+    """One row: row count, mean and maximum prediction, rows per position, number of teams, column names.
+
+    Without a column its figures are 0 or empty. The map holds one entry per position.
+    """
     has = lambda name: name in df.columns
     points = F.col("predicted_points") if has("predicted_points") else F.lit(0.0)
-    return df.agg(
+    teams = distinct_with_missing("team") if has("team") else F.lit(0)
+    totals = df.agg(
         F.count(F.lit(1)).alias("total_players"),
         F.avg(points).cast("double").alias("avg_predicted_points"),
         F.max(points).cast("double").alias("max_predicted_points"),
-        (distinct_with_missing("team") if has("team") else F.lit(0)).cast("long").alias("teams"),
-        F.first(F.lit(",".join(column_list(df)))).alias("columns"),
+        teams.cast("long").alias("teams"),
     )
+    positions = F.create_map().cast("map<string,bigint>")
+    if has("position"):
+        counted = value_counts(df, "position").agg(F.collect_list(F.struct("position", "rows")).alias("_entries"))
+        positions = counted.select(F.map_from_entries(F.sort_array("_entries"))).scalar()
+    listed = F.lit(",".join(column_list(df)))
+    return totals.select("total_players", "avg_predicted_points", "max_predicted_points", positions.alias("positions"), "teams", listed.alias("columns"))
 
 
 def scaled_by_maximum(df: DataFrame, column: str, alias: str) -> DataFrame:
