@@ -117,10 +117,13 @@ def run(
 
 
 def run_snapshot(spark: SparkSession, envelope_path: str, fixtures_path: str, folder: str | None = None, **settings) -> Scored:
-    """The job on landed files: one snapshot document and one fixtures array."""
+    """The job on landed files: one snapshot document and one fixtures array.
+
+    A document is read by one task, so its entities are dealt out before any work is done on them.
+    """
     envelope = readers.read_envelopes(spark, envelope_path)
     return run(
-        readers.entities(envelope),
+        stage(readers.entities(envelope).repartition("id"), "entities"),
         readers.teams(envelope),
         readers.calendar(envelope),
         readers.read_fixtures(spark, fixtures_path),
