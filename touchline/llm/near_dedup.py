@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm import bloom
@@ -20,6 +20,9 @@ PERCENT = 75
 #: 32 bands of 4 bins: two texts at the threshold miss every bucket with a chance of (1 - 0.75**4)**32, five in a million.
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
+#: Bits of a set's parity map, in 64-bit words; and how the number of centres that a bucket elects grows by round.
+PARITY_WORDS = 16
+MORE_CENTRES = 32
 #: A star's members are checked in parts of about so many.
 STAR_PART = 512
 _SEED = 20
@@ -73,19 +76,33 @@ def band_keys(made: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Each shingle flips one bit, so two sets differ in at least as many shingles as their maps differ in bits."""
+    flips = np.bincount((shingles & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _may_link(words: str, n: str, other_words: str, other_n: str) -> Column:
+    """False only for pairs that are surely no link: with d shingles in one set only, the similarity is (n + m - d) / (n + m + d)."""
+    differ = sum((F.bit_count(F.col(words)[i].bitwiseXOR(F.col(other_words)[i])) for i in range(PARITY_WORDS)), F.lit(0))
+    total = F.col(n) + F.col(other_n)
+    return 100 * (total - differ) >= PERCENT * (total + differ)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     choices = _choices()
     for batch in batches:
-        sizes, digests, bands = [], [], []
+        sizes, digests, bands, maps = [], [], [], []
         for data in batch.column(2):
             shingles = shingle_set(data.as_py())
             sizes.append(len(shingles))
             digests.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
+            maps.append(parity(shingles))
             bands.append(band_keys(signature(shingles, choices)) if len(shingles) else np.empty(0, np.int64))
         offsets = pa.array(np.cumsum([0, *map(len, bands)]), pa.int32())
         values = pa.array(np.concatenate([np.empty(0, np.int64), *bands]))
-        arrays = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offsets, values)]
-        yield pa.RecordBatch.from_arrays(arrays, ["key", "text_hash", "n", "digest", "bands"])
+        arrays = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offsets, values), pa.array(maps, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(arrays, ["key", "text_hash", "n", "digest", "bands", "parity"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,8 +150,9 @@ def _labels(classes: DataFrame, docs: DataFrame, blocks: int) -> DataFrame:
 
     In each round the buckets elect centres and only pairs of a centre and a member are checked, so a bucket of m members
     gives at most m pairs per centre. A centre that has been checked leaves, and a bucket ends when all that is left of
-    it is in one component. In round t a bucket elects up to 4**t centres, the best connected of its members dealt out by hash: the
-    first round takes one, which for a group of near copies is about its middle and links them all.
+    it is in one component. The first round takes one centre, the best connected member, which for a group of near copies is about its
+    middle and links most of them. The next rounds are for members that are still apart: more centres, dealt out by hash, and
+    of their pairs only those whose parity maps leave the link possible are checked on the sets.
     """
     members = _members(classes)
     needed = stage(classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "text_hash"), "needed")
@@ -145,16 +163,18 @@ def _labels(classes: DataFrame, docs: DataFrame, blocks: int) -> DataFrame:
     labels = None
     turn = 0
     while not members.isEmpty():
-        best = F.max_by(F.struct("node", "n", "label"), F.struct("degree", -F.col("node"))).alias("c")
-        centres = stage(members.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(4**turn)).alias("deal")).agg(best).select("bucket", "c.*"), "centres")
-        mates = centres.select("bucket", F.col("node").alias("centre"), F.col("n").alias("n_centre"), F.col("label").alias("label_centre"))
-        sized = 100 * F.least("n", "n_centre") >= PERCENT * F.greatest("n", "n_centre")
-        pairs = members.join(mates, "bucket").where((F.col("label") != F.col("label_centre")) & sized).select("centre", "node", "degree")
-        pairs = stage(pairs.select("centre", "node").distinct(), "pairs")
-        links = _verified(pairs, texts)
+        held = ["node", "n", "label", *(["parity"] if turn else [])]
+        best = F.max_by(F.struct(*held), F.struct("degree", -F.col("node"))).alias("c")
+        centres = stage(members.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(MORE_CENTRES**turn)).alias("deal")).agg(best).select("bucket", "c.*"), "centres")
+        mates = centres.select("bucket", *[F.col(name).alias(f"{name}_centre") for name in held])
+        fits = (F.col("label") != F.col("label_centre")) & (100 * F.least("n", "n_centre") >= PERCENT * F.greatest("n", "n_centre"))
+        if turn:
+            fits = fits & _may_link("parity", "n", "parity_centre", "n_centre")
+        pairs = members.join(mates, "bucket").where(fits).select(F.col("node_centre").alias("centre"), "node").distinct()
+        links = _verified(stage(pairs, "pairs"), texts)
         if labels is None:
             labels = connect(links)
-        else:
+        elif not links.isEmpty():
             ends = links
             for end in ("a", "b"):
                 named = labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
@@ -164,11 +184,14 @@ def _labels(classes: DataFrame, docs: DataFrame, blocks: int) -> DataFrame:
             old = labels.join(renamed, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
             new = joined.join(labels.select("node"), "node", "left_anti")
             labels = stage(old.unionByName(new), "labels")
-        left = members.join(centres.select("bucket", "node"), ["bucket", "node"], "left_anti")
-        left = left.drop("label").join(labels, "node", "left").select("bucket", "node", "n", "degree", F.coalesce("label", "node").alias("label"))
+        left = members.join(centres.select("bucket", "node"), ["bucket", "node"], "left_anti").drop("label")
+        left = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         left = stage(left, "members")
         open_ = stage(left.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket"), "open")
-        members = stage(left.join(open_, "bucket", "left_semi"), "members")
+        members = left.join(open_, "bucket", "left_semi")
+        if not turn:
+            members = members.join(classes.select("node", "parity"), "node")
+        members = stage(members, "members")
         turn += 1
     return labels
 
@@ -178,10 +201,10 @@ def _grouped(docs: DataFrame, key: str, text: str, blocks: int) -> DataFrame:
     key_type = docs.schema[key].dataType.simpleString()
     whole = F.coalesce(F.col(text), F.lit(""))
     read = docs.select(F.col(key).alias("key"), F.md5(whole).alias("text_hash"), whole.cast("binary").alias("data"))
-    sketch = stage(read.mapInArrow(_sketch, f"key {key_type}, text_hash string, n long, digest binary, bands array<long>"), "sketch")
-    some = F.min(F.struct("text_hash", "bands")).alias("some")
+    sketch = stage(read.mapInArrow(_sketch, f"key {key_type}, text_hash string, n long, digest binary, bands array<long>, parity array<long>"), "sketch")
+    some = F.min(F.struct("text_hash", "bands", "parity")).alias("some")
     classes = sketch.where("n > 0").groupBy("digest", "n").agg(F.min("key").alias("low"), some)
-    classes = stage(classes.select(F.monotonically_increasing_id().alias("node"), "digest", "n", "low", "some.text_hash", "some.bands"), "classes")
+    classes = stage(classes.select(F.monotonically_increasing_id().alias("node"), "digest", "n", "low", "some.text_hash", "some.bands", "some.parity"), "classes")
     labels = _labels(classes, read.select("text_hash", "data"), blocks)
     if labels is None:
         named = classes.select("digest", F.col("node").alias("group"), "low")
