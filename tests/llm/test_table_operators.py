@@ -296,3 +296,22 @@ def test_chunks_meet_again_after_a_change(spark):
 
 def test_exact_dedup_of_an_empty_table(spark):
     assert exact_dedup.dedup(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_mixed_words_of_repeated_rows(spark, seed):
+    """Rows alike in all columns at the place of the cut: the source still gives its budget to the word."""
+    rnd = random.Random(seed)
+    given = [(rnd.choice([7, 7, 7, None, 1, 2]), "w " * (5 if rnd.random() < 0.7 else rnd.randint(0, 9)), "en", rnd.choice(["a", "a", "b"])) for _ in range(60)]
+    given += [(n, "v " * 100, "en", "c") for n in range(seed)]
+    table = spark.createDataFrame(given, DOCS).repartition(4)
+    want = Counter()
+    for r in mixing.shares(table).collect():
+        want[r["source"]] += r["taken"]
+    got, copies = Counter(), Counter()
+    for r in mixing.mix(table).collect():
+        got[r["source"]] += len(words(r["text"]))
+        copies[r["doc_id"], r["source"], len(words(r["text"]))] += 1
+    assert got == +want
+    there = Counter((r[0], r[3], len(words(r[1]))) for r in given)
+    assert all(n <= 3 * there[k] + 1 for k, n in copies.items() if k in there)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.llm.prefix import running_before
-from touchline.llm.text import fresh, word_count
+from touchline.llm.text import WORD, unused_prefix, word_count
 from touchline.session import stage
 
 MOST_REPEATS = 3
@@ -57,21 +57,19 @@ def _sized(docs: DataFrame, key: str, text: str, source: str, row: Column) -> Da
     )
 
 
-def _taken(sized: DataFrame, weights: Sequence[int], most: int) -> DataFrame:
+def _placed(sized: DataFrame, weights: Sequence[int], most: int, order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows with the words before them in their source, and per source: of, source_size, target, rounds, rest."""
     sized = stage(sized, "sizes")
-    per_source = stage(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
-    placed = running_before(sized, "source", ["draw", "key", "size", "row"], ["size"])
-    whole = per_source.withColumnRenamed("source", "of").withColumn("budget", F.floor("target").cast("long"))
-    whole = whole.select(
-        "of",
+    per_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    some = F.col("source_size") > 0
+    whole = per_source.withColumn("budget", F.floor("target").cast("long")).select(
+        F.col("source").alias("of"),
         "source_size",
         "target",
-        F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0)).cast("long").alias("rounds"),
-        F.when(F.col("source_size") > 0, F.expr("budget % source_size")).otherwise(F.lit(0)).cast("long").alias("rest"),
+        F.when(some, F.expr("budget div source_size")).otherwise(0).cast("long").alias("rounds"),
+        F.when(some, F.expr("budget % source_size")).otherwise(0).cast("long").alias("rest"),
     )
-    joined = placed.join(whole, F.col("source").eqNullSafe(F.col("of")))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before_size")))
-    return joined.select("row", "key", "source", "size", "source_size", "target", "rounds", part.alias("part"), (F.col("rounds") * F.col("size") + part).alias("taken"))
+    return running_before(sized, "source", order, ["size"]), stage(whole, "targets")
 
 
 def shares(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), key: str = "doc_id", text: str = "text", source: str = "source", most: int = MOST_REPEATS) -> DataFrame:
@@ -84,7 +82,12 @@ def shares(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), key: str = "doc_
     Null texts have size 0 and give nothing. Null sources are one source, ordered last. Rows that repeat a key stand side
     by side and are taken as separate rows. Extra columns are ignored, whatever their names. Empty tables give no rows.
     """
-    return _taken(_sized(docs, key, text, source, F.monotonically_increasing_id()), weights, most).drop("row").withColumnRenamed("key", key)
+    sized = _sized(docs, key, text, source, F.monotonically_increasing_id())
+    placed, whole = _placed(sized, weights, most, ["draw", "key", "size", "row"])
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before_size")))
+    joined = placed.join(whole, F.col("source").eqNullSafe(F.col("of"))).withColumn("part", part)
+    taken = (F.col("rounds") * F.col("size") + F.col("part")).alias("taken")
+    return joined.select(F.col("key").alias(key), "source", "size", "source_size", "target", "rounds", "part", taken)
 
 
 def first_words(text: Column, count: Column) -> Column:
@@ -93,17 +96,53 @@ def first_words(text: Column, count: Column) -> Column:
     return F.array_join(F.slice(pieces, F.lit(1), count.cast("int")), "")
 
 
+def _identity(docs: DataFrame, text: str) -> Column:
+    """A digest of all columns: rows that share it are alike in everything."""
+    others = F.to_json(F.struct(*[F.col(c) for c in docs.columns if c != text]))
+    return F.md5(F.concat(F.md5(F.coalesce(F.col(text), F.lit(""))), others))
+
+
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), key: str = "doc_id", text: str = "text", source: str = "source", most: int = MOST_REPEATS) -> DataFrame:
     """The mixed documents, with the columns of the input: a row for each time that a document is taken; cut at the budget.
 
-    The input is written once with a row number, since rows that repeat a key must stay apart. Only sizes and hashes are
-    ordered and summed; texts move once, when the shares are joined. Documents without words are not taken.
+    Only sizes and digests are ordered and summed. From them each source gets its cut: the document at which its budget
+    ends, and how many words of it are taken. A document compares itself with its source's cut, so texts don't move.
+    Rows alike in all columns may share the place of the cut; they are then counted out from one of them.
+
+    Documents without words are not taken. Other cases as in ``shares``.
     """
-    row = fresh(docs, "_mix_row")
-    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    share = _taken(_sized(numbered, key, text, source, F.col(row)), weights, most).where("taken > 0")
-    parts = fresh(docs, "_mix_part")
-    share = share.select(F.col("row").alias(row), F.concat(F.array_repeat(F.col("size"), F.col("rounds").cast("int")), F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<long>"))).alias(parts), F.col("size").alias(parts + "_size"))
-    copies = numbered.join(share, row).withColumn(parts, F.explode(parts))
-    cut = F.when(F.col(parts) < F.col(parts + "_size"), first_words(F.col(text), F.col(parts))).otherwise(F.col(text))
-    return copies.withColumn(text, cut).select(*docs.columns)
+    row = _identity(docs, text)
+    placed, whole = _placed(_sized(docs, key, text, source, row), weights, most, ["draw", "key", "row"])
+    at = placed.join(whole, F.col("source").eqNullSafe(F.col("of"))).where("before_size < rest AND rest <= before_size + size")
+    at = stage(at.select("of", F.col("row").alias("edge_row"), F.struct("draw", "key", "row").alias("edge")), "edges")
+    alike = placed.join(at, F.col("source").eqNullSafe(F.col("of")) & (F.col("row") == F.col("edge_row")))
+    alike = alike.groupBy("of", "edge").agg(F.min("before_size").alias("edge_before"), F.count(F.lit(1)).alias("alike"), F.max("size").alias("edge_size"))
+    alike = alike.select(F.col("of").alias("edge_of"), "edge", "edge_before", "alike", "edge_size")
+    cuts = whole.join(alike, F.col("of").eqNullSafe(F.col("edge_of")), "left")
+    cuts = stage(cuts.select("of", "rounds", "rest", "edge", "alike", "edge_size", (F.col("rest") - F.col("edge_before")).alias("left")), "cuts")
+
+    own = unused_prefix(docs, "_mix")
+    name = lambda part: f"{own}_{part}"
+    col = lambda part: F.col(name(part))
+    cuts = cuts.select(*[F.col(c).alias(name(c)) for c in cuts.columns])
+    place = F.struct(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("draw"), F.col(key).alias("key"), row.alias("row"))
+    marked = docs.where(F.col(text).rlike(WORD)).withColumn(name("place"), place)
+    full = F.array_repeat(F.col(text), col("rounds").cast("int"))
+    nothing = F.array().cast("array<string>")
+
+    joined = marked.join(cuts, F.col(source).cast("string").eqNullSafe(col("of")))
+    here = F.coalesce(col("place") == col("edge"), F.lit(False))
+    earlier = F.coalesce(col("place") < col("edge"), F.lit(False))
+    cut = here & (col("left") < col("edge_size"))
+    extra = F.when(cut, F.array(first_words(F.col(text), col("left")))).when(here | earlier, F.array(text))
+    single = joined.where(~here | (col("alike") == 1)).withColumn(name("kept"), F.explode(F.concat(full, F.coalesce(extra, nothing))))
+
+    shared = cuts.where(col("alike") > 1)
+    repeated = marked.join(shared, F.col(source).cast("string").eqNullSafe(col("of"))).where(col("place") == col("edge")).dropDuplicates([name("of")])
+    repeated = repeated.withColumn(name("nth"), F.explode(F.sequence(F.lit(0).cast("long"), col("alike") - 1)))
+    part = F.greatest(F.lit(0), F.least(col("edge_size"), col("left") - col("nth") * col("edge_size")))
+    parts = F.when(part == col("edge_size"), F.array(text)).when(part > 0, F.array(first_words(F.col(text), part)))
+    repeated = repeated.withColumn(name("kept"), F.explode(F.concat(full, F.coalesce(parts, nothing))))
+
+    shown = [col("kept").alias(c) if c == text else F.col(c) for c in docs.columns]
+    return single.select(*shown).unionByName(repeated.select(*shown))

@@ -37,6 +37,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def unused_prefix(df: DataFrame, prefix: str) -> str:
+    """A prefix with which no column name of the table begins."""
+    while any(column.lower().startswith(prefix) for column in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once per row, however often the body uses it."""
     return F.transform(F.array(value), body)[0]
