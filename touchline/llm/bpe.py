@@ -9,22 +9,28 @@ back where none is left. A place that could not be continued is marked, so that
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: Fixed: how the tokenizer files split a text before merging. White space is the Unicode property.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+#: The same for ASCII texts, where the classes are ranges.
+ASCII_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+#: Entries of a worker's caches, the size of the longest piece kept, and rows at a time.
 CACHED = 1 << 18
+CACHED_PAIRS = 1 << 19
 CACHED_SIZE = 64
+ROWS_AT_ONCE = 256
 DECODED_AT_ONCE = 1 << 18
 
 
@@ -36,21 +42,29 @@ def _printable_bytes() -> dict[str, int]:
 
 
 class _Known(dict):
-    """Tokens of pieces seen before; emptied when full. Long pieces are not kept."""
+    """Tokens of pieces seen before. When full, the entries become the old ones, from which those still in use come back.
+    Long pieces are not kept."""
 
     def __init__(self, made: Codec):
         super().__init__()
-        self.made = made
+        self.made, self.old = made, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        tokens = tuple(self.made.merge(piece.encode("utf-8", "replace")))
+        tokens = self.old.get(piece)
+        if tokens is None:
+            tokens = tuple(self.made.merge(piece.encode("utf-8", "replace")))
         if len(piece) <= CACHED_SIZE:
             if len(self) >= CACHED:
+                self.old = dict(self)
                 self.clear()
             self[piece] = tokens
         return tokens
 
 
+def _pair(left: int, right: int) -> int:
+    return left << 20 | right
+
+
 class Codec:
     """Encoder and decoder of one tokenizer file."""
 
@@ -61,20 +75,21 @@ class Codec:
         id_of = {text: number for number, text in self.text_of.items()}
         self.special = {t["content"]: t["id"] for t in described["added_tokens"]}
         self.special_split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.pieces = regex.compile(PIECES)
+        self.pieces, self.ascii_pieces = regex.compile(PIECES), re.compile(ASCII_PIECES)
 
-        self.merged: dict[tuple[int, int], tuple[int, int]] = {}  # pair -> (rank, token)
+        self.merged: dict[int, int] = {}  # pair -> rank
         self.made_of: dict[int, tuple[int, int, int]] = {}  # token -> (rank, left, right)
         for rank, merge in enumerate(described["model"]["merges"]):
             left, right = (id_of[bytes(byte_of[c] for c in part)] for part in (merge.split(" ") if isinstance(merge, str) else merge))
             token = id_of[self.text_of[left] + self.text_of[right]]
-            if (left, right) not in self.merged:
-                self.merged[left, right] = (rank, token)
+            if _pair(left, right) not in self.merged:
+                self.merged[_pair(left, right)] = rank
                 self.made_of.setdefault(token, (rank, left, right))
 
+        self.token_of = {text.decode("latin-1"): number for text, number in id_of.items()}
         self.matcher = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for text, number in id_of.items():
-            self.matcher.add_word(text.decode("latin-1"), number)
+        for shown, number in self.token_of.items():
+            self.matcher.add_word(shown, number)
         self.reach = max(map(len, id_of))
         self.size_of = {number: len(text) for text, number in id_of.items()}
         self.shorter = dict.fromkeys(self.size_of, -1)  # token -> the longest token that is a proper prefix of it
@@ -83,7 +98,7 @@ class Codec:
                 if text[:size] in id_of:
                     self.shorter[number] = id_of[text[:size]]
                     break
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
         self.known = _Known(self)
 
         top = max([*self.text_of, *self.special.values()]) + 1
@@ -100,21 +115,23 @@ class Codec:
         Undo the merges that touch the border, the later one first. A merge across the border that comes before the undone
         one would have been made instead, and the pair would not stand.
         """
-        pair = (left, right)
+        pair = _pair(left, right)
         known = self.compatible.get(pair)
         if known is None:
+            if len(self.compatible) >= CACHED_PAIRS:
+                self.compatible.clear()
             known = self.compatible[pair] = self._stands(left, right)
         return known
 
     def _stands(self, left: int, right: int) -> bool:
-        never = len(self.merged)
-        undone, side = never, 0
+        merged, made_of = self.merged, self.made_of
+        undone, side = len(merged), 0
         while True:
-            across = self.merged.get((left, right))
+            across = merged.get(left << 20 | right)
             # an equal rank is the same merge on both sides, made from the left
-            if across is not None and (across[0] < undone or across[0] == undone and side == 1):
+            if across is not None and (across < undone or across == undone and side == 1):
                 return False
-            a, b = self.made_of.get(left), self.made_of.get(right)
+            a, b = made_of.get(left), made_of.get(right)
             if a is None and b is None:
                 return True
             if b is None or a is not None and a[0] > b[0]:
@@ -125,9 +142,11 @@ class Codec:
     def longest(self, shown: str) -> int:
         """The longest token that a text begins with: the automaton follows it as far as any token goes, and steps back."""
         size = self.matcher.longest_prefix(shown)
-        while size > 1 and shown[:size] not in self.matcher:
+        token = self.token_of.get(shown[:size])
+        while token is None:
             size -= 1
-        return self.matcher.get(shown[:size])
+            token = self.token_of.get(shown[:size])
+        return token
 
     def merge(self, data: bytes) -> list[int]:
         """The tokens that the merges make of a piece, in time linear in its size."""
@@ -140,7 +159,7 @@ class Codec:
             stop = at + size_of[token]
             if not (closed and closed[stop]):
                 last = tokens[-1] if tokens else -1
-                fits = last < 0 or compatible.get((last, token))
+                fits = last < 0 or compatible.get(last << 20 | token)
                 if fits is None:
                     fits = self.fits(last, token)
                 if fits:
@@ -164,7 +183,8 @@ class Codec:
             if section in self.special:
                 parts.append(np.array([self.special[section]], dtype=np.int32))
             elif section:
-                tokens = chain.from_iterable(map(self.known.__getitem__, self.pieces.findall(section)))
+                pieces = self.ascii_pieces if section.isascii() else self.pieces
+                tokens = chain.from_iterable(map(self.known.__getitem__, pieces.findall(section)))
                 parts.append(np.fromiter(tokens, dtype=np.int32))
         return parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, np.int32), *parts])
 
@@ -191,43 +211,47 @@ def read_tokenizer(path: str) -> str:
         return file.read()
 
 
-def encode(text: Column, tokenizer) -> Column:
-    """Array of ids of a text; ``tokenizer`` is a broadcast of ``read_tokenizer``. Null counts as empty."""
-
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        made = codec(tokenizer.value)
-        for texts in batches:
-            yield pd.Series([made.encode("" if t is None else t) for t in texts], dtype=object)
-
-    return ids(text)
-
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that a worker holds the ids of few texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
 
-def decode(ids: Column, tokenizer) -> Column:
-    """The text of an array of ids; null for null."""
 
-    @F.pandas_udf("string")
-    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        made = codec(tokenizer.value)
-        for arrays in batches:
-            yield pd.Series([None if a is None else made.decode(np.asarray(a)) for a in arrays], dtype=object)
-
-    return text(ids)
+def _id_lists(made: Codec, texts: pa.Array) -> tuple[list[np.ndarray], pa.Array]:
+    lists = [made.encode(t.as_py() or "") for t in texts]
+    offsets = pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
+    return lists, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(lists), pa.int32()))
 
 
 def tokenize(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """The documents with their token ids in a further column. Rows don't move, and memory is that of a batch.
+    """The documents with their token ids in a further column. Rows don't move, and memory is that of a few texts.
 
     The result is that of the tokenizer library without special tokens added; a special token's text in a document gives its id.
     Null texts count as empty and have no ids. Rows are independent, so repeated rows repeat their result. A column
     that has the name of the result is replaced. Empty tables give no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_tokenizer(path))
-    return docs.withColumn(ids, encode(F.col(text), shared))
+    kept = docs.select(*[c for c in docs.columns if c != ids])
+    at = kept.columns.index(text)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = codec(shared.value)
+        for batch in _slices(batches):
+            yield batch.append_column(ids, _id_lists(made, batch.column(at))[1])
+
+    return kept.mapInArrow(encode, T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: key, ids, decoded."""
+    """One row per document: key, ids, decoded; cases as in ``tokenize``."""
     shared = docs.sparkSession.sparkContext.broadcast(read_tokenizer(path))
-    encoded = docs.select(F.col(key).alias(key), encode(F.col(text), shared).alias("ids"))
-    return encoded.withColumn("decoded", decode(F.col("ids"), shared))
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = codec(shared.value)
+        for batch in _slices(batches):
+            lists, ids = _id_lists(made, batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([made.decode(some) for some in lists], pa.string())], [key, "ids", "decoded"])
+
+    fields = [T.StructField(key, docs.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    return docs.select(key, text).mapInArrow(both, T.StructType(fields))
