@@ -255,6 +255,20 @@ def test_thresholds_follow_language_and_source(spark, least):
     assert quality_rules.judge(docs(spark, [])).count() == 0
 
 
+def test_long_words_are_judged_by_their_own_group(spark):
+    rnd = random.Random(5)
+    text = lambda size: " ".join(f"{rnd.getrandbits(4 * size):0{size}x}" for _ in range(50))
+    given = [(n, text(250 + n % 71), "zh", "books") for n in range(120)] + [(1000, text(2000), "zh", "books")]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(given, DOCS).repartition(3)).collect()}
+    assert kept == {n: n < 1000 for n in kept} and len(kept) == 121
+
+
+def test_buckets_have_no_ceiling(spark):
+    values = [*range(0, 5000, 7), 2047, 2048, 2049, 10**6, 10**9, 2**31, 2**40 + 12345]
+    got = spark.createDataFrame([(v,) for v in values], "v long").select("v", quality_rules.bucket("v").alias("b")).collect()
+    assert all(r["b"] == r["v"] if r["v"] < 2048 else r["v"] <= r["b"] < r["v"] * 1.001 for r in got) and len(got) == len(values)
+
+
 # --- Exact dedup
 
 

@@ -82,15 +82,25 @@ class Rule:
     reach: int = 3
 
 
-#: Thousandths, and tenths of characters per word; a value over 2,000 counts as 2,000, so a sketch has at most 2,001 buckets.
+#: Thousandths, and tenths of characters per word.
 RULES = (
     Rule("symbols", "1000 * n_symbols div word_chars", 40),
     Rule("dup_lines", "1000 * n_dup_lines div n_lines", 120),
     Rule("repeats", "1000 * n_repeat_words div n_words", 100),
     Rule("word_length", "10 * word_chars div n_words", 12),
 )
-TOP = 2000
 LEAST_DOCUMENTS = 100
+#: A value of up to so many binary digits has a bucket of its own; of longer ones so many leading digits count.
+DIGITS = 11
+
+
+def bucket(value: str) -> Column:
+    """The largest value that falls into the same bucket: the value itself under 2,048, else less than a thousandth above it.
+
+    Without a ceiling: each doubling from 2,048 on adds 1,024 buckets.
+    """
+    cut = f"greatest(length(bin({value})) - {DIGITS}, 0)"
+    return F.expr(f"shiftleft(shiftright({value}, {cut}) + 1L, {cut}) - 1L")
 
 
 def sketches(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -98,7 +108,7 @@ def sketches(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     Sketches merge by adding counts, in any order and with the same result.
     """
-    values = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.least(F.lit(TOP), F.expr(r.value)).cast("int").alias("bucket")) for r in rules])
+    values = F.array(*[F.struct(F.lit(r.name).alias("rule"), bucket(f"cast({r.value} AS bigint)").alias("bucket")) for r in rules])
     return measured.where("n_words > 0").select("lang", "source", F.explode(values).alias("v")).groupBy("lang", "source", "v.rule", "v.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -115,7 +125,8 @@ def thresholds(counts: DataFrame, rules: tuple[Rule, ...] = RULES, least: int =
     """Per lang and source one column per rule: the largest value that stays.
 
     A group with fewer than ``least`` documents takes its language's merged sketch, and a language with fewer the whole
-    table's. Sketches hold up to 2,001 buckets per rule, so no window here grows with the documents.
+    table's. Sketches hold up to 2,048 buckets per rule and 1,024 for each doubling above, so no window here grows with
+    the documents.
     """
     reach = {r.name: r for r in rules}
     limit = None
