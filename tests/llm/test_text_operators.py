@@ -222,6 +222,27 @@ def test_held_out_rows_are_not_learned_from(spark):
     assert rows(right) == rows(quality_crf.classify(table, wrong).select("doc_id", "score"))
 
 
+def test_long_documents_are_learned_from(spark):
+    rnd = random.Random(4)
+    given = [(n, "\n".join(junk(rnd, n % 4 == 0) for _ in range(60)), int(n % 4 != 0)) for n in range(120)]
+    table = spark.createDataFrame([g[:2] for g in given], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(g[0], g[2]) for g in given], "doc_id long, quality int")
+    out = quality_crf.classify(table, labels).join(labels, "doc_id").collect()
+    assert all(r["predicted"] == r["quality"] for r in out) and len(out) == 120
+
+
+def test_sample_is_picked_among_texts_and_runs_are_bounded(spark, monkeypatch):
+    table, labels = labelled(spark)
+    longer = table.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.repeat(F.concat("text", F.lit("\n")), 200)).otherwise(F.col("text")))
+    absent = spark.range(10_000, 14_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    seen = {}
+    monkeypatch.setattr(quality_crf, "train", lambda sequences, labels, around: seen.update(sequences=sequences, around=around))
+    quality_crf.fit(longer, labels.unionByName(absent), sample=100)
+    own = [len(s) - sum(a) for s, a in zip(seen["sequences"], seen["around"], strict=True)]
+    assert len(own) == 100 and max(own) == 64 and own.count(64) > 20
+    assert {(1, 1)} <= set(seen["around"]) and all(a == (0, 0) for n, a in zip(own, seen["around"], strict=True) if n < 64)
+
+
 def test_classifier_of_odd_rows(spark):
     table, labels = labelled(spark, 80)
     odd_labels = labels.union(spark.createDataFrame([(None, 1), (5, None), (5, 7)], "doc_id long, quality int"))

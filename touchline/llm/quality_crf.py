@@ -23,8 +23,8 @@ MEASURES = {
     "words": (0.0, 2.0, 9.0, 29.0),
 }
 RANGES = 5
-#: The sample that is fitted: at most so many labelled documents, of at most so many lines and bytes each; others are left out of it.
-SAMPLE, SAMPLE_LINES, SAMPLE_BYTES = 3000, 64, 100_000
+#: The sample that is fitted: at most so many labelled documents, and of a longer one a run of so many lines.
+SAMPLE, SAMPLE_LINES = 3000, 64
 #: A document is good from this score on.
 GOOD = 0.7
 
@@ -119,28 +119,36 @@ def _blank(labels: list[int]) -> Model:
     return Model(flat, flat, flat, log(share / (1 - share)), 0.0, np.zeros((2, 2)))
 
 
-def train(sequences: list[np.ndarray], labels: list[int], turns: int = 200, rate: float = 0.2, ridge: float = 0.0005) -> Model:
-    """Maximum likelihood with every line labelled as its text, by Adam over forward and backward sums of all texts at once."""
+def train(
+    sequences: list[np.ndarray], labels: list[int], turns: int = 200, rate: float = 0.2, ridge: float = 0.0005, around: list[tuple[int, int]] | None = None
+) -> Model:
+    """Maximum likelihood with every line labelled as its text, by Adam over forward and backward sums of all texts at once.
+
+    ``around`` tells how many lines (0 or 1) at the start and end of each sequence are only neighbours of a run.
+    """
     if len(set(labels)) < 2:
         return _blank(labels)
     order = sorted(range(len(sequences)), key=lambda n: (len(sequences[n]), n))
     groups = [order[n : n + 500] for n in range(0, len(order), 500)]
     m, size = len(MEASURES), len(MEASURES) * RANGES
+    around = around or [(0, 0)] * len(sequences)
     padded = []
     for group in groups:
-        longest = max(len(sequences[n]) for n in group)
+        lengths = np.array([len(sequences[n]) - sum(around[n]) for n in group])
+        longest = int(lengths.max())
         places = np.full((len(group), longest + 2, m), -1, dtype=np.int64)
         for row, n in enumerate(group):
-            places[row, 1 : len(sequences[n]) + 1] = sequences[n] + np.arange(m) * RANGES
-        lengths = np.array([len(sequences[n]) for n in group])
-        padded.append((places, np.arange(longest) < lengths[:, None], np.array([labels[n] for n in group], dtype=float)))
+            first_place = 1 - around[n][0]
+            places[row, first_place : first_place + len(sequences[n])] = sequences[n] + np.arange(m) * RANGES
+        opens = np.array([1.0 - around[n][0] for n in group])
+        padded.append((places, np.arange(longest) < lengths[:, None], np.array([labels[n] for n in group], dtype=float), opens))
     theta = np.zeros(3 * size + 6)  # own, before, after, bias, start, four steps
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    lines = sum(len(s) for s in sequences)
+    lines = sum(len(s) - sum(a) for s, a in zip(sequences, around, strict=True))
     for turn in range(1, turns + 1):
         slope = -ridge * theta
-        for places, live, label in padded:
-            slope += _slope(theta, places, live, label, size) / lines * 10
+        for places, live, label, opens in padded:
+            slope += _slope(theta, places, live, label, size, opens) / lines * 10
         first = 0.9 * first + 0.1 * slope
         second = 0.99 * second + 0.01 * slope**2
         theta = theta + rate * (first / (1 - 0.9**turn)) / (np.sqrt(second / (1 - 0.99**turn)) + 1e-8)
@@ -148,14 +156,14 @@ def train(sequences: list[np.ndarray], labels: list[int], turns: int = 200, rate
     return Model(own, before, after, float(theta[3 * size]), float(theta[3 * size + 1]), theta[3 * size + 2 :].reshape(2, 2))
 
 
-def _slope(theta: np.ndarray, places: np.ndarray, live: np.ndarray, label: np.ndarray, size: int) -> np.ndarray:
-    """Gradient of the log likelihood: what the labels count, less what the chain expects."""
+def _slope(theta: np.ndarray, places: np.ndarray, live: np.ndarray, label: np.ndarray, size: int, opens: np.ndarray | float = 1.0) -> np.ndarray:
+    """Gradient of the log likelihood: what the labels count, less what the chain expects; ``opens`` is 1 where a text begins."""
     longest = live.shape[1]
     evidence = np.full(live.shape, theta[3 * size])
     for k, shift in enumerate((1, 0, 2)):
         weights = np.append(theta[k * size : (k + 1) * size], 0.0)  # place -1 is no line
         evidence = evidence + weights[places[:, shift : shift + longest]].sum(axis=2)
-    evidence[:, 0] += theta[3 * size + 1]
+    evidence[:, 0] += theta[3 * size + 1] * opens
     steps = theta[3 * size + 2 :].reshape(2, 2)
     scores = np.stack([np.zeros_like(evidence), evidence], axis=2)
     ahead, back = np.zeros_like(scores), np.zeros_like(scores)
@@ -176,7 +184,7 @@ def _slope(theta: np.ndarray, places: np.ndarray, live: np.ndarray, label: np.nd
         counted = np.bincount((at + 1).reshape(-1), np.repeat(gap.reshape(-1), at.shape[2]), minlength=size + 1)
         slope[k * size : (k + 1) * size] = counted[1 : size + 1]
     slope[3 * size] = gap.sum()
-    slope[3 * size + 1] = gap[:, 0].sum()
+    slope[3 * size + 1] = (gap[:, 0] * opens).sum()
     pairs = live[:, 1:]
     for i in (0, 1):
         for j in (0, 1):
@@ -192,24 +200,31 @@ def held_out(key: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
-    """A model of at most ``sample`` labelled rows that are not held out, taken in the order of a hash of the key.
+    """A model of at most ``sample`` labelled documents that are not held out, taken in the order of a hash of the key.
 
-    The sample's size is bounded, so its keys are broadcast and its line ranges are brought to the driver: at most 64
-    lines of 8 bytes for each. Of several labels for a key the smallest counts; null keys and labels are left out.
+    Only keys with a text are taken. Of a text of over 64 lines a run of 64 counts, from a place by a hash of the key,
+    with the lines next to it as neighbours. The sample's size is bounded, so its keys are broadcast and its line ranges
+    are brought to the driver: at most 66 lines of 8 bytes for each. Of several labels for a key the smallest counts; null
+    keys and labels are left out.
     """
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("key IS NOT NULL AND label IN (0, 1)").where(~held_out(F.col("key")))
     known = known.groupBy("key").agg(F.min("label").alias("label"))
-    picked = known.orderBy(F.xxhash64("key"), "key").limit(sample)
-    size, lines = F.octet_length(F.col(text)), F.regexp_count(F.col(text), F.lit("\n")) + 1
+    read = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text IS NOT NULL")
+    picked = known.join(read.select("key").distinct(), "key", "left_semi").orderBy(F.xxhash64("key"), "key").limit(sample)
+    lines = F.regexp_count("text", F.lit("\n")) + 1
+    start = F.when(lines > SAMPLE_LINES, F.pmod(F.xxhash64(F.lit("run"), "key"), lines - SAMPLE_LINES + 1)).otherwise(0).cast("long")
 
     @F.pandas_udf("binary")
-    def ranges(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: codes(t.encode("utf-8", "replace").split(b"\n")).tobytes())
-
-    read = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where((size <= SAMPLE_BYTES) & (lines <= SAMPLE_LINES))
-    rows = read.join(F.broadcast(picked), "key").select("key", "label", ranges("text").alias("ranges")).limit(2 * sample).collect()
-    rows = sorted((r["key"], r["label"], bytes(r["ranges"])) for r in rows)
-    return train([np.frombuffer(r[2], np.int8).reshape(-1, len(MEASURES)).astype(np.int64) for r in rows], [r[1] for r in rows])
+    def ranges(texts: pd.Series, starts: pd.Series) -> pd.Series:
+        runs = (t.encode("utf-8", "replace").split(b"\n")[max(at - 1, 0) : at + SAMPLE_LINES + 1] for t, at in zip(texts, starts, strict=True))
+        return pd.Series([codes(run).tobytes() for run in runs], dtype=object)
+
+    rows = read.join(F.broadcast(picked), "key").select("key", "label", ranges("text", start).alias("ranges"), start.alias("start")).limit(2 * sample).collect()
+    rows = sorted((r["key"], r["label"], bytes(r["ranges"]), r["start"]) for r in rows)
+    sequences = [np.frombuffer(r[2], np.int8).reshape(-1, len(MEASURES)).astype(np.int64) for r in rows]
+    before = [int(r[3] > 0) for r in rows]
+    around = [(b, int(len(s) - b > SAMPLE_LINES)) for s, b in zip(sequences, before, strict=True)]
+    return train(sequences, [r[1] for r in rows], around=around)
 
 
 def score(text: Column, model: Model) -> Column:
