@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from touchline.llm import bpe, chat_format, exact_dedup, line_dedup, mixing, near_dedup, quality_crf, quality_rules, secret_scan, sql, url_filter
-from touchline.llm.settings import TOKENIZER
+from touchline.llm import alignment, bpe, chat_format, exact_dedup, line_dedup, mixing, near_dedup, pii, quality_crf, quality_rules, secret_scan, spelling, sql, url_filter
+from touchline.llm.settings import PIECES, TOKENIZER
 
 QUERIES = {}
 ORACLES = {}
@@ -99,6 +99,33 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op11_spelling")
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def span_names(spans: Column) -> Column:
+    """``kind:start:stop`` of each, joined by commas; spans that the model adds have ``likely_`` before their kind."""
+    named = F.transform(spans, lambda s: F.struct(F.concat(F.when(s["base"], "").otherwise("likely_"), s["kind"]).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
+    return secret_scan.joined_spans(named)
+
+
+@query("op12_pii")
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(of_kinds(base, [kind])).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(span_names(base), 256).alias("base_sha256"), span_names(F.col("spans")).alias("spans"))
+
+
+@query("op13_alignment")
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER, PIECES)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    counted = alignment.with_counts(aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "link_a", "link_b", "link_times"))
+    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

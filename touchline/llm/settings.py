@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-#: The tokenizer file; only the driver reads it.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+import public_tokenizers
+
+#: The tokenizer files; only the driver reads them.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
