@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.llm.bpe import Codec, codec, read_tokenizer
+from touchline.llm.bpe import Codec, _Known, codec, read_tokenizer
 from touchline.llm.text import fresh
 from touchline.session import stage
 
@@ -32,13 +33,42 @@ _SPACE = "▁"
 RESULTS = ("n_a", "n_b", "n_groups", "n_links", "groups", "link_a", "link_b", "link_times")
 
 
+#: Spaces and what follows up to the next space.
+_SEGMENT = re.compile(" +[^ ]*")
+
+
 class Pieces:
-    """A SentencePiece model with the bytes of each of its tokens."""
+    """A SentencePiece model with the bytes of each of its tokens.
+
+    If no piece has a space after another character, no merge goes over the start of a run of spaces. A text is then the sequence of
+    its segments there, and the tokens of frequent segments are kept.
+    """
 
     def __init__(self, model: bytes):
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.bytes_of = [self._bytes(n) for n in range(self.model.get_piece_size())]
+        count = self.model.get_piece_size()
+        self.bytes_of = [self._bytes(n) for n in range(count)]
         self.sizes = np.array([len(b) for b in self.bytes_of])
+        self.space = self.model.piece_to_id(_SPACE)
+        normal = " A  b\t\n\u00a0\u3000\ufb01\u0065\u0301 \uff21 "
+        same = b"".join(self.bytes_of[n] for n in self.model.encode(normal)) == (" " + normal).encode()
+        self.apart = same and self.space != self.model.unk_id() and not any(re.search(f"[^{_SPACE}]{_SPACE}", self.model.id_to_piece(n)) for n in range(count))
+        self.known = _Known(self)
+
+    def merge(self, segment: bytes) -> list[int]:
+        """The tokens of a segment, and -1 after them if they don't give back its bytes; the model puts the first space there itself."""
+        rest = segment[1:].decode()
+        found = self.model.encode(rest) if rest else [self.space]
+        return found if b"".join(map(self.bytes_of.__getitem__, found)) == segment else [*found, -1]
+
+    def tokens(self, spaced: str) -> np.ndarray | None:
+        """The tokens of a text that is given with a space before it; None if they don't give back its bytes."""
+        if self.apart:
+            made = np.fromiter(chain.from_iterable(map(self.known.__getitem__, _SEGMENT.findall(spaced))), dtype=np.int64)
+            if (made >= 0).all():
+                return made
+        found = self.model.encode(spaced[1:])
+        return np.array(found, dtype=np.int64) if b"".join(map(self.bytes_of.__getitem__, found)) == spaced.encode("utf-8", "replace") else None
 
     def _bytes(self, number: int) -> bytes:
         piece = self.model.id_to_piece(number)
@@ -61,9 +91,9 @@ class Aligner:
 
     def __init__(self, left: Codec, right: Pieces):
         self.left, self.right = left, right
-        self.left_bytes = [left.text_of.get(n, b"") for n in range(len(left.sizes))]
-        self.left_sizes = np.array([len(b) for b in self.left_bytes])
-        self.left_names, self.right_names = _names(len(self.left_bytes), b"|"), _names(len(right.sizes), b";")
+        self.left_sizes = np.array([len(left.text_of.get(n, b"")) for n in range(len(left.sizes))])
+        self.left_names, self.right_names = _names(len(self.left_sizes), b"|"), _names(len(right.sizes), b";")
+        self.names = self.left_names + self.right_names
 
     def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a text by A and B; none unless the bytes of either's tokens are those of the text with a space before it.
@@ -73,11 +103,11 @@ class Aligner:
         if text:
             spaced = " " + text
             split = self.left.ascii_pieces if spaced.isascii() else self.left.pieces
-            a = list(chain.from_iterable(map(self.left.known.__getitem__, split.findall(spaced))))
-            b = self.right.model.encode(text)
-            whole = spaced.encode("utf-8", "replace")
-            if b"".join(map(self.left_bytes.__getitem__, a)) == whole == b"".join(map(self.right.bytes_of.__getitem__, b)):
-                return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+            a = np.fromiter(chain.from_iterable(map(self.left.known.__getitem__, split.findall(spaced))), dtype=np.int64)
+            b = self.right.tokens(spaced)
+            # A's tokens are cut out of the text's bytes, so their size tells
+            if b is not None and self.left_sizes[a].sum() == len(spaced.encode("utf-8", "replace")):
+                return a, b
         return np.empty(0, np.int64), np.empty(0, np.int64)
 
 
@@ -157,9 +187,9 @@ def _written(aligner: Aligner, a: Side, b: Side, group_a: np.ndarray, group_b: n
     upto_a = np.cumsum(np.bincount(group_a, minlength=count))
     codes = np.empty(len(a.ids) + len(b.ids), dtype=np.int64)
     shift = len(aligner.left_names)
-    codes[np.arange(len(a.ids)) + before_b[group_a]] = a.ids + closes_a * len(aligner.left_bytes)
+    codes[np.arange(len(a.ids)) + before_b[group_a]] = a.ids + closes_a * len(aligner.left_sizes)
     codes[np.arange(len(b.ids)) + upto_a[group_b]] = b.ids + closes_b * len(aligner.right.sizes) + shift
-    named = (aligner.left_names + aligner.right_names).__getitem__
+    named = aligner.names.__getitem__
     ends = np.cumsum(np.bincount(a.row, minlength=rows) + np.bincount(b.row, minlength=rows))
     starts = [0, *ends[:-1].tolist()] if rows else []
     return [b"".join(map(named, codes[s:e].tolist()))[:-1].decode() for s, e in zip(starts, ends.tolist(), strict=True)]

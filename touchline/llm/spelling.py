@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from math import ceil, log2
 from zlib import crc32
 
@@ -24,8 +25,9 @@ SLIP = 97
 LEAST_SIZE, LEAST_COUNT = 5, 3
 #: Characters of a text that are split at a time; words that a task counts before it hands them on.
 TEXT_AT_ONCE, COUNTED_AT_ONCE = 1 << 20, 1 << 18
-#: Reduced neighbours that a task holds at a time.
+#: Reduced neighbours that a task holds at a time, and the size up to which a word goes with each of them.
 KEYS_AT_ONCE = 1 << 20
+CARRIED_SIZE = 64
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -90,31 +92,60 @@ def symbols(size: int, bits: int) -> int:
     return min(32, max(2, ceil(2 ** (bits / size))))
 
 
-def _reduced(points: np.ndarray, count: int) -> np.ndarray:
-    """The symbols 1 to ``count`` of letters, by a hash of the letter."""
-    mixed = (points.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)
-    return mixed % np.uint64(count) + np.uint64(1)
+class Alphabet:
+    """Which symbol each letter is reduced to, for any number of symbols.
+
+    Letters are dealt to symbols in the order of their frequency, each to the symbol with the least so far, so that symbols are
+    about equally frequent. The deal changes the cost and never the result.
+    """
+
+    def __init__(self, letters: Sequence[tuple[str, int]]):
+        self.letters = sorted(letters, key=lambda found: (-found[1], found[0]))
+        self.points = np.array(sorted(ord(c) for c, _ in self.letters), dtype=np.uint32)
+        self.dealt: dict[int, np.ndarray] = {}
+
+    def _deal(self, count: int) -> np.ndarray:
+        symbols = np.zeros(len(self.points), dtype=np.uint64)
+        heap = [(0, s) for s in range(1, count + 1)]
+        for letter, n in self.letters:
+            load, symbol = heapq.heappop(heap)
+            symbols[np.searchsorted(self.points, ord(letter))] = symbol
+            heapq.heappush(heap, (load + n, symbol))
+        return symbols
+
+    def reduce(self, points: np.ndarray, count: int) -> np.ndarray:
+        """The symbols 1 to ``count`` of letters."""
+        if count not in self.dealt:
+            self.dealt[count] = self._deal(count)
+        return self.dealt[count][np.searchsorted(self.points, points)]
+
+
+def alphabet(words: DataFrame) -> Alphabet:
+    """The letters of the words with their frequency: one row per letter comes to the driver, as many as the alphabet has."""
+    letters = words.select(F.explode(F.split("word", "")).alias("letter")).where("letter <> ''")
+    return Alphabet([(r["letter"], r["n"]) for r in letters.groupBy("letter").agg(F.count(F.lit(1)).alias("n")).collect()])
 
 
 def _powers(size: int) -> np.ndarray:
     return np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, _BASE, dtype=np.uint64)]), dtype=np.uint64)
 
 
-def reduced_keys(points: np.ndarray, bits: int) -> np.ndarray:
+def reduced_keys(points: np.ndarray, letters: Alphabet, bits: int) -> np.ndarray:
     """One number for the reduced form of each word; ``points`` has a row of code points for each word of one size."""
     size = points.shape[1]
-    return (_reduced(points, symbols(size, bits)) * _powers(size)[:size]).sum(axis=1, dtype=np.uint64) + _salt(size)
+    return (letters.reduce(points, symbols(size, bits)) * _powers(size)[:size]).sum(axis=1, dtype=np.uint64) + _salt(size)
 
 
 def _salt(size: int) -> np.uint64:
     return np.uint64(size * 0x5851F42D4C957F2D % (1 << 64))
 
 
-def neighbour_keys(points: np.ndarray, bits: int, least_size: int = LEAST_SIZE) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of the full one-edit neighbourhood of each word's reduced form, and how many each word has.
+def neighbour_keys(points: np.ndarray, letters: Alphabet, bits: int, least_size: int = LEAST_SIZE) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the one-edit neighbours of each word's reduced form, itself first, and how many each word has.
 
-    A neighbour is reduced to the symbols of its own size. Equal neighbours of a word are made once: a symbol is replaced and
-    inserted before by others only, and of equal symbols in a row the last is deleted.
+    A neighbour is reduced to the symbols of its own size. Of two neighbours one makes the other: the longer one by a deletion, and of one size the one
+    with the smaller symbol by a replacement, so the neighbourhoods of all words together are full and each link is made once.
+    Of equal symbols in a row the last is deleted.
     """
     words, size = points.shape
     power = _powers(size + 1)
@@ -125,23 +156,16 @@ def neighbour_keys(points: np.ndarray, bits: int, least_size: int = LEAST_SIZE)
         live.append(np.broadcast_to(kept, keys.shape).reshape(words, -1))
 
     count = symbols(size, bits)
-    own = _reduced(points, count)
+    own = letters.reduce(points, count)
     whole = (own * power[:size]).sum(axis=1, dtype=np.uint64) + _salt(size)
     put(whole[:, None], np.ones((words, 1), bool))
-    for s in range(1, count + 1):
+    for s in range(2, count + 1):
         symbol = np.uint64(s)
-        put(whole[:, None] + (symbol - own) * power[:size], own != symbol)
+        put(whole[:, None] + (symbol - own) * power[:size], own < symbol)
     if size - 1 >= max(least_size, 1):
-        own = _reduced(points, symbols(size - 1, bits))
+        own = letters.reduce(points, symbols(size - 1, bits))
         before, after = _sums(own, power)
         put(before[:, :size] + after[:, 1:] * _BACK + _salt(size - 1), np.concatenate([own[:, 1:] != own[:, :-1], np.ones((words, 1), bool)], axis=1))
-    count = symbols(size + 1, bits)
-    own = _reduced(points, count)
-    before, after = _sums(own, power)
-    next_own = np.concatenate([own, np.zeros((words, 1), np.uint64)], axis=1)
-    for s in range(1, count + 1):
-        symbol = np.uint64(s)
-        put(before + symbol * power[: size + 1] + after * _BASE + _salt(size + 1), next_own != symbol)
     keys, kept = np.concatenate(made, axis=1), np.concatenate(live, axis=1)
     return keys[kept], kept.sum(axis=1)
 
@@ -174,30 +198,37 @@ def _signed(keys: np.ndarray) -> pa.Array:
 def near_pairs(words: DataFrame, bits: int, least_size: int = LEAST_SIZE) -> DataFrame:
     """(word, n, near, near_n) of all ordered pairs of words that are exactly one inserted, deleted or replaced code point apart.
 
-    Letters are hashed to a few symbols, fewer for longer words. The full one-edit neighbourhood of each reduced word is joined with
+    Letters are hashed to a few symbols, fewer for longer words. The one-edit neighbourhoods of the reduced words are joined with
     the reduced words, and what meets is verified on the words themselves. A word one edit from another is
-    also at most one edit from it when both are reduced, so no pair is missed. Probes carry a hash of their word, and the
-    words are compared once they are joined back, so hashes that are equal by chance change nothing.
+    also at most one edit from it when both are reduced, so no pair is missed. A probe carries its word if that has up to
+    64 code points; longer words are joined back by a hash before they are compared, so hashes that are equal by chance change nothing.
     """
+    letters = alphabet(words)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, points in _by_size(batch, 4):
-                yield pa.RecordBatch.from_arrays([_signed(reduced_keys(points, bits)), batch.column(0).take(rows), batch.column(1).take(rows)], ["key", "near", "near_n"])
+                yield pa.RecordBatch.from_arrays([_signed(reduced_keys(points, letters, bits)), batch.column(0).take(rows), batch.column(1).take(rows)], ["key", "near", "near_n"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, points in _by_size(batch, 4 * symbols(least_size, bits)):
-                keys, counts = neighbour_keys(points, bits, least_size)
+            for rows, points in _by_size(batch, 2 * symbols(least_size, bits)):
+                keys, counts = neighbour_keys(points, letters, bits, least_size)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(rows), pa.ListArray.from_arrays(offsets, _signed(keys))], ["id", "keys"])
-
-    known = words.select("word", "n", F.xxhash64("word").alias("id"))
-    indexed = stage(known.select("word", "n").mapInArrow(index, "key long, near string, near_n long"), "reduced")
-    probes = known.select("word", "id").mapInArrow(probe, "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
-    met = probes.join(indexed, "key").where(F.col("id") != F.xxhash64("near")).select("id", "near", "near_n")
-    pairs = met.join(known, "id").where((F.levenshtein("word", "near", 1) == 1) & (F.col("word") != F.col("near")))
-    return pairs.select("word", "n", "near", "near_n").dropDuplicates(["word", "near"])
+                yield pa.RecordBatch.from_arrays([*batch.take(rows).columns, pa.ListArray.from_arrays(offsets, _signed(keys))], ["word", "n", "keys"])
+
+    indexed = stage(words.select("word", "n").mapInArrow(index, "key long, near string, near_n long"), "reduced")
+    opened = words.select("word", "n").mapInArrow(probe, "word string, n long, keys array<long>")
+    one_apart = (F.levenshtein("word", "near", 1) == 1) & (F.col("word") != F.col("near"))
+    short, long = F.length("word") <= CARRIED_SIZE, F.length("word") > CARRIED_SIZE
+    at_once = opened.where(short).select("word", "n", F.posexplode("keys").alias("place", "key")).join(indexed, "key").where(one_apart)
+    named = opened.where(long).select(F.xxhash64("word").alias("id"), F.posexplode("keys").alias("place", "key")).join(indexed, "key")
+    later = named.join(words.where(long).select("word", "n", F.xxhash64("word").alias("id")), "id").where(one_apart)
+    found = [df.select("place", "word", "n", "near", "near_n") for df in (at_once, later)]
+    here = F.struct("word", "n", "near", "near_n")
+    there = F.struct(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))
+    # words that are equal when reduced find each other; all others are found from one side
+    return found[0].union(found[1]).select(F.explode(F.when(F.col("place") == 0, F.array(here)).otherwise(F.array(here, there))).alias("p")).select("p.*")
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -221,15 +252,15 @@ def group_variants(
     Words are the runs of letters of all whole texts, A-Z in lower case, of which one in 97 by the checksum of document and run loses a
     code point; they have at least ``least_size`` code points and ``least`` occurrences. A word's form is the most frequent word
     exactly one edit away (ties: the smallest in code-point order) if that has ``factor`` times the word's occurrences, else null; its
-    root is reached by following forms. ``bits`` sets how far words are reduced; by default there are about as many reduced
-    words of a size as words. It changes the cost and never the result.
+    root is reached by following forms. ``bits`` sets how far words are reduced; by default there are about four times as many
+    reduced words of a size as words. It changes the cost and never the result.
 
     Null and empty texts have no words; a null key counts as the empty text in the checksum. Rows are counted one by one, so repeated rows
     count again. Extra columns are ignored, whatever their names. Empty tables give no rows.
     """
     words = stage(vocabulary(docs, key, text, least_size, least), "words")
     if bits is None:
-        bits = max(12, ceil(log2(words.count() + 1)))
+        bits = max(12, ceil(log2(words.count() + 1)) + 2)
     pairs = near_pairs(words, bits, least_size)
     best = F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("near"))).alias("best")
     found = stage(pairs.groupBy("word").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("n_near"), best), "near")
