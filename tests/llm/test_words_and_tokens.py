@@ -330,6 +330,8 @@ AWKWARD = [
     (25, "x", None, None),
     (26, " ", "en", "a"),
     (27, "🙂" * 300, "en", "a"),
+    (28, "gap" + " " * 300_000 + "x" + "\n" * 5000, "en", "a"),
+    (29, "'s''ll  \n  b\n c\x1c\x85 d\u3000e", "en", "a"),
 ]
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -15,9 +16,12 @@ import sentencepiece
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tiktoken import Encoding
+from tokenizers import Tokenizer
 
-from touchline.llm.bpe import Codec, _Known, codec, read_tokenizer
-from touchline.llm.text import fresh
+from touchline.llm.bpe import _SPACE as _WHITE
+from touchline.llm.bpe import PIECES, _printable_bytes, read_tokenizer
+from touchline.llm.text import fresh, quoted
 from touchline.session import stage
 
 #: Characters of texts that are worked on at a time, or one longer text.
@@ -29,56 +33,78 @@ PAIRS_AT_ONCE = 1 << 20
 COUNTS_BROADCAST = 1 << 20
 
 _BITS = 20
-_SPACE = "▁"
+_MARK = "▁"
+_NOTHING = np.empty(0, np.int64)
 RESULTS = ("n_a", "n_b", "n_groups", "n_links", "groups", "link_a", "link_b", "link_times")
+#: White space that long is left to the slower library: the faster one looks ahead over it by recursion.
+_LONG_GAP = re.compile(f"[{_WHITE}]{{256}}")
 
 
-#: Spaces and what follows up to the next space.
-_SEGMENT = re.compile(" +[^ ]*")
+class Aligner:
+    """Two tokenizers over a text with a space before it: A byte-level, B by pieces, which puts that space there itself.
 
+    Where the ids of A's tokens rise with the ranks of the merges that make them, as a library of ranks expects, that library encodes A.
+    """
 
-class Pieces:
-    """A SentencePiece model with the bytes of each of its tokens.
+    def __init__(self, byte_file: str, piece_file: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
+        described, byte_of = json.loads(byte_file), _printable_bytes()
+        special = {t["content"]: t["id"] for t in described["added_tokens"]}
+        vocabulary = {token: n for token, n in described["model"]["vocab"].items() if token not in special}
+        left_bytes = {n: bytes(byte_of[c] for c in token) for token, n in vocabulary.items()}
+        left_bytes |= {n: token.encode() for token, n in special.items()}
+        count = max(left_bytes) + 1
+        self.left_sizes = np.array([len(left_bytes.get(n, b"")) for n in range(count)])
+        self.plain = Tokenizer.from_str(byte_file)
+        self.plain.encode_special_tokens = True
+        self.plain.no_truncation()
+        self.plain.no_padding()
+        merges = [m.split(" ") if isinstance(m, str) else m for m in described["model"]["merges"]]
+        made = [vocabulary[left + right] for left, right in merges]
+        self.ranked = None
+        if made == sorted(set(made)) and len(made) + 256 == len(vocabulary) and (not made or made[0] >= 256):
+            self.ranked = Encoding("left", pat_str=PIECES, mergeable_ranks={left_bytes[n]: n for n in vocabulary.values()}, special_tokens={})
+        self.right = sentencepiece.SentencePieceProcessor(model_proto=piece_file)
+        self.right_bytes = [self._piece_bytes(n) for n in range(self.right.get_piece_size())]
+        self.right_sizes = np.array([len(b) for b in self.right_bytes])
+        normal = "".join(map(chr, [*range(1, 0x250), 0x301, 0x3000, 0xFB01, 0xFF21, 0x1F642])) + "  e\u0301 A "
+        self.same = self._joined(self.right.encode(normal)) == (" " + normal).encode()
+        self.names = _names(count, b"|") + _names(len(self.right_bytes), b";")
+
+    def _piece_bytes(self, number: int) -> bytes:
+        piece = self.right.id_to_piece(number)
+        return bytes([int(piece[3:-1], 16)]) if self.right.is_byte(number) else piece.replace(_MARK, " ").encode()
+
+    def _joined(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.right_bytes.__getitem__, ids))
+
+    def _left(self, spaced: str) -> list[int]:
+        if self.ranked is None or _LONG_GAP.search(spaced):
+            return self.plain.encode(spaced, add_special_tokens=False).ids
+        return self.ranked.encode_ordinary(spaced)
+
+    def tokens(self, texts: Sequence[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The ids of each text by A and B; none unless the bytes of either's tokens are those of the text with a space before it.
 
-    If no piece has a space after another character, no merge goes over the start of a run of spaces. A text is then the sequence of
-    its segments there, and the tokens of frequent segments are kept.
-    """
+        Special tokens are not looked for: their strings are text like any other.
+        """
+        return [self._pair(t, b) if t else (_NOTHING, _NOTHING) for t, b in zip(texts, self.right.encode([t or "" for t in texts], num_threads=1), strict=True)]
 
-    def __init__(self, model: bytes):
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
-        count = self.model.get_piece_size()
-        self.bytes_of = [self._bytes(n) for n in range(count)]
-        self.sizes = np.array([len(b) for b in self.bytes_of])
-        self.space = self.model.piece_to_id(_SPACE)
-        normal = " A  b\t\n\u00a0\u3000\ufb01\u0065\u0301 \uff21 "
-        same = b"".join(self.bytes_of[n] for n in self.model.encode(normal)) == (" " + normal).encode()
-        self.apart = same and self.space != self.model.unk_id() and not any(re.search(f"[^{_SPACE}]{_SPACE}", self.model.id_to_piece(n)) for n in range(count))
-        self.known = _Known(self)
-
-    def merge(self, segment: bytes) -> list[int]:
-        """The tokens of a segment, and -1 after them if they don't give back its bytes; the model puts the first space there itself."""
-        rest = segment[1:].decode()
-        found = self.model.encode(rest) if rest else [self.space]
-        return found if b"".join(map(self.bytes_of.__getitem__, found)) == segment else [*found, -1]
-
-    def tokens(self, spaced: str) -> np.ndarray | None:
-        """The tokens of a text that is given with a space before it; None if they don't give back its bytes."""
-        if self.apart:
-            made = np.fromiter(chain.from_iterable(map(self.known.__getitem__, _SEGMENT.findall(spaced))), dtype=np.int64)
-            if (made >= 0).all():
-                return made
-        found = self.model.encode(spaced[1:])
-        return np.array(found, dtype=np.int64) if b"".join(map(self.bytes_of.__getitem__, found)) == spaced.encode("utf-8", "replace") else None
-
-    def _bytes(self, number: int) -> bytes:
-        piece = self.model.id_to_piece(number)
-        return bytes([int(piece[3:-1], 16)]) if self.model.is_byte(number) else piece.replace(_SPACE, " ").encode()
+    def _pair(self, text: str, found: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        spaced = " " + text
+        whole = spaced.encode("utf-8", "replace")
+        a, b = np.array(self._left(spaced), dtype=np.int64), np.array(found, dtype=np.int64)
+        # tokens that are cut out of the text's bytes have them if they have their size; B changes none but its own mark
+        kept = self.left_sizes[a].sum() == len(whole) and self.right_sizes[b].sum() == len(whole)
+        if kept and (not self.same or _MARK in text):
+            kept = self._joined(found) == whole
+        return (a, b) if kept else (_NOTHING, _NOTHING)
 
 
 @lru_cache(maxsize=2)
-def pieces(model: bytes) -> Pieces:
+def aligner(byte_file: str, piece_file: bytes) -> Aligner:
     """Built once per worker."""
-    return Pieces(model)
+    return Aligner(byte_file, piece_file)
 
 
 def _names(count: int, ends: bytes) -> list[bytes]:
@@ -86,31 +112,6 @@ def _names(count: int, ends: bytes) -> list[bytes]:
     return [b"%d," % n for n in range(count)] + [b"%d%b" % (n, ends) for n in range(count)]
 
 
-class Aligner:
-    """Two tokenizers that tokenize a text with a space before it: A byte-level, B by pieces."""
-
-    def __init__(self, left: Codec, right: Pieces):
-        self.left, self.right = left, right
-        self.left_sizes = np.array([len(left.text_of.get(n, b"")) for n in range(len(left.sizes))])
-        self.left_names, self.right_names = _names(len(self.left_sizes), b"|"), _names(len(right.sizes), b";")
-        self.names = self.left_names + self.right_names
-
-    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of a text by A and B; none unless the bytes of either's tokens are those of the text with a space before it.
-
-        Special tokens are not looked for: their strings are text like any other.
-        """
-        if text:
-            spaced = " " + text
-            split = self.left.ascii_pieces if spaced.isascii() else self.left.pieces
-            a = np.fromiter(chain.from_iterable(map(self.left.known.__getitem__, split.findall(spaced))), dtype=np.int64)
-            b = self.right.tokens(spaced)
-            # A's tokens are cut out of the text's bytes, so their size tells
-            if b is not None and self.left_sizes[a].sum() == len(spaced.encode("utf-8", "replace")):
-                return a, b
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-
-
 @dataclass(frozen=True)
 class Side:
     """The tokens of one tokenizer over several documents: ids, the document of each, and where its bytes begin."""
@@ -178,7 +179,7 @@ def _key(row, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row << (2 * _BITS) | a << _BITS | b
 
 
-def _written(aligner: Aligner, a: Side, b: Side, group_a: np.ndarray, group_b: np.ndarray, rows: int) -> list[str]:
+def _written(made: Aligner, a: Side, b: Side, group_a: np.ndarray, group_b: np.ndarray, rows: int) -> list[str]:
     """The groups of each document as ``a1,a2|b1;a3|b2,b3``."""
     closes_a = np.append(group_a[1:] != group_a[:-1], True)[: len(group_a)]
     closes_b = np.append(group_b[1:] != group_b[:-1], True)[: len(group_b)]
@@ -186,19 +187,19 @@ def _written(aligner: Aligner, a: Side, b: Side, group_a: np.ndarray, group_b: n
     before_b = np.cumsum(np.bincount(group_b, minlength=count)) - np.bincount(group_b, minlength=count)
     upto_a = np.cumsum(np.bincount(group_a, minlength=count))
     codes = np.empty(len(a.ids) + len(b.ids), dtype=np.int64)
-    shift = len(aligner.left_names)
-    codes[np.arange(len(a.ids)) + before_b[group_a]] = a.ids + closes_a * len(aligner.left_sizes)
-    codes[np.arange(len(b.ids)) + upto_a[group_b]] = b.ids + closes_b * len(aligner.right.sizes) + shift
-    named = aligner.names.__getitem__
+    shift = 2 * len(made.left_sizes)
+    codes[np.arange(len(a.ids)) + before_b[group_a]] = a.ids + closes_a * len(made.left_sizes)
+    codes[np.arange(len(b.ids)) + upto_a[group_b]] = b.ids + closes_b * len(made.right_sizes) + shift
+    named = made.names.__getitem__
     ends = np.cumsum(np.bincount(a.row, minlength=rows) + np.bincount(b.row, minlength=rows))
     starts = [0, *ends[:-1].tolist()] if rows else []
     return [b"".join(map(named, codes[s:e].tolist()))[:-1].decode() for s, e in zip(starts, ends.tolist(), strict=True)]
 
 
-def _aligned(aligner: Aligner, texts: list[str | None]) -> list[pa.Array]:
+def _aligned(made: Aligner, texts: list[str | None]) -> list[pa.Array]:
     """The columns ``RESULTS`` of some texts."""
-    pairs = [aligner.tokens(t) for t in texts]
-    a, b = Side.of([p[0] for p in pairs], aligner.left_sizes), Side.of([p[1] for p in pairs], aligner.right.sizes)
+    pairs = made.tokens(texts)
+    a, b = Side.of([p[0] for p in pairs], made.left_sizes), Side.of([p[1] for p in pairs], made.right_sizes)
     group_a, group_b = grouped(a, b)
     keys, times = links(a, b, group_a, group_b)
     rows = len(texts)
@@ -213,7 +214,7 @@ def _aligned(aligner: Aligner, texts: list[str | None]) -> list[pa.Array]:
         pa.array(np.bincount(b.row, minlength=rows)),
         pa.array(np.bincount(a.row[opened], minlength=rows)),
         pa.array(total[offsets[1:]] - total[offsets[:-1]]),
-        pa.array(_written(aligner, a, b, group_a, group_b, rows), pa.string()),
+        pa.array(_written(made, a, b, group_a, group_b, rows), pa.string()),
         listed((keys >> _BITS & mask).astype(np.int32)),
         listed((keys & mask).astype(np.int32)),
         listed(times.astype(np.int64)),
@@ -251,22 +252,18 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, key: str = "doc_id",
         shared = context.broadcast((read_tokenizer(byte_path), file.read()))  # two files of a few MB
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(codec(shared.value[0]), pieces(shared.value[1]))
+        made = aligner(*shared.value)
         for batch in batches:
             for begin, end in _slices(batch.column(1), at_once):
                 some = batch.slice(begin, end - begin)
-                yield pa.RecordBatch.from_arrays([some.column(0), *_aligned(aligner, some.column(1).to_pylist())], [key, *RESULTS])
+                yield pa.RecordBatch.from_arrays([some.column(0), *_aligned(made, some.column(1).to_pylist())], [key, *RESULTS])
 
     whole = [T.StructField(name, T.LongType()) for name in RESULTS[:4]] + [T.StructField("groups", T.StringType())]
     lists = [T.StructField(name, T.ArrayType(kind)) for name, kind in zip(RESULTS[5:], (T.IntegerType(), T.IntegerType(), T.LongType()), strict=True)]
-    kept = docs.select(F.col(_quoted(key)).alias(key), F.col(_quoted(text)).alias("text"))
+    kept = docs.select(F.col(quoted(key)).alias(key), F.col(quoted(text)).alias("text"))
     return kept.mapInArrow(work, T.StructType([T.StructField(key, docs.schema[key].dataType), *whole, *lists]))
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def pair_counts(linked: DataFrame) -> DataFrame:
     """(a, b, n, best) of all linked pairs of ids: how many documents hold the pair, and whether no pair of this ``a`` has more."""
     pairs = linked.select(F.explode(F.arrays_zip("link_a", "link_b")).alias("p")).select(F.col("p.link_a").alias("a"), F.col("p.link_b").alias("b"))
@@ -285,7 +282,7 @@ def with_counts(aligned: DataFrame, broadcast_upto: int = COUNTS_BROADCAST) -> D
     """
     row = fresh(aligned, "_row")
     kept = [c for c in aligned.columns if c.lower() not in ("link_a", "link_b", "link_times", "n_best", "count_sum")]
-    given = stage(aligned.select(*map(_quoted, kept), "link_a", "link_b", "link_times", F.monotonically_increasing_id().alias(row)), "links")
+    given = stage(aligned.select(*map(quoted, kept), "link_a", "link_b", "link_times", F.monotonically_increasing_id().alias(row)), "links")
     counts = stage(pair_counts(given), "pairs")
     number = lambda a, b: (F.shiftleft(F.col(a).cast("long"), _BITS)).bitwiseOR(F.col(b).cast("long"))
     counts = counts.select(number("a", "b").alias("pair"), "n", "best")
@@ -295,6 +292,6 @@ def with_counts(aligned: DataFrame, broadcast_upto: int = COUNTS_BROADCAST) -> D
     met = opened.join(F.broadcast(counts) if few else counts, "pair")
     sums = met.groupBy(row).agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
     sums = sums.withColumnRenamed(row, "_of")
-    whole = given.select(*map(_quoted, kept), row).join(sums, F.col(row) == F.col("_of"), "left")
+    whole = given.select(*map(quoted, kept), row).join(sums, F.col(row) == F.col("_of"), "left")
     zero = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("long").alias(name)
-    return whole.select(*map(_quoted, kept), zero("n_best"), zero("count_sum"))
+    return whole.select(*map(quoted, kept), zero("n_best"), zero("count_sum"))

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.llm.text import quoted
+
 KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<kind:string,start:long,stop:long,base:boolean>>"
 #: The sample that is fitted: at most so many documents with a digit or ``@``, and of one with more tokens a run of so many.
@@ -440,7 +442,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
     The base rules are its labels. Of a text with over 48 tokens a run of 48 counts, from a place by the hash. The sample's
     size is bounded, so its hashes are broadcast and its tokens' features are brought to the driver.
     """
-    read = docs.select(F.col(_quoted(text)).alias("text")).where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("text").alias("hash"))
+    read = docs.select(F.col(quoted(text)).alias("text")).where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("text").alias("hash"))
     picked = read.select("hash").distinct().orderBy("hash").limit(sample)
 
     @F.pandas_udf("array<struct<features:array<int>,keys:array<string>,chained:boolean,label:int>>")
@@ -458,10 +460,6 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
     return train(graphs)
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def spans(text: Column, model: Model, sure: float = SURE) -> Column:
     """All spans of a text as an array of (kind, start, stop, base); empty for null."""
 
@@ -488,4 +486,4 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Model
     is added. Empty tables give no rows.
     """
     fitted = fit(docs, text) if model is None else model
-    return docs.select(F.col(_quoted(key)).alias(key), spans(F.col(_quoted(text)), fitted, sure).alias("spans"))
+    return docs.select(F.col(quoted(key)).alias(key), spans(F.col(quoted(text)), fitted, sure).alias("spans"))

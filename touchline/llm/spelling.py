@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from touchline.llm.text import quoted
 from touchline.session import stage
 
 #: Runs of letters, after A-Z are in lower case.
@@ -79,14 +80,10 @@ def vocabulary(docs: DataFrame, key: str = "doc_id", text: str = "text", least_s
                         yield flushed()
         yield flushed()
 
-    read = docs.select(F.col(_quoted(key)).cast("string").alias("key"), F.col(_quoted(text)).alias("text"))
+    read = docs.select(F.col(quoted(key)).cast("string").alias("key"), F.col(quoted(text)).alias("text"))
     return read.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def symbols(size: int, bits: int) -> int:
     """How many symbols letters are reduced to in words of a size, so that there are about 2**bits reduced words of it; at most 32."""
     return min(32, max(2, ceil(2 ** (bits / size))))

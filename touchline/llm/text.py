@@ -37,6 +37,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression takes it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def unused_prefix(df: DataFrame, prefix: str) -> str:
     """A prefix with which no column name of the table begins."""
     while any(column.lower().startswith(prefix) for column in df.columns):
