@@ -113,7 +113,7 @@ def test_groups_of_odd_rows(spark):
 
 def test_one_of_each_group_stays(spark):
     given = variants(1) + [(3, variants(1)[3][1]), (None, variants(1)[5][1]), (None, "null keys only"), (None, "null keys only"), (900, ""), (901, None)]
-    table = with_clashes(spark.createDataFrame(given, "doc_id long, text string").repartition(3), "row", "key", "maybe")
+    table = with_clashes(spark.createDataFrame(given, "doc_id long, text string").repartition(3), "row", "key", "maybe", "a.b")
     kept = near_dedup.keep_one(table)
     assert kept.columns == table.columns
     want = [key for key, n, _, stays in set(plain_groups(given)) if stays]
@@ -182,5 +182,9 @@ def test_stages_take_odd_rows(spark, tmp_path):
     import corpus_pipeline
 
     spark.createDataFrame([(1, 1), (None, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
-    for _, function in corpus_pipeline.STAGES:
-        assert function(spark, docs(spark), str(tmp_path)).count() >= 1
+    for name in ("plain", "IDS", "N_LINES", "a.b", "KEY", "Row"):
+        given = docs(spark) if name == "plain" else with_clashes(docs(spark), name)
+        for number, (_, function) in enumerate(corpus_pipeline.STAGES):
+            if name == "plain" or number in (1, 2, 3, 4):
+                function(spark, given, str(tmp_path)).write.parquet(f"{tmp_path}/{number}-{name}")
+                assert spark.read.parquet(f"{tmp_path}/{number}-{name}").count() >= 1

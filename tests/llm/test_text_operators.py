@@ -136,8 +136,9 @@ def test_bytes_that_are_no_text_are_replaced(codec, library):
 
 
 def test_tokenize_odd_rows(spark, library):
-    made = bpe.tokenize(with_clashes(docs(spark), "ids"), TOKENIZER)
-    assert made.columns == ["doc_id", "text", "lang", "source", "ids"]
+    made = bpe.tokenize(with_clashes(docs(spark), "IDS", "a.b"), TOKENIZER)
+    assert made.columns == ["doc_id", "text", "lang", "source", "a.b", "ids"]
+    assert bpe.tokenize(docs(spark).withColumnRenamed("text", "Text"), TOKENIZER).columns == ["doc_id", "Text", "lang", "source", "ids"]
     for row in made.collect():
         assert row["ids"] == library.encode(row["text"] or "", add_special_tokens=False).ids
     for row in bpe.round_trip(docs(spark), TOKENIZER).join(docs(spark).distinct(), "doc_id").collect():
@@ -166,14 +167,15 @@ def plain_lines(given, least):
 SHARED = ["A line that many share.", "  a LINE that many share.\r", "ÄÖ shared " + "x" * 50, "äö shared " + "x" * 50, "", "   "]
 
 
-@pytest.mark.parametrize("bits", [1 << 10, 1 << 20])
+@pytest.mark.parametrize("sizes", [{}, {"slice_bits": 1 << 10}, {"slice_bits": 1 << 12, "broadcast_bits": 0}])
 @pytest.mark.parametrize("least", [2, 4])
-def test_lines(spark, bits, least):
-    rnd = random.Random(bits + least)
+def test_lines(spark, sizes, least):
+    """With one slice of the filters, with many, and with slices that are not broadcast."""
+    rnd = random.Random(len(sizes) + least)
     given = [(n % 70 if n % 9 else None, "\n".join(rnd.choice([*SHARED, f"own {rnd.randint(0, 60)}"]) for _ in range(rnd.randint(0, 8)))) for n in range(90)]
     given += [(200, None), (201, ""), (202, "own 1\nown 1\nown 1")]
     table = spark.createDataFrame(given, "doc_id long, text string").repartition(5)
-    kept = line_dedup.drop_repeated(table, least=least, bits=bits)
+    kept = line_dedup.drop_repeated(table, least=least, **sizes)
     assert rows(kept.select("doc_id", "text", "n_lines", "n_dropped")) == plain_lines(given, least)
 
 
@@ -183,12 +185,31 @@ def test_first_line_stays_if_asked(spark):
     assert {r["doc_id"]: r["text"] for r in kept.collect()} == {1: "a\nsame.", 2: "", 3: "c"}
 
 
-def test_lines_of_odd_rows(spark):
-    kept = line_dedup.drop_repeated(with_clashes(docs(spark), "row", "maybe", "n_lines"), least=3)
-    assert kept.columns == ["doc_id", "text", "lang", "source", "row", "maybe", "n_lines", "n_dropped"]
+@pytest.mark.parametrize("broadcast_bits", [0, 1 << 28])
+def test_lines_of_odd_rows(spark, broadcast_bits):
+    kept = line_dedup.drop_repeated(with_clashes(docs(spark), "row", "maybe", "N_LINES", "a.b", "owner"), least=3, broadcast_bits=broadcast_bits)
+    assert kept.columns == ["doc_id", "text", "lang", "source", "row", "maybe", "a.b", "owner", "n_lines", "n_dropped"]
     want = plain_lines([(r[0], r[1]) for r in ODD], 3)
     assert rows(kept.select("doc_id", "text", "n_lines", "n_dropped")) == want
-    assert line_dedup.drop_repeated(docs(spark, [])).count() == 0
+    assert line_dedup.drop_repeated(docs(spark, []), broadcast_bits=broadcast_bits).count() == 0
+
+
+def test_filters_follow_the_lines(spark):
+    """What tasks send to fill the filters is less than the text, however many tasks there are, and few lines are suspected wrongly."""
+    rnd = random.Random(6)
+    shared = [f"Shared line number {n} of this text" for n in range(50)]
+    given = [(n, "\n".join([rnd.choice(shared), *(f"line {n} {k} {rnd.random()}" for k in range(40))])) for n in range(1000)]
+    table = spark.createDataFrame(given, "doc_id long, text string").repartition(211)
+    shape = line_dedup.Shape.of(41_000)
+    data = table.select(F.col("text").cast("binary").alias("data"))
+    sent = line_dedup._fill(data, shape).selectExpr("sum(8 + length(once) + length(more))").first()[0]
+    assert sent < sum(len(text) for _, text in given) / 3
+    read = table.select(F.col("doc_id").alias("key"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("data"))
+    for shape in (shape, line_dedup.Shape(7, 1 << 16)):
+        filters = line_dedup._seen_twice(data, shape)
+        found = [rows(line_dedup._suspects(read, filters, shape, "long", bits)) for bits in (0, 1 << 28)]
+        assert found[0] == found[1] and 1000 <= len(found[0]) < 1000 + 0.1 * 40_000
+    assert line_dedup.Shape.of(10**12) == line_dedup.Shape(8 * 10**12 // line_dedup.SLICE_BITS + 1, line_dedup.SLICE_BITS)
 
 
 def junk(rnd, bad):
@@ -243,6 +264,14 @@ def test_sample_is_picked_among_texts_and_runs_are_bounded(spark, monkeypatch):
     assert {(1, 1)} <= set(seen["around"]) and all(a == (0, 0) for n, a in zip(own, seen["around"], strict=True) if n < 64)
 
 
+def test_keys_that_repeat_are_learned_from_once(spark):
+    """Of the texts of one key always the same one counts, so reruns on other partitions agree."""
+    table, labels = labelled(spark, 80)
+    again = table.withColumn("text", F.concat("text", F.lit(" more "), F.explode(F.array(*[F.lit(f"w{n}") for n in range(10)]))))
+    scores = [rows(quality_crf.classify(again.repartition(n), labels).select("doc_id", "score")) for n in (2, 5)]
+    assert scores[0] == scores[1] and len(scores[0]) == 800
+
+
 def test_classifier_of_odd_rows(spark):
     table, labels = labelled(spark, 80)
     odd_labels = labels.union(spark.createDataFrame([(None, 1), (5, None), (5, 7)], "doc_id long, quality int"))
@@ -250,6 +279,8 @@ def test_classifier_of_odd_rows(spark):
     out = quality_crf.classify(both, odd_labels)
     assert out.columns == ["doc_id", "held_out", "score", "predicted"] and out.count() == 80 + len(ODD)
     assert out.where("score IS NULL OR predicted IS NULL OR held_out IS NULL").count() == 0
+    for few in (labels.where("false"), labels.where("quality = 0"), labels.where("doc_id IS NULL")):
+        assert rows(quality_crf.keep_good(docs(spark), few)) == rows(docs(spark))
     none = quality_crf.classify(docs(spark), labels.where("false"))
     assert {r["score"] for r in none.collect()} == {0.5}
     assert quality_crf.classify(docs(spark, []), labels).count() == 0

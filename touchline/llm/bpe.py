@@ -19,8 +19,11 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from touchline.llm.text import quoted
+
 #: Fixed: how the tokenizer files split a text before merging. White space is the Unicode property.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
@@ -28,7 +31,7 @@ PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{
 ASCII_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 #: Entries of a worker's caches, the size of the longest piece kept, and rows at a time.
 CACHED = 1 << 18
-CACHED_PAIRS = 1 << 19
+CACHED_PAIRS = 1 << 17
 CACHED_SIZE = 64
 ROWS_AT_ONCE = 256
 DECODED_AT_ONCE = 1 << 18
@@ -229,18 +232,20 @@ def tokenize(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -
 
     The result is that of the tokenizer library without special tokens added; a special token's text in a document gives its id.
     Null texts count as empty and have no ids. Rows are independent, so repeated rows repeat their result. A column
-    that has the name of the result is replaced. Empty tables give no rows.
+    that has the name of the result, in any case of letters, is replaced; others stay, whatever their names. Empty tables give no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_tokenizer(path))
-    kept = docs.select(*[c for c in docs.columns if c != ids])
-    at = kept.columns.index(text)
+    kept = docs.select(*[quoted(c) for c in docs.columns if c.lower() != ids.lower()])
+    at = [c.lower() for c in kept.columns].index(text.lower())
+    plain = kept.toDF(*[f"c{n}" for n in range(len(kept.columns))])  # as a name may hold a point, which Spark would take for a field
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = codec(shared.value)
         for batch in _slices(batches):
-            yield batch.append_column(ids, _id_lists(made, batch.column(at))[1])
+            yield batch.append_column("ids", _id_lists(made, batch.column(at))[1])
 
-    return kept.mapInArrow(encode, T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    made = plain.mapInArrow(encode, T.StructType([*plain.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return made.toDF(*kept.columns, ids)
 
 
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -254,4 +259,4 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([made.decode(some) for some in lists], pa.string())], [key, "ids", "decoded"])
 
     fields = [T.StructField(key, docs.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
-    return docs.select(key, text).mapInArrow(both, T.StructType(fields))
+    return docs.select(F.col(quoted(key)).alias(key), F.col(quoted(text)).alias("text")).mapInArrow(both, T.StructType(fields))

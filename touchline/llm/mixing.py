@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.llm.prefix import running_before
-from touchline.llm.text import WORD, unused_prefix, word_count
+from touchline.llm.text import WORD, quoted, unused_prefix, word_count
 from touchline.session import stage
 
 MOST_REPEATS = 3
@@ -51,9 +51,9 @@ def targets(totals: DataFrame, weights: Sequence[int], most: int = MOST_REPEATS)
 
 
 def _sized(docs: DataFrame, key: str, text: str, source: str, row: Column) -> DataFrame:
-    as_text = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    as_text = F.coalesce(F.col(quoted(key)).cast("string"), F.lit(""))
     return docs.select(
-        row.alias("row"), F.col(key).alias("key"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), F.md5(as_text).alias("draw")
+        row.alias("row"), F.col(quoted(key)).alias("key"), F.col(quoted(source)).cast("string").alias("source"), word_count(F.col(quoted(text))).alias("size"), F.md5(as_text).alias("draw")
     )
 
 
@@ -98,8 +98,8 @@ def first_words(text: Column, count: Column) -> Column:
 
 def _identity(docs: DataFrame, text: str) -> Column:
     """A digest of all columns: rows that share it are alike in everything."""
-    others = F.to_json(F.struct(*[F.col(c) for c in docs.columns if c != text]))
-    return F.md5(F.concat(F.md5(F.coalesce(F.col(text), F.lit(""))), others))
+    others = F.to_json(F.struct(*[F.col(quoted(c)) for c in docs.columns if c.lower() != text.lower()]))
+    return F.md5(F.concat(F.md5(F.coalesce(F.col(quoted(text)), F.lit(""))), others))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), key: str = "doc_id", text: str = "text", source: str = "source", most: int = MOST_REPEATS) -> DataFrame:
@@ -125,24 +125,24 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), key: str = "doc_id"
     name = lambda part: f"{own}_{part}"
     col = lambda part: F.col(name(part))
     cuts = cuts.select(*[F.col(c).alias(name(c)) for c in cuts.columns])
-    place = F.struct(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("draw"), F.col(key).alias("key"), row.alias("row"))
-    marked = docs.where(F.col(text).rlike(WORD)).withColumn(name("place"), place)
-    full = F.array_repeat(F.col(text), col("rounds").cast("int"))
+    place = F.struct(F.md5(F.coalesce(F.col(quoted(key)).cast("string"), F.lit(""))).alias("draw"), F.col(quoted(key)).alias("key"), row.alias("row"))
+    marked = docs.where(F.col(quoted(text)).rlike(WORD)).withColumn(name("place"), place)
+    full = F.array_repeat(F.col(quoted(text)), col("rounds").cast("int"))
     nothing = F.array().cast("array<string>")
 
-    joined = marked.join(cuts, F.col(source).cast("string").eqNullSafe(col("of")))
+    joined = marked.join(cuts, F.col(quoted(source)).cast("string").eqNullSafe(col("of")))
     here = F.coalesce(col("place") == col("edge"), F.lit(False))
     earlier = F.coalesce(col("place") < col("edge"), F.lit(False))
     cut = here & (col("left") < col("edge_size"))
-    extra = F.when(cut, F.array(first_words(F.col(text), col("left")))).when(here | earlier, F.array(text))
+    extra = F.when(cut, F.array(first_words(F.col(quoted(text)), col("left")))).when(here | earlier, F.array(quoted(text)))
     single = joined.where(~here | (col("alike") == 1)).withColumn(name("kept"), F.explode(F.concat(full, F.coalesce(extra, nothing))))
 
     shared = cuts.where(col("alike") > 1)
-    repeated = marked.join(shared, F.col(source).cast("string").eqNullSafe(col("of"))).where(col("place") == col("edge")).dropDuplicates([name("of")])
+    repeated = marked.join(shared, F.col(quoted(source)).cast("string").eqNullSafe(col("of"))).where(col("place") == col("edge")).dropDuplicates([name("of")])
     repeated = repeated.withColumn(name("nth"), F.explode(F.sequence(F.lit(0).cast("long"), col("alike") - 1)))
     part = F.greatest(F.lit(0), F.least(col("edge_size"), col("left") - col("nth") * col("edge_size")))
-    parts = F.when(part == col("edge_size"), F.array(text)).when(part > 0, F.array(first_words(F.col(text), part)))
+    parts = F.when(part == col("edge_size"), F.array(quoted(text))).when(part > 0, F.array(first_words(F.col(quoted(text)), part)))
     repeated = repeated.withColumn(name("kept"), F.explode(F.concat(full, F.coalesce(parts, nothing))))
 
-    shown = [col("kept").alias(c) if c == text else F.col(c) for c in docs.columns]
+    shown = [col("kept").alias(c) if c.lower() == text.lower() else F.col(quoted(c)) for c in docs.columns]
     return single.select(*shown).unionByName(repeated.select(*shown))

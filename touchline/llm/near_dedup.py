@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from touchline.llm import bloom
 from touchline.llm.components import connect
+from touchline.llm.text import quoted
 from touchline.session import stage
 
 SHINGLE = 5
@@ -244,7 +245,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", blocks: i
     wins = F.col("first.key").eqNullSafe(F.col("key")) & (F.col("first.text_hash") == F.col("text_hash"))
     doubtful = stage(rows.withColumn("wins", wins).where(~F.col("wins") | (F.col("copies") > 1)).select("key", "text_hash", "wins"), "doubtful")
     place = F.xxhash64(F.col("key").isNull(), "key", "text_hash")
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("key"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"))
+    packed = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.col(quoted(key)).alias("key"), F.md5(F.coalesce(F.col(quoted(text)), F.lit(""))).alias("text_hash"))
     flagged = bloom.flag_hits(packed.withColumn("place", place), "place", bloom.build(doubtful.withColumn("place", place), "place", blocks), "maybe", blocks)
     settled = flagged.where(~F.col("maybe")).select("row")
     asked = flagged.where("maybe").drop("place", "maybe").alias("l")

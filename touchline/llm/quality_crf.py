@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.llm.text import quoted
+
 #: Shares of bytes or words in a line and sizes of it, each cut into ranges; a line is known by its range in each.
 MEASURES = {
     "symbols": (0.0, 0.02, 0.08, 0.2),
@@ -67,6 +69,7 @@ class Model:
     bias: float
     start: float
     steps: np.ndarray
+    learned: bool = True
 
     def evidence(self, ranges: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Log odds of each line alone; ``starts`` are the first lines of texts, over which neighbours don't reach."""
@@ -116,7 +119,7 @@ def _blank(labels: list[int]) -> Model:
     """Without two kinds of labels every line is good with the share of good labels, or one half without any."""
     share = min(max(float(np.mean(labels)), 0.01), 0.99) if labels else 0.5
     flat = np.zeros((len(MEASURES), RANGES))
-    return Model(flat, flat, flat, log(share / (1 - share)), 0.0, np.zeros((2, 2)))
+    return Model(flat, flat, flat, log(share / (1 - share)), 0.0, np.zeros((2, 2)), learned=False)
 
 
 def train(
@@ -204,12 +207,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     Only keys with a text are taken. Of a text of over 64 lines a run of 64 counts, from a place by a hash of the key,
     with the lines next to it as neighbours. The sample's size is bounded, so its keys are broadcast and its line ranges
-    are brought to the driver: at most 66 lines of 8 bytes for each. Of several labels for a key the smallest counts; null
-    keys and labels are left out.
+    are brought to the driver: at most 66 lines of 8 bytes for each. Of several labels for a key the smallest counts, and of several
+    texts the one with the smallest hash; null keys and labels are left out.
     """
-    known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("key IS NOT NULL AND label IN (0, 1)").where(~held_out(F.col("key")))
+    known = labels.select(F.col(quoted(key)).alias("key"), F.col(quoted(label)).cast("int").alias("label")).where("key IS NOT NULL AND label IN (0, 1)").where(~held_out(F.col("key")))
     known = known.groupBy("key").agg(F.min("label").alias("label"))
-    read = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text IS NOT NULL")
+    read = docs.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text")).where("text IS NOT NULL")
     picked = known.join(read.select("key").distinct(), "key", "left_semi").orderBy(F.xxhash64("key"), "key").limit(sample)
     lines = F.regexp_count("text", F.lit("\n")) + 1
     start = F.when(lines > SAMPLE_LINES, F.pmod(F.xxhash64(F.lit("run"), "key"), lines - SAMPLE_LINES + 1)).otherwise(0).cast("long")
@@ -219,7 +222,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         runs = (t.encode("utf-8", "replace").split(b"\n")[max(at - 1, 0) : at + SAMPLE_LINES + 1] for t, at in zip(texts, starts, strict=True))
         return pd.Series([codes(run).tobytes() for run in runs], dtype=object)
 
-    rows = read.join(F.broadcast(picked), "key").select("key", "label", ranges("text", start).alias("ranges"), start.alias("start")).limit(2 * sample).collect()
+    met = read.join(F.broadcast(picked), "key").groupBy("key").agg(F.min("label").alias("label"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = met.select("key", "label", ranges("text", start).alias("ranges"), start.alias("start")).collect()
     rows = sorted((r["key"], r["label"], bytes(r["ranges"]), r["start"]) for r in rows)
     sequences = [np.frombuffer(r[2], np.int8).reshape(-1, len(MEASURES)).astype(np.int64) for r in rows]
     before = [int(r[3] > 0) for r in rows]
@@ -250,10 +254,14 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     good labels. Empty tables give no rows.
     """
     model = fit(docs, labels, key, text, label)
-    scored = docs.select(F.col(key).alias(key), held_out(F.col(key)).alias("held_out"), score(F.col(text), model).alias("score"))
+    scored = docs.select(F.col(quoted(key)).alias(key), held_out(F.col(quoted(key))).alias("held_out"), score(F.col(quoted(text)), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= GOOD).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """The documents that are predicted good, with their columns as they come; cases as in ``classify``."""
-    return docs.where(score(F.col(text), fit(docs, labels, key, text, label)) >= GOOD)
+    """The documents that are predicted good, with their columns as they come; cases as in ``classify``.
+
+    Without labels of both kinds there is nothing to judge by, and all documents stay.
+    """
+    model = fit(docs, labels, key, text, label)
+    return docs.where(score(F.col(quoted(text)), model) >= GOOD) if model.learned else docs

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.text import WORD, let, words
+from touchline.llm.text import WORD, let, quoted, words
 from touchline.session import stage
 
 SYMBOL = "[#*$%&|<>]"
@@ -74,22 +74,29 @@ def measures(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """A whole-number measure and how far above the usual it may lie: at most q75 + reach * max(q75 - q25, slack)."""
+    """A whole-number measure and how far above the usual it may lie.
+
+    The limit is high + reach * max(high - middle, 1), where ``middle`` is the median and ``high`` the quantile at ``tail`` thousandths of
+    the documents of the same language and source. 1 is what a sketch tells apart.
+    """
 
     name: str
     value: str
-    slack: int
+    tail: int
     reach: int = 3
 
 
-#: Thousandths, and tenths of characters per word.
+#: Thousandths, and tenths of characters per word. Good texts differ little in symbols and word length, so the upper seventh already
+#: tells how far they go; lines and words repeat in some good texts too, so only what lies far beyond the last fiftieth goes.
 RULES = (
-    Rule("symbols", "1000 * n_symbols div word_chars", 40),
-    Rule("dup_lines", "1000 * n_dup_lines div n_lines", 120),
-    Rule("repeats", "1000 * n_repeat_words div n_words", 100),
-    Rule("word_length", "10 * word_chars div n_words", 12),
+    Rule("symbols", "1000 * n_symbols div word_chars", 850),
+    Rule("dup_lines", "1000 * n_dup_lines div n_lines", 980),
+    Rule("repeats", "1000 * n_repeat_words div n_words", 980),
+    Rule("word_length", "10 * word_chars div n_words", 850),
 )
-LEAST_DOCUMENTS = 100
+MIDDLE = 500
+#: A group's quantiles are pulled towards its language's as if the group had so many further documents like those of its language.
+PULL = 100
 #: A value of up to so many binary digits has a bucket of its own; of longer ones so many leading digits count.
 DIGITS = 11
 
@@ -112,49 +119,54 @@ def sketches(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return measured.where("n_words > 0").select("lang", "source", F.explode(values).alias("v")).groupBy("lang", "source", "v.rule", "v.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _quartiles(counts: DataFrame, by: list[str]) -> DataFrame:
+def _by_rule(values: dict[str, Column]) -> Column:
+    """The value for the row's rule."""
+    chosen = None
+    for name, value in values.items():
+        chosen = F.when(F.col("rule") == name, value) if chosen is None else chosen.when(F.col("rule") == name, value)
+    return chosen
+
+
+def _quantiles(counts: DataFrame, by: list[str], rules: tuple[Rule, ...]) -> DataFrame:
+    """(by, rule, middle, high, total) of merged sketches: the smallest buckets that hold half and ``tail`` thousandths of the documents."""
     merged = counts.groupBy(*by, "rule", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by, "rule")
     upto = F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = merged.withColumn("upto", upto).withColumn("total", F.sum("n").over(group))
-    at = lambda quarter: F.min(F.when(4 * F.col("upto") >= quarter * F.col("total"), F.col("bucket")))
-    return ranked.groupBy(*by, "rule").agg(at(1).alias("q25"), at(3).alias("q75"), F.max("total").alias("total"))
+    ranked = merged.withColumn("upto", upto).withColumn("total", F.sum("n").over(group)).withColumn("tail", _by_rule({r.name: F.lit(r.tail) for r in rules}))
+    at = lambda level: F.min(F.when(1000 * F.col("upto") >= level * F.col("total"), F.col("bucket")))
+    return ranked.groupBy(*by, "rule").agg(at(F.lit(MIDDLE)).alias("middle"), at(F.col("tail")).alias("high"), F.max("total").alias("total"))
 
 
-def thresholds(counts: DataFrame, rules: tuple[Rule, ...] = RULES, least: int = LEAST_DOCUMENTS) -> DataFrame:
+def thresholds(counts: DataFrame, rules: tuple[Rule, ...] = RULES, pull: int = PULL) -> DataFrame:
     """Per lang and source one column per rule: the largest value that stays.
 
-    A group with fewer than ``least`` documents takes its language's merged sketch, and a language with fewer the whole
-    table's. Sketches hold up to 2,048 buckets per rule and 1,024 for each doubling above, so no window here grows with
-    the documents.
+    A group of n documents weighs its own quantile by n and its language's by ``pull``, at every size of the group. Sketches hold
+    up to 2,048 buckets per rule and 1,024 for each doubling above, so no window here grows with the documents.
     """
-    reach = {r.name: r for r in rules}
-    limit = None
-    for name, r in reach.items():
-        value = F.col("q75") + r.reach * F.greatest(F.col("q75") - F.col("q25"), F.lit(r.slack))
-        limit = F.when(F.col("rule") == name, value) if limit is None else limit.when(F.col("rule") == name, value)
-    fine = _quartiles(counts, ["lang", "source"]).select("lang", "source", "rule", "total", limit.alias("fine"))
-    middle = _quartiles(counts, ["lang"]).select(F.col("lang").alias("of"), F.col("rule").alias("r1"), F.col("total").alias("t1"), limit.alias("middle"))
-    coarse = _quartiles(counts, []).select(F.col("rule").alias("r2"), limit.alias("coarse"))
-    joined = fine.join(middle, F.col("lang").eqNullSafe(F.col("of")) & (F.col("rule") == F.col("r1"))).join(coarse, F.col("rule") == F.col("r2"))
-    chosen = F.when(F.col("total") >= least, F.col("fine")).when(F.col("t1") >= least, F.col("middle")).otherwise(F.col("coarse"))
-    return joined.groupBy(F.col("lang").alias("lang_"), F.col("source").alias("source_")).agg(
-        *[F.max(F.when(F.col("rule") == name, chosen)).alias(f"most_{name}") for name in reach]
+    of_group = _quantiles(counts, ["lang", "source"], rules)
+    of_lang = _quantiles(counts, ["lang"], rules).select(F.col("lang").alias("of"), F.col("rule").alias("r"), F.col("middle").alias("middle_l"), F.col("high").alias("high_l"))
+    joined = of_group.join(of_lang, F.col("lang").eqNullSafe(F.col("of")) & (F.col("rule") == F.col("r")))
+    pulled = [F.expr(f"(total * {name} + {pull}L * {name}_l) div (total + {pull}L)").alias(name) for name in ("middle", "high")]
+    reach = _by_rule({r.name: F.lit(r.reach) for r in rules})
+    limit = F.col("high") + reach * F.greatest(F.col("high") - F.col("middle"), F.lit(1))
+    limits = joined.select("lang", "source", "rule", *pulled).withColumn("limit", limit)
+    return limits.groupBy(F.col("lang").alias("lang_"), F.col("source").alias("source_")).agg(
+        *[F.max(F.when(F.col("rule") == r.name, F.col("limit"))).alias(f"most_{r.name}") for r in rules]
     )
 
 
-def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", rules: tuple[Rule, ...] = RULES, least: int = LEAST_DOCUMENTS) -> DataFrame:
+def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", rules: tuple[Rule, ...] = RULES, pull: int = PULL) -> DataFrame:
     """One row per document: key, lang, source, measures, base_failed, failed (names of the adaptive rules it breaks), kept.
 
     A document fails the base with under 50 words or with over half of its words in repeated windows of three. Any other
-    goes if a measure lies over the threshold of its language and source.
+    goes if a measure lies over the limit of its language and source, which the group's own quantiles set, pulled towards its language's.
 
     Null texts count as empty and fail the base. Null lang and source are groups like any other. Ties at a threshold stay.
     Repeated rows are judged one by one. Extra columns are ignored, whatever their names. Empty tables give no rows.
     """
-    read = docs.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), measures(F.col(text)).alias("m"))
+    read = docs.select(F.col(quoted(key)).alias("key"), F.col(quoted(lang)).cast("string").alias("lang"), F.col(quoted(source)).cast("string").alias("source"), measures(F.col(quoted(text))).alias("m"))
     measured = stage(read.select("key", "lang", "source", "m.*"), "measures")
-    limits = stage(thresholds(stage(sketches(measured, rules), "sketches"), rules, least), "thresholds")
+    limits = stage(thresholds(stage(sketches(measured, rules), "sketches"), rules, pull), "thresholds")
     joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_")), "left")
     broken = F.array(*[F.when((F.col("n_words") > 0) & (F.expr(f"case when n_words > 0 then {r.value} end") > F.col(f"most_{r.name}")), r.name) for r in rules])
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

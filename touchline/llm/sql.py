@@ -9,10 +9,13 @@ URL_FILTER = f"""
 WITH parts AS (
   SELECT page_id, url,
          {LOWERED.format("coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), '')")} AS host,
-         coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path
+         coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path,
+         string_split(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)(\\?([^#]*))?', 4), ''), '&') AS given
   FROM pages),
+kept AS (SELECT *, list_sort([p FOR p IN given IF p <> '' AND NOT starts_with(p, 'utm_')]) AS asked FROM parts),
 forms AS (
-  SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^www\\.', '') || rtrim(path, '/') END AS canonical FROM parts),
+  SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^www\\.', '') || rtrim(path, '/') ||
+                 CASE WHEN len(asked) > 0 THEN '?' || array_to_string(asked, '&') ELSE '' END END AS canonical FROM kept),
 ruled AS (
   SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
                  WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
@@ -105,20 +108,23 @@ values_ AS MATERIALIZED (
     SELECT *, unnest(['symbols', 'dup_lines', 'repeats', 'word_length']) AS rule,
            unnest([1000 * n_symbols // word_chars, 1000 * n_dup_lines // n_lines, 1000 * n_repeat_words // n_words, 10 * word_chars // n_words]) AS value
     FROM measured WHERE n_words > 0)),
-fine AS (
-  SELECT lang, source, rule, count(*) AS total, quantile_disc(least(value, 2000), 0.25) AS a, quantile_disc(least(value, 2000), 0.75) AS b
-  FROM values_ GROUP BY ALL),
-middle AS (
-  SELECT lang, rule, count(*) AS total, quantile_disc(least(value, 2000), 0.25) AS a, quantile_disc(least(value, 2000), 0.75) AS b
-  FROM values_ GROUP BY ALL),
-coarse AS (SELECT rule, quantile_disc(least(value, 2000), 0.25) AS a, quantile_disc(least(value, 2000), 0.75) AS b FROM values_ GROUP BY ALL),
-chosen AS (
-  SELECT f.lang, f.source, f.rule, CASE WHEN f.total >= 100 THEN f.a WHEN m.total >= 100 THEN m.a ELSE c.a END AS a,
-         CASE WHEN f.total >= 100 THEN f.b WHEN m.total >= 100 THEN m.b ELSE c.b END AS b
-  FROM fine f JOIN middle m ON f.lang IS NOT DISTINCT FROM m.lang AND f.rule = m.rule JOIN coarse c ON f.rule = c.rule),
-limits AS (
-  SELECT *, b + 3 * greatest(b - a, CASE rule WHEN 'symbols' THEN 40 WHEN 'dup_lines' THEN 120 WHEN 'repeats' THEN 100 ELSE 12 END) AS most
-  FROM chosen),
+sketched AS MATERIALIZED (
+  SELECT *, (((value >> cut) + 1) << cut) - 1 AS bucket, CASE WHEN rule IN ('symbols', 'word_length') THEN 850 ELSE 980 END AS tail
+  FROM (SELECT *, greatest(length(bin(value)) - 11, 0) AS cut FROM values_)),
+of_groups AS (
+  SELECT lang, source, rule, any_value(total) AS total, min(bucket) FILTER (WHERE 1000 * upto >= 500 * total) AS middle,
+         min(bucket) FILTER (WHERE 1000 * upto >= tail * total) AS high
+  FROM (SELECT *, count(*) OVER (PARTITION BY lang, source, rule) AS total,
+               row_number() OVER (PARTITION BY lang, source, rule ORDER BY bucket) AS upto FROM sketched)
+  GROUP BY lang, source, rule),
+of_langs AS (
+  SELECT lang, rule, min(bucket) FILTER (WHERE 1000 * upto >= 500 * total) AS middle, min(bucket) FILTER (WHERE 1000 * upto >= tail * total) AS high
+  FROM (SELECT *, count(*) OVER (PARTITION BY lang, rule) AS total, row_number() OVER (PARTITION BY lang, rule ORDER BY bucket) AS upto FROM sketched)
+  GROUP BY lang, rule),
+pulled AS (
+  SELECT g.lang, g.source, g.rule, (total * g.middle + 100 * l.middle) // (total + 100) AS middle, (total * g.high + 100 * l.high) // (total + 100) AS high
+  FROM of_groups g JOIN of_langs l ON g.lang IS NOT DISTINCT FROM l.lang AND g.rule = l.rule),
+limits AS (SELECT *, high + 3 * greatest(high - middle, 1) AS most FROM pulled),
 broken AS (
   SELECT DISTINCT n FROM values_ v JOIN limits l
   ON v.lang IS NOT DISTINCT FROM l.lang AND v.source IS NOT DISTINCT FROM l.source AND v.rule = l.rule WHERE v.value > l.most)

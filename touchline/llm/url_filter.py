@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm import bloom
-from touchline.llm.text import ascii_lower
+from touchline.llm.text import ascii_lower, quoted
 from touchline.session import stage
 
-_PARTS = "://([^/?#]*)([^?#]*)"
+_PARTS = r"://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
+#: Parameters that tell where a visitor came from, by the start of their name; a page is the same without them.
+TRACKING = "utm_"
 
 
 def host_of(url: Column) -> Column:
@@ -24,9 +26,14 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _PARTS, 2), F.lit(""))
 
 
-def canonical(host: Column, path: Column) -> Column:
-    """Host without one leading ``www.``, and path without closing slashes; null if there is no host."""
-    return F.when(host != "", F.concat(F.regexp_replace(host, r"^www\.", ""), F.regexp_replace(path, "/+$", "")))
+def canonical(url: Column) -> Column:
+    """Host without one leading ``www.``, path without closing slashes, and the parameters in order, but for those of tracking; null if
+    there is no host. The fragment is left out."""
+    host = F.regexp_replace(host_of(url), r"^www\.", "")
+    given = F.split(F.coalesce(F.regexp_extract(url, _PARTS, 3), F.lit("")), "&")
+    kept = F.array_sort(F.filter(given, lambda p: (p != "") & ~p.startswith(TRACKING)))
+    query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
+    return F.when(host_of(url) != "", F.concat(host, F.regexp_replace(path_of(url), "/+$", ""), query))
 
 
 def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
@@ -60,19 +67,16 @@ def judge(
     Null or broken urls have an empty host and path, no canonical form, and are allowed. Repeated rows are judged one
     by one. An empty list blocks nothing. Other columns, whatever their names, are ignored. Empty tables give no rows.
     """
-    lines = F.col("url")
-    forms = stage(
-        listed.select(F.col(url).alias("url")).select(canonical(host_of(lines), path_of(lines)).alias("form")).where("form IS NOT NULL").distinct(),
-        "listed",
-    )
-    parts = pages.select(F.col(key).alias(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    address = F.col(quoted(url))
+    forms = stage(listed.select(canonical(address).alias("form")).where("form IS NOT NULL").distinct(), "listed")
+    parts = pages.select(F.col(quoted(key)).alias(key), host_of(address).alias("host"), path_of(address).alias("path"), canonical(address).alias("canonical"))
     rule, says = longest_rule(F.col("host"), F.col("path"), rules)
-    parts = parts.select(key, "host", "path", canonical(F.col("host"), F.col("path")).alias("canonical"), rule.alias("rule"), says.alias("says"))
+    parts = parts.select(quoted(key), "host", "path", "canonical", rule.alias("rule"), says.alias("says"))
     open_form = F.when(F.col("rule").isNull(), F.col("canonical"))
     flagged = bloom.flag_hits(parts.withColumn("form", open_form), "form", bloom.build(forms, "form", blocks), "maybe", blocks)
     sure = flagged.where(~F.col("maybe")).withColumn("listed", F.lit(False))
     confirmed = flagged.where("maybe").join(forms.withColumn("found", F.lit(True)), "form", "left")
     confirmed = confirmed.withColumn("listed", F.coalesce(F.col("found"), F.lit(False)))
-    columns = [key, "host", "path", "canonical", "rule", "listed"]
+    columns = [quoted(key), "host", "path", "canonical", "rule", "listed"]
     verdict = F.coalesce(F.col("says"), F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict")
     return sure.select(*columns, verdict).unionByName(confirmed.select(*columns, verdict))
