@@ -96,7 +96,7 @@ RULES = (
 )
 MIDDLE = 500
 #: A group's quantiles are pulled towards its language's as if the group had so many further documents like those of its language.
-PULL = 100
+PULL = 20
 #: A value of up to so many binary digits has a bucket of its own; of longer ones so many leading digits count.
 DIGITS = 11
 

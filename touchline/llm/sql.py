@@ -122,7 +122,7 @@ of_langs AS (
   FROM (SELECT *, count(*) OVER (PARTITION BY lang, rule) AS total, row_number() OVER (PARTITION BY lang, rule ORDER BY bucket) AS upto FROM sketched)
   GROUP BY lang, rule),
 pulled AS (
-  SELECT g.lang, g.source, g.rule, (total * g.middle + 100 * l.middle) // (total + 100) AS middle, (total * g.high + 100 * l.high) // (total + 100) AS high
+  SELECT g.lang, g.source, g.rule, (total * g.middle + 20 * l.middle) // (total + 20) AS middle, (total * g.high + 20 * l.high) // (total + 20) AS high
   FROM of_groups g JOIN of_langs l ON g.lang IS NOT DISTINCT FROM l.lang AND g.rule = l.rule),
 limits AS (SELECT *, high + 3 * greatest(high - middle, 1) AS most FROM pulled),
 broken AS (
