@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from touchline.llm import bpe, line_dedup, mixing, near_dedup, quality_crf
 from touchline.llm.settings import TOKENIZER
-from touchline.llm.text import fresh
+from touchline.llm.text import fresh, quoted
 from touchline.session import new_folder
 
 
 def _counted(docs: DataFrame) -> DataFrame:
     """``n_chars`` as the text now has it, where there is such a column."""
-    if "n_chars" not in docs.columns:
-        return docs
-    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    found = [c for c in docs.columns if c.lower() == "n_chars"]
+    return docs.withColumns({c: F.length("text").cast(docs.schema[c].dataType) for c in found})
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +25,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that ten documents or more have; ``n_chars`` follows the text."""
     names = (fresh(docs, "_lines"), fresh(docs, "_lines_dropped"))
-    return _counted(line_dedup.drop_repeated(docs, name=names).select(*docs.columns))
+    return _counted(line_dedup.drop_repeated(docs, name=names).select(*map(quoted, docs.columns)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
