@@ -10,7 +10,7 @@ from touchline.operators.ranking import best_first
 from touchline.plans import read_query
 from touchline.schemas import ENTITY, FIXTURE, PERIOD, TEAM
 from touchline.session import new_folder, stage
-from touchline.sources import readers, writers
+from touchline.sources import documents, readers, writers
 from touchline.streaming.refresh import newest_rows, refresh
 
 KEPT = ["name", "team", "position", "predicted_points", "now_cost", "form", "minutes"]
@@ -28,7 +28,7 @@ def snapshot_roundtrip(spark, sf_dir):
     rows = _rows(spark, sf_dir).withColumn("gameweek", F.lit(9))
     writers.publish(rows.withColumn("minutes", F.lit(0).cast("long")), folder)
     writers.publish(rows, folder, best_first("predicted_points"))
-    return spark.read.parquet(folder).select("gameweek", "id", *KEPT)
+    return readers.read_published(spark, folder).select("gameweek", "id", *KEPT)
 
 
 LATEST = """SELECT 10 AS gameweek, name, team, position, predicted_points + 10 AS predicted_points, now_cost, form, minutes
@@ -54,7 +54,7 @@ def latest_partition(spark, sf_dir):
     for period in (2, 9, 10):
         shifted = rows.withColumns({"predicted_points": F.col("predicted_points") + period, "gameweek": F.lit(period)})
         writers.publish(shifted, folder)
-    return readers.latest_partition(spark.read.parquet(folder)).select("gameweek", *KEPT)
+    return readers.latest_partition(readers.read_published(spark, folder)).select("gameweek", *KEPT)
 
 
 @query(
@@ -69,6 +69,30 @@ def csv_snapshot_schema(spark, sf_dir):
     return read.select("name", "team", "position", F.round("predicted_points", 4).alias("predicted_points"), "minutes")
 
 
+MANY_HEADERS = """SELECT id, name, team, position, round(predicted_points, 4) AS predicted_points, minutes, CAST(NULL AS BIGINT) AS total_points, NULL AS note
+  FROM snapshot WHERE position = 'MID'
+  UNION ALL SELECT id, name, NULL, position, round(predicted_points, 4), NULL, NULL, NULL FROM snapshot WHERE position = 'DEF'
+  UNION ALL SELECT id, name, team, position, NULL, minutes, id, 'n' || id FROM snapshot WHERE position NOT IN ('MID', 'DEF')"""
+
+
+@query("csv_many_headers", b.with_(*CLAUSES, MANY_HEADERS))
+def csv_many_headers(spark, sf_dir):
+    """Three exports with different columns in different orders: one folder holds two of them, and it is read with the third."""
+    folder = new_folder(spark, "exports")
+    rows = _rows(spark, sf_dir)
+    points = F.round("predicted_points", 4).alias("predicted_points")
+    own = [F.col("id").alias("total_points"), F.concat(F.lit("n"), "id").alias("note")]
+    made = [
+        rows.where("position = 'MID'").select("name", "team", "position", points, "minutes", "id"),
+        rows.where("position = 'DEF'").select("id", points, "position", "name"),
+        rows.where("position NOT IN ('MID', 'DEF')").select(own[1], "minutes", "team", "position", own[0], "name", "id"),
+    ]
+    for part, place in zip(made, ("first", "first", "second"), strict=True):
+        part.write.mode("append").option("header", True).csv(f"{folder}/{place}")
+    read = readers.read_predictions(spark, [f"{folder}/first", f"{folder}/second"])
+    return read.select("id", "name", "team", "position", "predicted_points", "minutes", "total_points", "note")
+
+
 @query(
     "first_available",
     b.with_(*CLAUSES, "SELECT team, count(*) AS rows, max(predicted_points) AS best FROM snapshot GROUP BY team"),
@@ -130,6 +154,40 @@ def serve_predictions(spark, sf_dir):
     )
 
 
+@query(
+    "serve_statistics",
+    b.with_(
+        *CLAUSES,
+        """SELECT 10 AS gameweek, count(*) AS total_players, round(avg(predicted_points + 10), 6) AS avg_predicted_points,
+                  max(predicted_points) + 10 AS max_predicted_points, count(DISTINCT team) AS teams,
+                  (SELECT string_agg(position || ':' || n, ',' ORDER BY position) FROM
+                     (SELECT position, count(*) AS n FROM snapshot WHERE position IS NOT NULL GROUP BY position)) AS positions
+           FROM snapshot""",
+    ),
+)
+def serve_statistics(spark, sf_dir):
+    """The latest of two exports is found by its name and summed up."""
+    served = read_query.serve_statistics(spark, _two_exports(spark, sf_dir))
+    entry = lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))
+    positions = F.array_join(F.transform(F.map_entries("positions"), entry), ",")
+    mean = F.round("avg_predicted_points", 6).alias("avg_predicted_points")
+    return served.select("gameweek", "total_players", mean, "max_predicted_points", "teams", positions.alias("positions"))
+
+
+@query("serve_teams", b.with_(*CLAUSES, "SELECT DISTINCT team FROM snapshot WHERE team <> ''"))
+def serve_teams(spark, sf_dir):
+    """The teams of the latest of two exports; the older one has others."""
+    return read_query.serve_teams(spark, _two_exports(spark, sf_dir))
+
+
+def _two_exports(spark, sf_dir):
+    folder = new_folder(spark, "exports")
+    rows = _rows(spark, sf_dir)
+    writers.export_csv(rows.withColumn("team", F.lit("older")), folder, 9)
+    writers.export_csv(rows.withColumn("predicted_points", F.col("predicted_points") + 10), folder, 10)
+    return folder
+
+
 @query(
     "serve_repeated_names",
     b.with_(
@@ -230,6 +288,58 @@ def fixtures_roundtrip(spark, sf_dir):
     )
 
 
+def _one_document(spark, arrays, path):
+    """One JSON document of these tables, an array each, written as a single file; without a name it is the array."""
+    line = lambda part, at, value: [F.lit(part).alias("part"), at.alias("at"), value.alias("value")]
+    end = "]}" if arrays[0][0] else "]"
+    lines = spark.range(1).select(*line(1000, F.lit(0).cast("long"), F.lit(end)))
+    for place, (name, rows, key) in enumerate(arrays):
+        opened = ("{" if place == 0 else "], ") + f'"{name}": [' if name else "["
+        comma = F.when(F.col(key) > rows.agg(F.min(key)).scalar(), ",").otherwise("")
+        lines = lines.union(spark.range(1).select(*line(2 * place, F.lit(0).cast("long"), F.lit(opened))))
+        lines = lines.union(rows.select(*line(2 * place + 1, F.col(key).cast("long"), F.concat(comma, F.to_json(F.struct("*"))))))
+    lines.orderBy("part", "at").coalesce(1).select("value").write.text(path)
+
+
+@query(
+    "envelope_whole",
+    b.with_(
+        b.PLAYERS_SQL,
+        b.TEAMS_SQL,
+        """SELECT p.id, row_number() OVER (ORDER BY p.id) - 1 AS place, t.name AS team, t.strength, minutes, form, points_per_game, starts
+           FROM players p LEFT JOIN teams t ON t.id = team_id""",
+    ),
+)
+def envelope_whole(spark, sf_dir):
+    """Players and teams as one document, which several tasks read by its blocks."""
+    folder = new_folder(spark, "landing")
+    team_rows = b.teams(spark, sf_dir).select(*[F.col(f.name).cast(f.dataType) for f in TEAM.fields])
+    _one_document(spark, [("elements", _entity_rows(spark, sf_dir), "id"), ("teams", team_rows, "id")], folder)
+    items = documents.split_documents(spark, folder, ["elements", "teams"])
+    found = documents.document_rows(items, ENTITY, "elements").withColumnRenamed("pos", "place")
+    joined = lookups.look_up(found, documents.document_rows(items, TEAM, "teams"), {"team": "id"}, {"team": "name", "strength": "strength"})
+    return joined.select("id", "place", "team", F.col("strength").cast("int").alias("strength"), "minutes", "form", "points_per_game", "starts")
+
+
+@query(
+    "fixtures_whole",
+    b.with_(
+        b.FIXTURES_SQL,
+        """SELECT pos AS id, CAST(event AS BIGINT) AS event, team_h, team_a, finished, row_number() OVER (ORDER BY pos) - 1 AS place
+           FROM fixtures""",
+    ),
+)
+def fixtures_whole(spark, sf_dir):
+    """Fixtures as one root-level array in one file, which several tasks read by its blocks."""
+    folder = new_folder(spark, "landing")
+    rows = b.fixtures(spark, sf_dir).withColumnRenamed("pos", "id").select(*[F.col(f.name).cast(f.dataType) for f in FIXTURE.fields])
+    _one_document(spark, [("", rows, "id")], folder)
+    read = documents.document_rows(documents.split_documents(spark, folder), FIXTURE)
+    return read.select(
+        "id", "event", F.col("team_h").cast("int").alias("team_h"), F.col("team_a").cast("int").alias("team_a"), "finished", F.col("pos").alias("place")
+    )
+
+
 @query(
     "array_sizes",
     "SELECT 'elements' AS \"table\", count(*) AS items FROM customer UNION ALL SELECT 'teams', count(*) FROM nation UNION ALL SELECT 'events', 0",
@@ -317,7 +427,7 @@ def _refreshed(spark, sf_dir):
         refresh(spark, landing, published, checkpoint, build, best_first("predicted_points"))
 
     def read():
-        table = spark.read.parquet(f"{published}/predictions")
+        table = readers.read_published(spark, f"{published}/predictions")
         return table.select("gameweek", "id", F.col("team_id").cast("int").alias("team_id"), "minutes", "predicted_points")
 
     return stage(_entity_rows(spark, sf_dir), "entities"), land, run, read

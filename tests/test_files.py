@@ -9,8 +9,10 @@ from touchline import session
 from touchline.operators.filters import NoRowsError
 from touchline.operators.ranking import best_first
 from touchline.plans import read_query
-from touchline.sources import readers, writers
+from touchline.schemas import ENTITY as ENTITY_SCHEMA
+from touchline.schemas import FIXTURE as FIXTURE_SCHEMA
 from touchline.schemas import PREDICTIONS
+from touchline.sources import documents, readers, writers
 from touchline.streaming.refresh import newest_rows, refresh
 
 ENVELOPE = {
@@ -94,8 +96,9 @@ def test_latest_period_is_numeric(spark, tmp_path):
     assert readers.latest_period(spark, str(tmp_path)) is None
     with pytest.raises(NoRowsError):
         readers.read_latest(spark, str(tmp_path))
-    with pytest.raises(NoRowsError):
-        read_query.serve_predictions(spark, str(tmp_path))
+    for serve in (read_query.serve_predictions, read_query.serve_statistics, read_query.serve_teams):
+        with pytest.raises(NoRowsError):
+            serve(spark, str(tmp_path))
     for period in (2, 9, 10):
         _csv(tmp_path, period, rows=2)
     assert readers.latest_period(spark, str(tmp_path)) == 10
@@ -155,9 +158,78 @@ def test_publish_replaces_only_its_period(spark, tmp_path):
     rows = lambda period, n: spark.range(n).withColumns({"predicted_points": F.rand(1), "gameweek": F.lit(period)})
     for period, n in ((1, 5), (2, 7), (1, 3), (1, 3)):
         writers.publish(rows(period, n), table, best_first("predicted_points"))
-    counts = {r["gameweek"]: r["count"] for r in spark.read.parquet(table).groupBy("gameweek").count().collect()}
-    assert counts == {1: 3, 2: 7}
-    assert readers.latest_partition(spark.read.parquet(table)).count() == 7
+    published = readers.read_published(spark, table)
+    assert {r["gameweek"]: r["count"] for r in published.groupBy("gameweek").count().collect()} == {1: 3, 2: 7}
+    assert readers.latest_partition(published).count() == 7 and published.columns == rows(1, 1).columns
+    writers.publish(rows(1, 0), table)  # no rows, no period
+    assert readers.read_published(spark, table).count() == 10
+
+
+def test_readers_keep_what_they_began_with(spark, tmp_path):
+    """A period is published again while it is read: nothing of the version in use goes, and old versions are listed."""
+    table, rows = str(tmp_path / "t"), lambda n, at: spark.range(n).withColumns({"predicted_points": F.lit(float(at)), "gameweek": F.lit(4)})
+    writers.publish(rows(50, 1).repartition(5), table)
+    begun = readers.read_published(spark, table)
+    halfway = begun.toLocalIterator()
+    first = next(halfway)
+    files = [f for f in begun.inputFiles() if "/versions/" in f]
+    writers.publish(rows(7, 2), table)
+    assert 1 + len(list(halfway)) == 50 and first["predicted_points"] == 1.0
+    assert begun.where("predicted_points = 1").count() == 50  # a new query over the old files
+    assert {r["predicted_points"] for r in readers.read_published(spark, table).collect()} == {2.0}
+    old = [r["path"] for r in writers.superseded(spark, table).collect()]
+    assert len(old) == 1 and files and all(old[0] in f for f in files)
+    left = spark.read.parquet(old[0])
+    assert left.count() == 50
+    found = readers.published_versions(spark, table).collect()
+    assert [r["current"] for r in sorted(found, key=lambda r: r["version"])] == [False, True]
+
+
+def test_failed_publication_does_not_count(spark, tmp_path):
+    table = str(tmp_path / "t")
+    writers.publish(spark.range(3).withColumn("gameweek", F.lit(1)), table)
+    broken = spark.range(5).withColumn("gameweek", F.when(F.col("id") < 4, 1).otherwise(F.raise_error(F.lit("broken"))))
+    with pytest.raises(Exception, match="broken"):
+        writers.publish(broken, table)
+    assert readers.read_published(spark, table).count() == 3
+
+
+def test_csv_files_with_other_headers(spark, tmp_path):
+    """Each file by its own header, as a list and as a folder."""
+    one, two, three = (tmp_path / "exports" / f"{n}.csv" for n in ("b", "a", "c"))
+    one.parent.mkdir()
+    one.write_text("name,team,minutes,predicted_points\nA,T1,45,2.5\n\n")
+    two.write_text("\nname,predicted_points,team,minutes,note\r\nB,3.5,T2,90,x\r\n")
+    three.write_text("id,name\n8,C\n")
+    (tmp_path / "exports" / "empty.csv").write_text("")
+    (tmp_path / "exports" / "_hidden").write_text("what,ever\n1,2\n")
+    want = {("A", "T1", 45, 2.5, None, None), ("B", "T2", 90, 3.5, "x", None), ("C", None, None, None, None, 8)}
+    for path in ([str(p) for p in (one, two, three)], [str(three), str(two), str(one)], str(tmp_path / "exports")):
+        read = readers.read_predictions(spark, path)
+        assert [c for c in read.columns if c in PREDICTIONS.names] == PREDICTIONS.names
+        assert {tuple(r) for r in read.select("name", "team", "minutes", "predicted_points", "note", "id").collect()} == want
+    inferred = readers.read_predictions(spark, [str(one), str(two)], infer=True)
+    assert {(r["name"], r["minutes"], r["note"]) for r in inferred.collect()} == {("A", 45, None), ("B", 90, "x")}
+    assert dict(inferred.dtypes)["minutes"] == "int"
+    clash = tmp_path / "clash.csv"
+    clash.write_text("minutes,team\n1.5,7\n")
+    mixed = readers.read_predictions(spark, [str(one), str(clash)], infer=True)
+    assert dict(mixed.dtypes)["minutes"] == "double" and {r["team"] for r in mixed.collect()} == {"T1", "7"}
+    (tmp_path / "none").mkdir()
+    assert readers.read_predictions(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_headers_of_many_part_files(spark, tmp_path):
+    """Part files of a write share a header, so one of them is looked at for each write."""
+    for n, columns in enumerate((["id", "name", "minutes"], ["minutes", "id"], ["name", "id", "minutes"])):
+        spark.range(n * 100, n * 100 + 100).selectExpr("id", "concat('n', id) AS name", "id * 2 AS minutes").select(*columns).repartition(6).write.mode("append").option(
+            "header", True
+        ).csv(str(tmp_path / "out"))
+    read = readers.read_predictions(spark, str(tmp_path / "out"))
+    rows = {r["id"]: (r["name"], r["minutes"]) for r in read.collect()}
+    assert rows == {n: (None if 100 <= n < 200 else f"n{n}", 2 * n) for n in range(300)}
+    exports = readers._exports(spark, str(tmp_path / "out"), {"header": True})
+    assert sorted(len(e.files) for e in exports) == [6, 6, 6]
 
 
 def test_response_records(spark):
@@ -190,7 +262,7 @@ def test_refresh(spark, tmp_path):
 
     def run():
         refresh(spark, landing, out, state, _build, best_first("predicted_points"))
-        table = spark.read.parquet(f"{out}/predictions")
+        table = readers.read_published(spark, f"{out}/predictions")
         latest = readers.read_newest(spark, out)
         return {r["gameweek"]: r["count"] for r in table.groupBy("gameweek").count().collect()}, latest.select("gameweek").distinct().collect()
 
@@ -220,7 +292,7 @@ def test_newest_landing_wins(spark, tmp_path, chunk):
         writers.write_envelopes(rows, f"{landing}/gameweek=4", "elements", rows_per_chunk=chunk)
         refresh(spark, landing, out, state, build)
         time.sleep(1.1)  # file times may be whole seconds
-    got = {r["id"]: r["predicted_points"] for r in spark.read.parquet(f"{out}/predictions").collect()}
+    got = {r["id"]: r["predicted_points"] for r in readers.read_published(spark, f"{out}/predictions").collect()}
     assert got == {i: 3 if 10 <= i < 22 else 2 if i >= 20 else 1 for i in range(40)}
 
 
@@ -229,3 +301,60 @@ def test_shared_folder_comes_from_the_session(spark):
     staged = session.stage(spark.range(5), "t")
     assert staged.count() == 5
     assert session.shared_dir(spark) in staged.inputFiles()[0]
+
+
+TRICKY = [
+    {"id": 0, "form": "a } b { c [ d ] \" e \\", "web_name": "}"},
+    {"id": 1, "first_name": "\\\\\"}", "nested": {"a": [{"b": {}}, {}], "c": "]}"}},
+    {"id": 2, "web_name": "é🙂 [{ \u007d"},
+    {},
+    {"id": 4, "teams": [{"id": 9}], "web_name": "\"teams\": [{"},
+]
+
+
+@pytest.fixture
+def small_blocks(spark):
+    """Files are cut into blocks of a few bytes, as large ones are into blocks of many."""
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    before = {key: spark.conf.get(key, None) for key in keys}
+
+    def cut(size):
+        for key, value in zip(keys, (size, 1, 1), strict=True):
+            spark.conf.set(key, value)
+
+    yield cut
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+@pytest.mark.parametrize("size", [40, 150, 1 << 20])
+@pytest.mark.parametrize("indent", [None, 2])
+def test_one_document_is_read_by_many_tasks(spark, tmp_path, small_blocks, size, indent):
+    elements = TRICKY + [{"id": 10 + n, "web_name": f"n{n}" + "}" * (n % 3), "minutes": n} for n in range(60)]
+    document = {"note": "[{", "empty": [], "elements": elements, "total": {"x": [1, 2]}, "other": [{"id": 5}, {"id": 6}], "teams": [{"id": n, "name": f"T{n}"} for n in range(5)], "events": []}
+    (tmp_path / "one.json").write_text(json.dumps(document, indent=indent, ensure_ascii=False))
+    (tmp_path / "two.json").write_text(json.dumps({"teams": [{"id": 77}]}))
+    small_blocks(size)
+    pieces = documents._pieces(spark, str(tmp_path))
+    if size < 1000:
+        assert pieces.rdd.getNumPartitions() > 10
+    split = documents.split_documents(spark, str(tmp_path), ["elements", "teams", "events"])
+    small_blocks(1 << 27)
+    got = {(r["array"], r["file"].rsplit("/", 1)[-1], r["at"]): json.loads(r["item"]) for r in split.collect()}
+    want = {("elements", "one.json", n): e for n, e in enumerate(elements)} | {("teams", "one.json", n): t for n, t in enumerate(document["teams"])}
+    assert got == want | {("teams", "two.json", 0): {"id": 77}} and split.count() == len(got)
+    rows = documents.document_rows(split, ENTITY_SCHEMA, "elements").orderBy("pos").collect()
+    assert [(r["pos"], r["id"], r["web_name"]) for r in rows] == [(n, e.get("id"), e.get("web_name")) for n, e in enumerate(elements)]
+
+
+@pytest.mark.parametrize("size", [30, 1 << 20])
+def test_root_array_is_read_by_many_tasks(spark, tmp_path, small_blocks, size):
+    given = [{"id": n, "event": n % 3, "note": "}" * (n % 2)} for n in range(40)] + TRICKY
+    (tmp_path / "f.json").write_text("  \n" + json.dumps(given, indent=1, ensure_ascii=False) + "\n")
+    (tmp_path / "none.json").write_text("[]")
+    small_blocks(size)
+    split = documents.split_documents(spark, str(tmp_path))
+    small_blocks(1 << 27)
+    assert [json.loads(r["item"]) for r in split.orderBy("at").collect()] == given
+    rows = documents.document_rows(split, FIXTURE_SCHEMA)
+    assert [(r["pos"], r["id"], r["event"]) for r in rows.orderBy("pos").collect()] == [(n, g.get("id"), g.get("event")) for n, g in enumerate(given)]

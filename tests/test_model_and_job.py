@@ -122,7 +122,7 @@ def test_refresh_scores(spark, landed, tmp_path):
         (tmp_path / f"landing/gameweek={day}").mkdir(parents=True)
         (tmp_path / f"landing/gameweek={day}/s.json").write_text(json.dumps(envelope, indent=1))
         run()
-    table = spark.read.parquet(str(tmp_path / "out/predictions"))
+    table = readers.read_published(spark, str(tmp_path / "out/predictions"))
     assert {r["gameweek"]: r["count"] for r in table.groupBy("gameweek").count().collect()} == {3: 240, 4: 240}
     assert {r["gameweek"] for r in readers.read_newest(spark, str(tmp_path / "out")).collect()} == {4}
 
@@ -133,7 +133,7 @@ def test_published_partition_is_ordered(spark, tmp_path):
 
     rows = spark.range(500).select("id", (F.col("id") * 7 % 83).cast("double").alias("predicted_points"), F.lit(3).alias("gameweek"))
     publish(rows.repartition(6), str(tmp_path / "t"), best_first("predicted_points"))
-    files = spark.read.parquet(str(tmp_path / "t")).select("predicted_points", "id", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("n"))
+    files = spark.read.parquet(str(tmp_path / "t/versions")).select("predicted_points", "id", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("n"))
     per_file = {}
     for r in files.orderBy("n").collect():
         per_file.setdefault(r["f"], []).append((-r["predicted_points"], r["id"]))
@@ -194,3 +194,22 @@ def test_unavailable_column_is_optional(spark):
     df = spark.createDataFrame([(10.0, 95.0)], "predicted_points double, now_cost double")
     row = model.finish_scores(df).first()
     assert row["predicted_points"] == pytest.approx(6) and row["now_cost"] == 9.5 and row["expected_goals"] == 0
+
+
+@pytest.mark.parametrize("upto", ["10m", "-1"])
+def test_forest_is_the_mean_of_its_trees(spark, upto):
+    """The saved nodes, walked level by level as joins, give the model's own predictions by value."""
+    generator = random.Random(3)
+    rows = [(i, generator.randint(45, 900), 1 + i % 9, str(generator.randint(0, 9)), str(generator.randint(0, 20) / 2)) for i in range(300)]
+    vectors = model.with_label(model.assembled(_prepared(spark, rows)))
+    forest = model.train(vectors, trees=12, depth=7)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", upto)
+    try:
+        nodes = model.node_table(forest)
+        assert nodes.select("tree").distinct().count() == 12 and nodes.where("left < 0").count() > 12
+        walked = {r["id"]: r["walked"] for r in model.walked_predictions(nodes, vectors.select("id", model.VECTOR), "id", 7).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    own = {r["id"]: r[model.PREDICTION] for r in forest.transform(vectors).collect()}
+    assert walked.keys() == own.keys() and all(abs(walked[i] - own[i]) < 1e-9 for i in own) and len(set(own.values())) > 20

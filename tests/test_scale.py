@@ -1,10 +1,13 @@
 """Plans: what reaches the scan, what is shuffled, and what happens to hot keys."""
 
+import glob
+
 import pytest
 from pyspark.sql import functions as F
 
 from touchline.operators import lookups, pairings, ranking, stats
 from touchline.operators.features import feature_matrix, prepare_entities
+from touchline.operators.ranking import best_first
 from touchline.plans.read_query import predictions_query
 from touchline.session import stage
 from touchline.sources import readers, writers
@@ -74,7 +77,7 @@ def _published(spark, tmp_path):
         F.rand(3).alias("predicted_points"), F.rand(4).alias("form"), (F.col("id") % 3 + 8).cast("int").alias("gameweek"),
     )
     writers.publish(rows, str(tmp_path / "t"))
-    return spark.read.parquet(str(tmp_path / "t"))
+    return readers.read_published(spark, str(tmp_path / "t"))
 
 
 def test_filters_and_columns_reach_the_scan(spark, tmp_path):
@@ -144,3 +147,69 @@ def test_operators_write_nothing(spark, monkeypatch):
     names = spark.createDataFrame([("x", 9)], "full_name string, code long")
     shown = predictions_query(lookups.enrich_by_name(joined, names), limit=5)
     assert [(r["player_code"], r["next_opponent"]) for r in shown.collect()] == [(9, "B")]
+
+
+def test_large_limits_end_in_no_single_task(spark, monkeypatch):
+    """Half of the rows: counts per part tell where the limit falls, and no exchange brings rows to one partition."""
+    rows = spark.range(30_000).select("id", (F.col("id") * 7919 % 1009).alias("v"))
+    order = [F.desc("v"), F.asc("id")]
+    want = [r["id"] for r in rows.orderBy(*order).collect()]
+    for limit in (ranking.LARGE_LIMIT + 1, 15_000, 29_999, 30_000, 50_000):
+        taken = ranking.take_sorted(rows, order, limit)
+        assert [r["id"] for r in taken.collect()] == want[:limit]
+    plan = _plan(ranking.take_sorted(rows, order, 15_000))
+    assert "TakeOrdered" not in plan and "GlobalLimit" not in plan and "rangepartitioning" in plan
+    assert "SinglePartition" not in plan[: plan.index("Subquery")]  # below is the table of one row for each part
+    assert "TakeOrderedAndProject" in _plan(ranking.take_sorted(rows, order, 10))
+    monkeypatch.setattr(ranking, "LARGE_K", 5)
+    grouped = rows.withColumn("g", F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")))
+    top = ranking.top_per_group(grouped, ["g"], order, 6)
+    hot = [r["id"] for r in top.where("g = 'hot'").orderBy("rank").collect()]
+    assert hot == [i for i in want if i % 3 > 0][:6] and top.count() == 10_000 + 6
+    assert "Window" not in _plan(top).split("Join")[0] and "hashpartitioning(g" not in _plan(top)
+
+
+def test_statistics_read_each_table_once(spark, tmp_path):
+    rows = spark.range(2000).selectExpr(
+        "CASE WHEN id % 7 = 0 THEN NULL ELSE concat('T', id % 90) END AS team", "CASE WHEN id % 11 = 0 THEN NULL ELSE concat('P', id % 4) END AS position",
+        "CASE WHEN id % 13 > 0 THEN CAST(id % 50 AS DECIMAL(10, 2)) END AS predicted_points",
+    )
+    rows.write.parquet(str(tmp_path / "rows"))
+    read = spark.read.parquet(str(tmp_path / "rows"))
+    made = stats.prediction_statistics(read)
+    assert _plan(made).count("FileScan") + _plan(made).count("Scan parquet") <= 2  # one scan, shown in the tree and in its details
+    assert "ubquer" not in _plan(made)
+    got, all_rows = made.first(), read.collect()
+    known = [float(r["predicted_points"]) for r in all_rows if r["predicted_points"] is not None]
+    assert got["total_players"] == 2000 and abs(got["avg_predicted_points"] - sum(known) / len(known)) < 1e-9 and got["max_predicted_points"] == max(known)
+    assert got["teams"] == len({r["team"] for r in all_rows}) and got["positions"] == {p: sum(r["position"] == p for r in all_rows) for p in ("P0", "P1", "P2", "P3")}
+
+
+def test_sinks_share_one_sort(spark, tmp_path):
+    rows = spark.range(5000).select("id", (F.col("id") * 37 % 997).cast("double").alias("predicted_points"), F.lit("n").alias("name"), F.lit(3).alias("gameweek"))
+    ordered = writers.in_order(rows.repartition(7), best_first("predicted_points"))
+    assert "Exchange" not in _plan(ordered.select("id"))
+    path = writers.export_csv(ordered, str(tmp_path), 3)
+    writers.publish_period(ordered, str(tmp_path / "t"), 3)
+    lines = [line.split(",") for file in sorted(glob.glob(f"{path}/part-*")) for line in open(file).read().splitlines()[1:]]
+    want = sorted(((i * 37 % 997, i) for i in range(5000)), key=lambda p: (-p[0], p[1]))
+    assert [(float(line[1]), int(line[2])) for line in lines] == [(float(p), i) for p, i in want]
+    published = readers.read_published(spark, str(tmp_path / "t"))
+    assert published.count() == 5000 and {r[0] for r in published.select("gameweek").distinct().collect()} == {3}
+
+
+def test_landed_arrays_are_parsed_once(spark, tmp_path):
+    from touchline.streaming import refresh
+
+    documents = spark.createDataFrame(
+        [(1, ("2020", "a"), [(7, "x", None), (8, "y", None)], [(1, "T", 2)]), (2, ("2021", "b"), [(7, "z", None)], None)],
+        "gameweek int, _landed struct<time:string,path:string>, elements array<struct<id:long,form:string,pos:long>>, teams array<struct<id:long,name:string,strength:long>>",
+    )
+    documents.write.json(str(tmp_path / "landed"))
+    read = spark.read.schema(documents.schema).json(str(tmp_path / "landed"))
+    rows = refresh.landed_rows(read, ("elements", "teams"))
+    assert all("json" not in _plan(some).lower() for some in rows.values())
+    found = sorted((r["gameweek"], r["id"], r["form"], r["pos"]["at"]) for r in rows["elements"].collect())
+    assert found == [(1, 7, "x", 0), (1, 8, "y", 1), (2, 7, "z", 0)]
+    assert [(r["gameweek"], r["name"]) for r in rows["teams"].collect()] == [(1, "T")]
+    assert "PartitionFilters: [isnotnull(tag" in _plan(rows["teams"].where("gameweek = 1"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from touchline.functions import numbers
 from touchline.operators.features import PREFIX, with_features
 from touchline.operators.ranking import rank_rows
 from touchline.operators.stats import r_squared
-from touchline.session import shared_dir, stage
+from touchline.session import new_folder, shared_dir, stage
 
 LABEL = "label"
 VECTOR = "features"
@@ -89,6 +90,34 @@ def score(model: RandomForestRegressionModel, df: DataFrame) -> DataFrame:
     return model.transform(df).drop(VECTOR)
 
 
+def node_table(model: RandomForestRegressionModel) -> DataFrame:
+    """(tree, node, left, right, feature, threshold, value) of every node of a saved forest; a leaf has no left or right (-1)."""
+    spark = SparkSession.active()
+    path = new_folder(spark, "forest")
+    model.save(path)
+    saved = spark.read.parquet(f"{path}/data")
+    node = F.col("nodeData")
+    threshold = F.try_element_at(node["split"]["leftCategoriesOrThreshold"], F.lit(1))
+    return saved.select(
+        F.col("treeID").alias("tree"), node["id"].alias("node"), node["leftChild"].alias("left"), node["rightChild"].alias("right"),
+        node["split"]["featureIndex"].alias("feature"), threshold.alias("threshold"), node["prediction"].alias("value"),
+    )
+
+
+def walked_predictions(nodes: DataFrame, df: DataFrame, key: str, depth: int) -> DataFrame:
+    """(key, walked): the mean over the trees of the leaf that each row ends in, for continuous features.
+
+    Every row is in one node of every tree, and each level is a join with the nodes that moves it on. It checks a model by its nodes alone.
+    """
+    trees = nodes.agg(F.max("tree")).scalar()
+    rows = df.select(F.col(key).alias("_key"), vector_to_array(VECTOR).alias("_x"))
+    at = rows.select("_key", "_x", F.explode(F.sequence(F.lit(0), trees)).alias("tree"), F.lit(0).alias("node"))
+    down = F.when(F.get("_x", F.col("feature")) <= F.col("threshold"), F.col("left")).otherwise(F.col("right"))
+    for _ in range(depth):
+        at = at.join(nodes, ["tree", "node"]).select("_key", "_x", "tree", F.when(F.col("left") < 0, F.col("node")).otherwise(down).alias("node"))
+    return at.join(nodes, ["tree", "node"]).groupBy(F.col("_key").alias(key)).agg(F.avg("value").alias("walked"))
+
+
 def fit_quality(model: RandomForestRegressionModel, training: DataFrame, testing: DataFrame) -> DataFrame:
     """R² on both shares, one row each."""
     def quality(name: str, df: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from touchline.operators.schema import coerce_numbers
 from touchline.session import stage
 
 STORED_BY = "predicted_points"
+#: Up to this limit one task takes the first rows of all, and up to this k one task takes those of a group.
+LARGE_LIMIT, LARGE_K = 10_000, 1000
 _SLOT_BITS = 33  # monotonically_increasing_id keeps the partition number above these bits
 
 
@@ -46,13 +48,29 @@ def client_order(df: DataFrame, sort_by: str = "predicted_points", sort_order: s
 
 
 def take_sorted(df: DataFrame, order: Sequence[Column], limit: int = 0) -> DataFrame:
-    """All rows in order, or the first ``limit`` when that is positive."""
-    ordered = df.orderBy(*order)
-    return ordered.limit(limit) if limit > 0 else ordered
+    """All rows in order, or the first ``limit`` when that is positive.
+
+    Spark ends a limit in one task. Beyond ``LARGE_LIMIT`` rows are range-partitioned on the order and written with their slot
+    instead, counts per part tell in which slot the limit falls, and later slots are not taken.
+    """
+    if limit <= 0:
+        return df.orderBy(*order)
+    return df.orderBy(*order).limit(limit) if limit <= LARGE_LIMIT else _first_slots(df, order, limit)
+
+
+def _first_slots(df: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
+    laid_out = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    slots = stage(laid_out.withColumn("_slot", F.monotonically_increasing_id()), "sorted")
+    parts = slots.groupBy(F.shiftright(F.col("_slot"), _SLOT_BITS).alias("_part")).agg(F.min("_slot").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    upto = F.sum("_rows").over(Window.orderBy("_part"))  # over one row for each part, not over the rows
+    reached = parts.withColumn("_upto", upto).where(F.col("_upto") >= limit)
+    end = reached.agg(F.min(F.col("_first") + F.col("_rows") + limit - F.col("_upto"))).scalar()
+    taken = slots.where(F.col("_slot") < F.coalesce(end, F.lit(2**63 - 1)))
+    return taken.orderBy("_slot").select(*df.columns)
 
 
 def numbered(top: DataFrame, alias: str = "rank") -> DataFrame:
-    """Number the rows of a ``take_sorted`` result with a limit: those leave the top-k as one ordered partition."""
+    """Number the rows of a ``take_sorted`` result with a limit up to ``LARGE_LIMIT``: those leave the top-k as one ordered partition."""
     return top.withColumn(alias, F.monotonically_increasing_id() + 1)
 
 
@@ -84,6 +102,12 @@ def rank_rows(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), al
 
 
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, alias: str = "rank") -> DataFrame:
-    """The first ``k`` rows of each group. Each task keeps only ``k`` rows per group before the shuffle."""
+    """The first ``k`` rows of each group. Each task keeps only ``k`` rows per group before the shuffle.
+
+    Beyond ``LARGE_K`` that would bring whole groups to one task, so all rows are ranked over range partitions and cut; ``order``
+    must be total then.
+    """
+    if k > LARGE_K:
+        return rank_rows(df, order, by, alias).where(F.col(alias) <= k)
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return df.withColumn(alias, rank).where(F.col(alias) <= k)

@@ -35,23 +35,32 @@ def sorted_distinct(df: DataFrame, column: str = "team") -> DataFrame:
 def prediction_statistics(df: DataFrame) -> DataFrame:
     """One row: row count, mean and maximum prediction, rows per position, number of teams, column names.
 
-    Without a column its figures are 0 or empty. The map holds one entry per position.
+    The rows are read once. They combine to partials by position and team before the first shuffle, and the partials roll up by
+    position for the map and by team for the number of teams. Without a column its figures are 0 or empty. The map holds
+    one entry per position.
     """
     has = lambda name: name in df.columns
     points = F.col("predicted_points") if has("predicted_points") else F.lit(0.0)
-    teams = distinct_with_missing("team") if has("team") else F.lit(0)
-    totals = df.agg(
-        F.count(F.lit(1)).alias("total_players"),
-        F.avg(points).cast("double").alias("avg_predicted_points"),
-        F.max(points).cast("double").alias("max_predicted_points"),
-        teams.cast("long").alias("teams"),
+    label = lambda name: (F.col(name) if has(name) else F.lit(None).cast("string")).alias(f"_{name}")
+    given = df.select(label("position"), label("team"), points.alias("_points"))
+    parts = given.groupBy("_position", "_team").agg(
+        F.count(F.lit(1)).alias("_rows"), F.sum("_points").alias("_sum"), F.count("_points").alias("_known"), F.max("_points").alias("_best")
+    )
+    sides = parts.groupingSets([["_position"], ["_team"]], "_position", "_team").agg(
+        F.grouping("_team").alias("_by_position"), *[F.sum(name).alias(name) for name in ("_rows", "_sum", "_known")], F.max("_best").alias("_best")
+    )
+    of_position = F.col("_by_position") == 1
+    total = lambda name: F.sum(F.when(of_position, F.col(name)))
+    entry = F.when(of_position & F.col("_position").isNotNull(), F.struct(F.col("_position").alias("position"), F.col("_rows").alias("rows")))
+    totals = sides.agg(
+        F.coalesce(total("_rows"), F.lit(0)).alias("total_players"),
+        F.try_divide(total("_sum").cast("double"), total("_known")).alias("avg_predicted_points"),
+        F.max(F.when(of_position, F.col("_best"))).cast("double").alias("max_predicted_points"),
+        F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("positions"),
+        (F.count_if(~of_position) if has("team") else F.lit(0)).cast("long").alias("teams"),
     )
-    positions = F.create_map().cast("map<string,bigint>")
-    if has("position"):
-        counted = value_counts(df, "position").agg(F.collect_list(F.struct("position", "rows")).alias("_entries"))
-        positions = counted.select(F.map_from_entries(F.sort_array("_entries"))).scalar()
     listed = F.lit(",".join(column_list(df)))
-    return totals.select("total_players", "avg_predicted_points", "max_predicted_points", positions.alias("positions"), "teams", listed.alias("columns"))
+    return totals.select("total_players", "avg_predicted_points", "max_predicted_points", "positions", "teams", listed.alias("columns"))
 
 
 def scaled_by_maximum(df: DataFrame, column: str, alias: str) -> DataFrame:

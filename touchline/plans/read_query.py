@@ -10,6 +10,7 @@ from touchline.operators.filters import NoRowsError, matching_rows
 from touchline.operators.lookups import enrich_by_name, name_table
 from touchline.operators.ranking import requested_order, take_sorted
 from touchline.operators.schema import fill_missing
+from touchline.operators.stats import prediction_statistics, sorted_distinct
 from touchline.sources import readers, writers
 
 
@@ -79,3 +80,17 @@ def serve_predictions(
     conditions = {name: arguments[name] for name in ("team", "position", "search", "literal") if name in arguments}
     matching = matching_rows(rows, **conditions)
     return shown, writers.response_metadata(rows, matching, period, path.rsplit("/", 1)[-1], arguments.get("limit", 0))
+
+
+def serve_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """The one-row statistics of the latest CSV snapshot, found by its name; its columns are those of the file."""
+    period = readers.latest_period(spark, folder)
+    if period is None:
+        raise NoRowsError("No prediction CSV files found")
+    rows = readers.read_predictions(spark, readers.snapshot_path(folder, period))
+    return prediction_statistics(rows).withColumn("gameweek", F.lit(period))
+
+
+def serve_teams(spark: SparkSession, folder: str) -> DataFrame:
+    """The teams of the latest CSV snapshot, each once, in order."""
+    return sorted_distinct(readers.read_latest(spark, folder), "team")

@@ -15,8 +15,9 @@ from touchline.operators.features import prepare_entities
 from touchline.operators.filters import NoRowsError, active_rows, in_period, not_finished
 from touchline.operators.ranking import best_first
 from touchline.operators.schema import complete_schema, keep_present, with_aliases, with_full_name
+from touchline.schemas import ENTITY, FIXTURE, PERIOD, TEAM
 from touchline.session import stage
-from touchline.sources import readers, writers
+from touchline.sources import documents, readers, writers
 
 
 @dataclass
@@ -107,26 +108,22 @@ def run(
     rows = writers.declared(keep_present(scored, [key, *SNAPSHOT_COLUMNS])).withColumn("gameweek", F.lit(period))
     path = None
     if folder is not None:
-        rows = stage(rows, "scored")  # two writes read it, which would apply the forest twice
-        order = best_first(model.PREDICTION, key)
-        path = writers.export_csv(rows, folder, period, order)
-        writers.publish(rows, f"{folder}/predictions", order)
+        rows = writers.in_order(rows, best_first(model.PREDICTION, key))  # scored and sorted once for two writes
+        path = writers.export_csv(rows, folder, period)
+        writers.publish_period(rows, f"{folder}/predictions", period)
         writers.stamp(rows.sparkSession, folder)
-        rows = in_period(rows.sparkSession.read.parquet(f"{folder}/predictions"), period, "gameweek")
+        rows = in_period(readers.read_published(rows.sparkSession, f"{folder}/predictions"), period, "gameweek")
     return Scored(rows, period, path, quality, importance)
 
 
 def run_snapshot(spark: SparkSession, envelope_path: str, fixtures_path: str, folder: str | None = None, **settings) -> Scored:
-    """The job on landed files: one snapshot document and one fixtures array.
-
-    A document is read by one task, so its entities are dealt out before any work is done on them.
-    """
-    envelope = readers.read_envelopes(spark, envelope_path)
+    """The job on landed files: one snapshot document and one fixtures array, of any size; their blocks are read by several tasks."""
+    items = documents.split_documents(spark, envelope_path, ["elements", "teams", "events"])
     return run(
-        stage(readers.entities(envelope).repartition("id"), "entities"),
-        readers.teams(envelope),
-        readers.calendar(envelope),
-        readers.read_fixtures(spark, fixtures_path),
+        stage(documents.document_rows(items, ENTITY, "elements"), "entities"),
+        documents.document_rows(items, TEAM, "teams"),
+        documents.document_rows(items, PERIOD, "events"),
+        documents.document_rows(documents.split_documents(spark, fixtures_path), FIXTURE),
         folder,
         **settings,
     )

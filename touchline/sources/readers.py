@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,34 +73,92 @@ def read_fixtures(spark: SparkSession, path: str, one_per_line: bool = False, sc
     return array_rows(parsed, "_items")
 
 
+#: Part files of one write are named alike and have one header.
+_WRITE = r"([^/]*/)*part-\d+-([0-9a-f-]{36})[^/]*$"
+
+
+@dataclass(frozen=True)
+class Exports:
+    """Files that share a header, or ``None`` for all files of what was asked for."""
+
+    header: list[str]
+    files: list[str] | None
+
+
+def _exports(spark: SparkSession, path: str | list[str], options: dict) -> list[Exports]:
+    """The files of a path or paths by their headers, in the order of the first file of each.
+
+    Only names are listed, and the driver holds one row per file, as Spark's own listing does. Part files of one write have one header, so the
+    smallest of them stands for all. Their first lines come from one job; without several writes one header is read.
+    """
+    listed = spark.read.format("binaryFile").load(path).select("path", "length", F.col("_metadata.file_path").alias("place")).where("length > 0")
+    folder, write = F.regexp_extract("path", "^(.*)/[^/]*$", 1), F.regexp_extract("path", _WRITE, 2)
+    files = listed.select("path", "length", "place", F.when(write == "", F.col("path")).otherwise(F.concat(folder, F.lit("/"), write)).alias("write")).collect()
+    by_write = defaultdict(list)
+    for file in sorted(files):
+        by_write[file["write"]].append(file)
+    if len(by_write) < 2:
+        header = spark.read.options(**options).csv(path).columns if files else []
+        return [Exports(header, None)] if header else []
+    chosen = {write: min(some, key=lambda f: (f["length"], f["path"])) for write, some in by_write.items()}
+    lines = spark.read.text([f["path"] for f in chosen.values()]).select("value", F.col("_metadata.file_path").alias("place"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    first = F.min_by("value", F.struct("start", "row")).alias("line")
+    line_of = {r["place"]: r["line"] for r in lines.where(F.trim("value") != "").groupBy("place").agg(first).collect()}
+    by_line: dict[str, list[str]] = {}
+    for write, file in chosen.items():
+        if file["place"] in line_of:
+            by_line.setdefault(line_of[file["place"]].rstrip("\r"), []).extend(f["path"] for f in by_write[write])
+    return [Exports(spark.read.options(**options).csv(some[0]).columns, some) for some in by_line.values()]
+
+
+def _merged_types(schemas: list[T.StructType]) -> dict[str, T.DataType]:
+    """A type for each name: the only one, double for different numbers, else text."""
+    merged: dict[str, T.DataType] = {}
+    for field in (f for schema in schemas for f in schema.fields):
+        kind = T.StringType() if isinstance(field.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType, T.TimeType)) else field.dataType
+        known = merged.setdefault(field.name, kind)
+        if known != kind:
+            merged[field.name] = T.DoubleType() if isinstance(known, T.NumericType) and isinstance(kind, T.NumericType) else T.StringType()
+    return merged
+
+
 def read_predictions(spark: SparkSession, path: str | list[str], infer: bool = False) -> DataFrame:
-    """CSV snapshot with a header; blank lines are dropped and an empty cell is missing.
+    """CSV snapshots with headers, of one path or several; blank lines are dropped and an empty cell is missing.
 
-    Columns are taken by the names in the header, in the declared types; declared columns that the file lacks are
-    missing, and others follow as text. A whole number may be written with a fraction of 0. ``infer`` looks at the values
-    instead of the declared schema, for numbers and booleans only: a text such as ``T10`` would otherwise be taken for a time.
+    Columns are taken by the names in the header of each file, in the declared types, so files may have different columns in
+    different orders; declared columns that a file lacks are missing in its rows, and others follow as text. A whole number may be written
+    with a fraction of 0. ``infer`` looks at the values instead of the declared schema, for numbers and booleans
+    only: a text such as ``T10`` would otherwise be taken for a time.
     """
     options = {"header": True, "mode": "PERMISSIVE"}
+    exports = _exports(spark, path, options)
+    places = [path if e.files is None else e.files for e in exports]
     if infer:
-        found = spark.read.options(inferSchema=True, **options).csv(path).schema
-        kept_as_text = (T.DateType, T.TimestampType, T.TimestampNTZType, T.TimeType)
-        schema = T.StructType(
-            [T.StructField(f.name, T.StringType() if isinstance(f.dataType, kept_as_text) else f.dataType) for f in found]
-        )
-        return spark.read.options(**options).schema(schema).csv(path)
-    header = spark.read.options(**options).csv(path).columns  # reads one line
+        found = [spark.read.options(inferSchema=True, **options).csv(place).schema for place in places]
+        types = _merged_types(found)
+        parts = [spark.read.options(**options).schema(T.StructType([T.StructField(f.name, types[f.name]) for f in schema])).csv(place) for schema, place in zip(found, places, strict=True)]
+        return _union(parts) if parts else spark.createDataFrame([], T.StructType([]))
     declared = {f.name: f.dataType for f in EXPORTED.fields}
-    in_file = lambda name: T.StringType() if isinstance(declared.get(name), T.LongType) else declared.get(name, T.StringType())
-    schema = T.StructType([T.StructField(name, in_file(name)) for name in header])
-    rows = spark.read.options(**options).schema(schema).csv(path) if header else spark.createDataFrame([], schema)
 
-    def column(name: str) -> Column:
-        if name not in header:
-            return F.lit(None).cast(declared[name])
-        return whole_number(F.col(name)) if isinstance(declared[name], T.LongType) else F.col(name)
+    def part(header: list[str], place: str | list[str]) -> DataFrame:
+        in_file = lambda name: T.StringType() if isinstance(declared.get(name), T.LongType) else declared.get(name, T.StringType())
+        rows = spark.read.options(**options).schema(T.StructType([T.StructField(name, in_file(name)) for name in header])).csv(place)
+        typed = lambda name: whole_number(F.col(name)) if isinstance(declared.get(name), T.LongType) else F.col(name)
+        return rows.select(*[typed(name).alias(name) for name in header])
 
-    wanted = [f.name for f in PREDICTIONS.fields] + [name for name in header if name not in PREDICTIONS.names]
-    return rows.select(*[(column(name) if name in declared else F.col(name)).alias(name) for name in wanted])
+    parts = [part(e.header, place) for e, place in zip(exports, places, strict=True)]
+    parts = parts or [spark.createDataFrame([], T.StructType([]))]
+    together = _union(parts)
+    missing = {f.name: F.lit(None).cast(f.dataType) for f in PREDICTIONS.fields if f.name not in together.columns}
+    further = [name for name in together.columns if name not in PREDICTIONS.names]
+    return together.withColumns(missing).select(*PREDICTIONS.names, *further)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    together = parts[0]
+    for part in parts[1:]:
+        together = together.unionByName(part, allowMissingColumns=True)
+    return together
 
 
 def latest_period(spark: SparkSession, folder: str) -> int | None:
@@ -127,9 +187,34 @@ def read_latest(spark: SparkSession, folder: str, infer: bool = False) -> DataFr
     return read_predictions(spark, snapshot_path(folder, period), infer).withColumn("gameweek", F.lit(period))
 
 
+VERSIONS, MANIFEST = "versions", "manifest"
+
+
+def published_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """(gameweek, version, current) of every publication of a period; of each period the last one is current."""
+    manifest = spark.read.parquet(f"{folder}/{MANIFEST}")
+    newest = manifest.groupBy("gameweek").agg(F.max("version").alias("_newest"))
+    return manifest.join(newest, "gameweek").select("gameweek", "version", (F.col("version") == F.col("_newest")).alias("current"))
+
+
+def read_published(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of every period as it was published last.
+
+    The manifest tells which version of a period counts. A version's files are never changed, so rows can be read while a period is
+    published again: the reader keeps what it began with. Versions that don't count are pruned by their folders.
+    """
+    rows = spark.read.parquet(f"{folder}/{VERSIONS}")
+    newest = spark.read.parquet(f"{folder}/{MANIFEST}").groupBy("gameweek").agg(F.max("version").alias("version"))
+    return rows.join(newest, ["gameweek", "version"]).select(*[c for c in rows.columns if c != "version"])
+
+
 def read_newest(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest published period with the time of the last refresh; other partitions are pruned at run time."""
-    rows = latest_partition(spark.read.parquet(f"{folder}/predictions"))
+    """The newest published period with the time of the last refresh; other folders are pruned at run time."""
+    table = f"{folder}/predictions"
+    manifest = spark.read.parquet(f"{table}/{MANIFEST}")
+    newest = lambda name: manifest.agg(F.max_by(name, F.struct("gameweek", "version"))).scalar()
+    rows = spark.read.parquet(f"{table}/{VERSIONS}")
+    rows = rows.where((F.col("gameweek") == newest("gameweek")) & (F.col("version") == newest("version"))).drop("version")
     stamp = spark.read.parquet(f"{folder}/stamps").agg(F.max("last_updated")).scalar()
     return rows.withColumn("last_updated", stamp)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +13,8 @@ from pyspark.sql import types as T
 from touchline.constants import SNAPSHOT_COLUMNS
 from touchline.operators.schema import keep_present
 from touchline.schemas import PREDICTIONS
-from touchline.sources.readers import snapshot_path
+from touchline.session import shared_dir
+from touchline.sources.readers import MANIFEST, VERSIONS, published_versions, snapshot_path
 
 
 def refresh_stamp() -> Column:
@@ -24,14 +27,52 @@ def declared(df: DataFrame, schema: T.StructType = PREDICTIONS) -> DataFrame:
     return df.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in schema.fields if f.name in df.columns})
 
 
+def _version() -> str:
+    """A name that sorts after all earlier ones."""
+    return f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+
+
+def _declare(spark: SparkSession, folder: str, periods: Sequence[int], version: str) -> None:
+    """Make a version of periods the one that counts: one small file, which appears as a whole."""
+    rows = spark.createDataFrame([(period, version) for period in periods], "gameweek int, version string")
+    rows.coalesce(1).write.mode("append").parquet(f"{folder}/{MANIFEST}")
+
+
 def publish(df: DataFrame, folder: str, order: Sequence[Column] = ()) -> None:
-    """Replace the periods that ``df`` holds (column ``gameweek``) in a table partitioned by period.
+    """Replace the periods that ``df`` holds (column ``gameweek``) in a published table.
 
-    Other periods stay. Running it again gives the same table, so a lost executor or a repeated batch does no harm.
+    The rows are a new version in a folder of its own, and a row of the manifest then makes it the one that counts, for all of its
+    periods at once. Other periods stay. Nothing is deleted or changed: readers keep the version they began with, a job that
+    fails leaves a version that never counts, and running it again gives the same rows. ``superseded`` lists what may go.
     """
-    laid_out = df.orderBy("gameweek", *order) if order else df
-    writer = laid_out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("gameweek").parquet(folder)
+    spark, version = df.sparkSession, _version()
+    laid_out = df.withColumn("gameweek", F.col("gameweek").cast("int"))
+    laid_out = laid_out.orderBy("gameweek", *order) if order else laid_out
+    path = f"{folder}/{VERSIONS}/version={version}"
+    laid_out.write.partitionBy("gameweek").parquet(path)
+    written = spark.read.schema(laid_out.schema).parquet(path).select("gameweek").distinct()
+    periods = [row[0] for row in written.collect()]  # one value per period
+    if periods:
+        _declare(spark, folder, sorted(periods), version)
+
+
+def publish_period(df: DataFrame, folder: str, period: int) -> None:
+    """The same for rows of one period, which are written in the order they have."""
+    version = _version()
+    df.drop("gameweek").write.parquet(f"{folder}/{VERSIONS}/version={version}/gameweek={period}")
+    _declare(df.sparkSession, folder, [period], version)
+
+
+def superseded(spark: SparkSession, folder: str) -> DataFrame:
+    """(gameweek, path) of the versions that count no more, for the retention of the store to remove."""
+    old = published_versions(spark, folder).where(~F.col("current"))
+    return old.select("gameweek", F.concat(F.lit(f"{folder}/{VERSIONS}/version="), "version", F.lit("/gameweek="), "gameweek").alias("path"))
+
+
+def in_order(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """The rows sorted once for several writes: a checkpoint in the shared folder keeps partitions and their order."""
+    shared_dir(df.sparkSession)
+    return df.orderBy(*order).checkpoint()
 
 
 def export_csv(df: DataFrame, folder: str, period: int, order: Sequence[Column] = ()) -> str:
@@ -43,8 +84,7 @@ def export_csv(df: DataFrame, folder: str, period: int, order: Sequence[Column]
 
 
 def stamp(spark: SparkSession, folder: str) -> None:
-    """Note the time of refresh. The newest rows are the published table's largest period; they are not copied, and nothing that
-    readers use is removed."""
+    """Note the time of refresh. The newest rows are the published table's largest period; they are not copied."""
     spark.range(1).select(refresh_stamp().alias("last_updated")).write.mode("append").parquet(f"{folder}/stamps")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from touchline.operators import lookups
 from touchline.plans import score_job
 from touchline.schemas import ENVELOPE
-from touchline.session import stage
+from touchline.session import new_folder, stage
 from touchline.sources import readers, writers
 
 PERIOD_COLUMN = "gameweek"
@@ -22,6 +22,18 @@ def landed(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField(PERIOD_COLUMN, T.IntegerType())])
 
 
+#: What the stream of landed files is read as: names only, never contents.
+LISTED = T.StructType(
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("modificationTime", T.TimestampType()),
+        T.StructField("length", T.LongType()),
+        T.StructField("content", T.BinaryType()),
+        T.StructField(PERIOD_COLUMN, T.IntegerType()),
+    ]
+)
+
+
 def process_landed(
     spark: SparkSession,
     landing: str,
@@ -35,8 +47,8 @@ def process_landed(
     A period may land in several files over several runs, so ``handle`` gets all documents of the touched periods, not
     only the new ones, with the list of those periods. What it writes must replace a period as a whole: the outcome then
     does not depend on how files fall into batches, and a repeated batch does no harm. The checkpoint keeps the list of
-    files seen. Documents carry the time and path of their file, so that of several snapshots of a period the newest can
-    win. True if anything was handed over.
+    files seen; which periods were touched is told by the folders of the new files, whose contents the stream does not read. Documents
+    carry the time and path of their file, so that of several snapshots of a period the newest can win. True if anything was handed over.
     """
     handled: list[bool] = []
     whole = landed(readers.positioned_arrays(schema))
@@ -45,13 +57,13 @@ def process_landed(
     def rebuild(batch: DataFrame, _batch_id: int) -> None:
         touched = [row[0] for row in batch.select(PERIOD_COLUMN).distinct().collect()]  # one value per landed period
         if touched:
-            documents = batch.sparkSession.read.schema(whole).options(**options).json(landing)
+            folders = [f"{landing.rstrip('/')}/{PERIOD_COLUMN}={period}" for period in sorted(touched)]
+            documents = batch.sparkSession.read.schema(whole).options(basePath=landing, **options).json(folders)
             file = F.struct(F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("path"))
-            documents = documents.withColumn(readers.LANDED, file).where(F.col(PERIOD_COLUMN).isin(touched))
-            handle(documents, sorted(touched))
+            handle(documents.withColumn(readers.LANDED, file), sorted(touched))
             handled.append(True)
 
-    stream = spark.readStream.schema(whole).options(**options).json(landing)
+    stream = spark.readStream.format("binaryFile").schema(LISTED).load(landing)
     query = (
         stream.writeStream.foreachBatch(rebuild)
         .option("checkpointLocation", checkpoint)
@@ -68,6 +80,34 @@ def newest_rows(documents: DataFrame, array: str, key: str = "id") -> DataFrame:
     return lookups.keep_last(readers.array_rows(dated, array), [PERIOD_COLUMN, key], [readers.POS])
 
 
+def landed_rows(documents: DataFrame, arrays: Sequence[str]) -> dict[str, DataFrame]:
+    """The items of several arrays of landed documents, each with its period and ordinal, out of one parse.
+
+    The arrays are one tagged union, written once by tag and period, so that who reads one array of one period reads no other.
+    """
+    kinds = {array: documents.schema[array].dataType.elementType for array in arrays}
+    empty = {array: F.lit(None).cast(kind).alias(array) for array, kind in kinds.items()}
+
+    def tagged(array: str) -> Column:
+        held = lambda item: [item.alias(array) if name == array else empty[name] for name in arrays]
+        return F.transform(F.coalesce(F.col(array), F.array().cast(documents.schema[array].dataType)), lambda item, at: F.struct(F.lit(array).alias("tag"), at.alias("at"), *held(item)))
+
+    union = documents.select(PERIOD_COLUMN, readers.LANDED, F.explode(F.concat(*map(tagged, arrays))).alias("_row"))
+    path = new_folder(documents.sparkSession, "landed")
+    union.select(PERIOD_COLUMN, readers.LANDED, "_row.*").write.partitionBy("tag", PERIOD_COLUMN).parquet(path)
+    schema = T.StructType([f for f in union.select(PERIOD_COLUMN, readers.LANDED, "_row.*").schema.fields])
+    written = documents.sparkSession.read.schema(schema).parquet(path)
+
+    def rows(array: str) -> DataFrame:
+        own = written.where(F.col("tag") == array)
+        item = F.col(array)
+        at = F.coalesce(item[readers.POS], F.col("at")) if readers.POS in kinds[array].names else F.col("at").cast("long")
+        pos = F.struct(F.col(readers.LANDED), at.alias("at"))
+        return own.select(pos.alias(readers.POS), PERIOD_COLUMN, *[item[name].alias(name) for name in kinds[array].names if name != readers.POS])
+
+    return {array: rows(array) for array in arrays}
+
+
 def _with_period(item: Column) -> Column:
     return item.withField(PERIOD_COLUMN, F.col(PERIOD_COLUMN))
 
@@ -107,12 +147,13 @@ def refresh_scores(
     """Run the scoring job once per period for which snapshots landed, oldest first.
 
     Of several snapshots of a period the newest landing of each entity, team and calendar entry counts. The landed
-    documents are parsed once per array for all touched periods. The calendar in a snapshot names the period that its
+    documents are parsed once for all arrays and all touched periods. The calendar in a snapshot names the period that its
     scores are published under.
     """
 
     def score(documents: DataFrame, touched: list[int]) -> None:
-        parts = [stage(newest_rows(documents, array), array) for array in ("elements", "teams", "events")]
+        rows = landed_rows(documents, ("elements", "teams", "events"))
+        parts = [stage(lookups.keep_last(some, [PERIOD_COLUMN, "id"], [readers.POS]), array) for array, some in rows.items()]
         for period in touched:
             of_period = [part.where(F.col(PERIOD_COLUMN) == period).drop(PERIOD_COLUMN) for part in parts]
             score_job.run(*of_period, fixtures, folder, **settings)
