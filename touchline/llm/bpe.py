@@ -30,7 +30,7 @@ PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{
 #: The same for ASCII texts, where the classes are ranges.
 ASCII_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 #: Entries of a worker's caches, the size of the longest piece kept, and rows at a time.
-CACHED = 1 << 18
+CACHED = 1 << 17
 CACHED_PAIRS = 1 << 17
 CACHED_SIZE = 64
 ROWS_AT_ONCE = 256
