@@ -251,15 +251,16 @@ class Model:
     links: np.ndarray
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
-        return self.weights[rows].sum(axis=1)
+        parts = (self.weights[rows[n : n + TOKENS_AT_ONCE]].sum(axis=1) for n in range(0, len(rows), TOKENS_AT_ONCE))
+        return np.concatenate([np.empty((0, _LABELS)), *parts])
 
 
 def _normal(values: np.ndarray) -> np.ndarray:
     return values - np.logaddexp.reduce(values, axis=-1, keepdims=True)
 
 
-def beliefs(scores: np.ndarray, edges: np.ndarray, links: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Log marginals of tokens, and of the two labels of each link, after some rounds of damped message passing."""
+def beliefs(scores: np.ndarray, edges: np.ndarray, links: np.ndarray, rounds: int = ROUNDS, pairs: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log marginals of tokens, and with ``pairs`` of the two labels of each link, after some rounds of damped message passing."""
     if not len(edges):
         return _normal(scores), np.empty((0, _LABELS, _LABELS))
     u, v, kind = edges.T
@@ -281,6 +282,8 @@ def beliefs(scores: np.ndarray, edges: np.ndarray, links: np.ndarray, rounds: in
         if moved < 1e-4:
             break
     total = gathered()
+    if not pairs:
+        return _normal(total), None
     joint = (total[u] - back)[:, :, None] + table + (total[v] - ahead)[:, None, :]
     return _normal(total), joint - np.logaddexp.reduce(joint.reshape(len(u), -1), axis=1)[:, None, None]
 
@@ -412,7 +415,7 @@ def all_spans(texts: list[str], model: Model, sure: float = SURE) -> list[list[t
         scores = model.scores(rows)
         known = np.flatnonzero(labels)
         scores[known, labels[known]] += _OBSERVED
-        marginals = np.exp(beliefs(scores, edges, model.links)[0])
+        marginals = np.exp(beliefs(scores, edges, model.links, pairs=False)[0])
         at = 0
         for n, g, base in waiting:
             more = _added(g, marginals[at : at + len(g.start)], base, sure)
