@@ -410,9 +410,33 @@ def refresh_same_period(spark, sf_dir):
     return published()
 
 
-def _refreshed(spark, sf_dir):
+@query(
+    "refresh_archived",
+    b.with_(
+        *CLAUSES,
+        """SELECT w AS gameweek, id, CASE WHEN w = 9 AND id % 5 = 0 THEN 24 - team_id ELSE team_id END AS team_id,
+                  CASE WHEN w = 9 AND id % 5 = 0 THEN minutes + 2 ELSE minutes END AS minutes,
+                  round(COALESCE(TRY_CAST(points_per_game AS DOUBLE), 0) * 0.6E0, 6) AS predicted_points
+           FROM players, (VALUES (9), (10)) v(w)""",
+    ),
+)
+def refresh_archived(spark, sf_dir):
+    """Handled files go to an archive; a period that is touched after that is made of archived and new files."""
+    rows, land, run, published = _refreshed(spark, sf_dir, archived=True)
+    land(rows, 9)
+    run()
+    land(rows, 10)
+    run()
+    changed = {"team": F.lit(24) - F.col("team"), "minutes": F.col("minutes") + 2}
+    land(rows.where("id % 5 = 0").withColumns(changed), 9)
+    run()
+    return published()
+
+
+def _refreshed(spark, sf_dir, archived=False):
     """Entities, and how to land them, to run the refresh and to read what it published."""
     base = new_folder(spark, "refresh")
+    archive = f"{base}/handled" if archived else None
     landing, published, checkpoint = f"{base}/landing", f"{base}/published", f"{base}/state"
 
     def build(documents):
@@ -424,7 +448,7 @@ def _refreshed(spark, sf_dir):
         writers.write_envelopes(rows, f"{landing}/gameweek={period}", "elements")
 
     def run():
-        refresh(spark, landing, published, checkpoint, build, best_first("predicted_points"))
+        refresh(spark, landing, published, checkpoint, build, best_first("predicted_points"), archive=archive)
 
     def read():
         table = readers.read_published(spark, f"{published}/predictions")

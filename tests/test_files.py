@@ -13,7 +13,7 @@ from touchline.schemas import ENTITY as ENTITY_SCHEMA
 from touchline.schemas import FIXTURE as FIXTURE_SCHEMA
 from touchline.schemas import PREDICTIONS
 from touchline.sources import documents, readers, writers
-from touchline.streaming.refresh import newest_rows, refresh
+from touchline.streaming.refresh import newest_rows, process_landed, refresh
 
 ENVELOPE = {
     "elements": [{"id": 5, "first_name": "A", "second_name": "B", "code": 7, "form": "1.0"}, {"id": 4, "first_name": "C"}],
@@ -296,6 +296,78 @@ def test_newest_landing_wins(spark, tmp_path, chunk):
     assert got == {i: 3 if 10 <= i < 22 else 2 if i >= 20 else 1 for i in range(40)}
 
 
+def _landed_files(folder):
+    return sorted(p.name for p in folder.rglob("*.json"))
+
+
+def test_handled_files_move_to_the_archive(spark, tmp_path):
+    """Of many handled files only those of the last run are listed again; a period that is touched later still has all of its rows."""
+    landing, out, state, archive = (str(tmp_path / name) for name in ("landing", "out", "state", "kept"))
+    build = lambda documents: newest_rows(documents, "elements").select("gameweek", "id", F.col("minutes").alias("predicted_points"))
+
+    def land(period, low, high, minutes):
+        rows = spark.range(low, high).withColumn("minutes", F.lit(minutes).cast("long"))
+        writers.write_envelopes(rows, f"{landing}/gameweek={period}", "elements", rows_per_chunk=2)
+
+    def run():
+        refresh(spark, landing, out, state, build, archive=archive)
+        read = readers.read_published(spark, f"{out}/predictions")
+        return {(r["gameweek"], r["id"]): r["predicted_points"] for r in read.collect()}
+
+    before = spark.conf.get("spark.sql.streaming.fileSource.cleaner.numThreads")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 1)
+    try:
+        land(1, 0, 40, 1)
+        land(2, 0, 40, 2)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    first = _landed_files(tmp_path / "landing")
+    assert len(first) >= 20
+    want = {(period, n): period for period in (1, 2) for n in range(40)}
+    assert run() == want
+    for minutes, low in ((7, 30), (8, 45), (9, 0)):
+        time.sleep(1.1)  # file times may be whole seconds
+        land(2, low, low + 20, minutes)
+        handled = _landed_files(tmp_path / "kept")
+        waiting = _landed_files(tmp_path / "landing")
+        want |= {(2, n): minutes for n in range(low, low + 20)}
+        assert run() == want
+        left = _landed_files(tmp_path / "landing")
+        assert 0 < len(left) < len(first) and sorted(_landed_files(tmp_path / "kept") + left) == sorted(handled + waiting)
+    assert set(first) <= set(_landed_files(tmp_path / "kept"))
+    files = sorted(str(p) for p in (tmp_path / "out").rglob("*.parquet"))
+    assert run() == want  # nothing new landed
+    assert sorted(str(p) for p in (tmp_path / "out").rglob("*.parquet")) == files
+    assert spark.conf.get("spark.sql.streaming.fileSource.cleaner.numThreads") == before
+
+
+def test_run_that_breaks_off_moves_nothing(spark, tmp_path):
+    """The files of a batch whose handling failed stay, and the next run hands them over with what landed since."""
+    landing, state, archive = (str(tmp_path / name) for name in ("landing", "state", "kept"))
+    seen, fail = [], [True]
+
+    def handle(documents, periods):
+        if fail[0]:
+            raise ValueError("broken off")
+        rows = documents.select("gameweek", F.explode("elements").alias("e")).groupBy("gameweek").count()
+        seen.append({r["gameweek"]: r["count"] for r in rows.collect()})
+
+    land = lambda period, count: writers.write_envelopes(spark.range(count), f"{landing}/gameweek={period}", "elements", rows_per_chunk=3)
+    land(1, 8)
+    with pytest.raises(Exception, match="broken off"):
+        process_landed(spark, landing, state, handle, archive=archive)
+    names = _landed_files(tmp_path / "landing")
+    assert names and _landed_files(tmp_path / "kept") == []
+    fail[0] = False
+    land(2, 5)
+    assert process_landed(spark, landing, state, handle, archive=archive)
+    assert seen == [{1: 8}, {2: 5}]
+    land(1, 4)
+    assert process_landed(spark, landing, state, handle, archive=archive)
+    assert seen[2:] == [{1: 12}]
+    assert not process_landed(spark, landing, state, handle, archive=archive)
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert session.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     staged = session.stage(spark.range(5), "t")

@@ -161,6 +161,17 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return together
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder; nothing in it is read."""
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
 def latest_period(spark: SparkSession, folder: str) -> int | None:
     """Largest period among ``gameweek_<n>_predictions.csv`` files or folders, by number; None without any.
 

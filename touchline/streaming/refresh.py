@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,11 @@ from touchline.session import new_folder, stage
 from touchline.sources import readers, writers
 
 PERIOD_COLUMN = "gameweek"
+#: How much older than the newest file seen a file may be and still count as new.
+LATE = "365d"
+
+_SCHEME = re.compile("^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?")
+_CLEANERS = "spark.sql.streaming.fileSource.cleaner.numThreads"
 
 
 def landed(schema: T.StructType) -> T.StructType:
@@ -41,6 +48,8 @@ def process_landed(
     handle: Callable[[DataFrame, list[int]], None],
     schema: T.StructType = ENVELOPE,
     one_per_line: bool = True,
+    archive: str | None = None,
+    late: str = LATE,
 ) -> bool:
     """Hand over what landed in ``landing/gameweek=<n>/`` since the last run, and stop.
 
@@ -49,31 +58,59 @@ def process_landed(
     does not depend on how files fall into batches, and a repeated batch does no harm. The checkpoint keeps the list of
     files seen; which periods were touched is told by the folders of the new files, whose contents the stream does not read. Documents
     carry the time and path of their file, so that of several snapshots of a period the newest can win. True if anything was handed over.
+
+    With ``archive``, a folder of the same store outside ``landing``, the files of a run move there when a later run has found new
+    ones and before it reads any. So a run lists what landed since the last but one, and those handled before of the touched periods
+    alone. A file that a run left in ``landing`` because it broke off is read where it is. New files need new names. A file is taken as
+    handled, without a look, if its time is older by more than ``late`` than that of the newest file seen.
     """
     handled: list[bool] = []
     whole = landed(readers.positioned_arrays(schema))
-    options = {"multiLine": not one_per_line}
+
+    def documents_in(session: SparkSession, root: str, folders: list[str]) -> DataFrame:
+        file = F.struct(
+            F.col("_metadata.file_modification_time").alias("time"),
+            F.substring_index("_metadata.file_path", f"/{PERIOD_COLUMN}=", -1).alias("path"),  # the same after a move
+        )
+        read = session.read.schema(whole).options(basePath=root, multiLine=not one_per_line).json(folders)
+        return read.withColumn(readers.LANDED, file)
 
     def rebuild(batch: DataFrame, _batch_id: int) -> None:
-        touched = [row[0] for row in batch.select(PERIOD_COLUMN).distinct().collect()]  # one value per landed period
-        if touched:
-            folders = [f"{landing.rstrip('/')}/{PERIOD_COLUMN}={period}" for period in sorted(touched)]
-            documents = batch.sparkSession.read.schema(whole).options(basePath=landing, **options).json(folders)
-            file = F.struct(F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("path"))
-            handle(documents.withColumn(readers.LANDED, file), sorted(touched))
-            handled.append(True)
-
-    stream = spark.readStream.format("binaryFile").schema(LISTED).load(landing)
-    query = (
-        stream.writeStream.foreachBatch(rebuild)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+        root = F.regexp_extract("path", f"^(.*)/{PERIOD_COLUMN}=[^/]*/", 1)
+        touched = sorted(batch.select(PERIOD_COLUMN, root).distinct().collect())  # one row per landed period
+        if not touched:
+            return
+        periods, session = [row[0] for row in touched], batch.sparkSession
+        folders = lambda root: [f"{root}/{PERIOD_COLUMN}={period}" for period in periods]
+        documents = documents_in(session, landing, folders(landing.rstrip("/")))
+        if archive is not None:
+            moved = archive.rstrip("/") + _SCHEME.sub("", touched[0][1])  # a moved file keeps its whole path below the archive
+            earlier = [folder for folder in folders(moved) if readers.exists(session, folder)]
+            documents = documents.union(documents_in(session, moved, earlier)) if earlier else documents
+        handle(documents, periods)
+        handled.append(True)
+
+    stream = spark.readStream.format("binaryFile").schema(LISTED).option("maxFileAge", late)
+    if archive is not None:
+        stream = stream.options(cleanSource="archive", sourceArchiveDir=archive)
+    batches = stream.load(landing).writeStream.foreachBatch(rebuild).option("checkpointLocation", checkpoint)
+    with _moved_between_batches(spark):
+        query = batches.trigger(availableNow=True).start()
     query.awaitTermination()
     return bool(handled)
 
 
+@contextmanager
+def _moved_between_batches(spark: SparkSession) -> Iterator[None]:
+    """A stream that starts in here moves handled files before its next batch, and not while that one reads them."""
+    before = spark.conf.get(_CLEANERS, None)
+    spark.conf.set(_CLEANERS, 0)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANERS) if before is None else spark.conf.set(_CLEANERS, before)
+
+
 def newest_rows(documents: DataFrame, array: str, key: str = "id") -> DataFrame:
     """Items of landed documents, one per period and key: that of the newest landing, in it the last."""
     dated = documents.select(PERIOD_COLUMN, readers.LANDED, F.transform(array, _with_period).alias(array))
@@ -121,17 +158,18 @@ def refresh(
     order: Sequence[Column] = (),
     schema: T.StructType = ENVELOPE,
     one_per_line: bool = True,
+    archive: str | None = None,
 ) -> None:
     """Publish what ``build`` makes of the landed documents (``gameweek`` included), and note the time.
 
     ``build`` takes rows by ``newest_rows`` where several snapshots of a period may land. A run for which nothing landed
-    does nothing.
+    does nothing. ``archive`` takes the files that were handled, as ``process_landed`` says.
     """
 
     def publish(documents: DataFrame, _touched: list[int]) -> None:
         writers.publish(build(documents), f"{folder}/predictions", order)
 
-    if process_landed(spark, landing, checkpoint, publish, schema, one_per_line):
+    if process_landed(spark, landing, checkpoint, publish, schema, one_per_line, archive):
         writers.stamp(spark, folder)
 
 
@@ -142,6 +180,7 @@ def refresh_scores(
     folder: str,
     checkpoint: str,
     one_per_line: bool = True,
+    archive: str | None = None,
     **settings,
 ) -> None:
     """Run the scoring job once per period for which snapshots landed, oldest first.
@@ -158,4 +197,4 @@ def refresh_scores(
             of_period = [part.where(F.col(PERIOD_COLUMN) == period).drop(PERIOD_COLUMN) for part in parts]
             score_job.run(*of_period, fixtures, folder, **settings)
 
-    process_landed(spark, landing, checkpoint, score, one_per_line=one_per_line)
+    process_landed(spark, landing, checkpoint, score, one_per_line=one_per_line, archive=archive)
