@@ -6,7 +6,7 @@ from driver_queries import bindings as b
 from driver_queries.read_queries import CLAUSES
 from driver_queries.registry import query
 from touchline.functions import text
-from touchline.operators import lineup, lookups, ranking
+from touchline.operators import lineup, ranking
 
 
 def _parts(spark, sf_dir):
@@ -99,6 +99,10 @@ def _rounded(summary):
     return summary.withColumns({name: F.round(name, 6) for name in ("total_points", "total_cost", "average_points")})
 
 
+def _line_key():
+    return F.concat_ws("/", *[F.col(name).cast("string") for name in ("l_orderkey", "l_linenumber", "l_partkey")])
+
+
 def _squad(spark, sf_dir):
     return b.snapshot(spark, sf_dir, "id", "team", "position", "predicted_points", "now_cost")
 
@@ -129,10 +133,10 @@ TEXTS = """SELECT grp AS team, printf('%.1f', round(points, 1)) AS total_points,
   FROM (SELECT c.grp, c.formation, round(COALESCE(CAST(sum(CAST(points AS DECIMAL(18,6))) AS DOUBLE), 0), 6) AS points,
                COALESCE(CAST(sum(CAST(cost AS DECIMAL(18,6))) AS DOUBLE), 0) AS cost
         FROM chosen c LEFT JOIN picked p ON p.grp = c.grp GROUP BY c.grp, c.formation)"""
-BY_SUPPLIER = """SELECT 'S' || l_suppkey AS grp, l_orderkey AS id,
+BY_SUPPLIER = """SELECT 'S' || l_suppkey AS grp, l_orderkey || '/' || l_linenumber || '/' || l_partkey AS id,
          CASE WHEN l_suppkey % 4 = 0 THEN NULL WHEN l_linenumber = 1 THEN 'GKP' WHEN l_linenumber <= 3 THEN 'DEF' WHEN l_linenumber <= 5 THEN 'MID' ELSE 'FWD' END AS position,
          l_quantity AS points, l_tax * 100 AS cost
-  FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_orderkey ORDER BY l_linenumber, l_partkey) = 1"""
+  FROM lineitem"""
 
 
 @query(
@@ -141,13 +145,11 @@ BY_SUPPLIER = """SELECT 'S' || l_suppkey AS grp, l_orderkey AS id,
 )
 def lineup_texts(spark, sf_dir):
     """Summaries as shown; a fourth of the suppliers has lines of no position only, and so an empty line-up."""
-    lines = b.table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_tax")
-    first = lookups.keep_first(lines, ["l_suppkey", "l_orderkey"], ["l_linenumber", "l_partkey"])
     number = F.col("l_linenumber")
     position = F.when(number == 1, "GKP").when(number <= 3, "DEF").when(number <= 5, "MID").otherwise("FWD")
-    squad = first.select(
+    squad = b.table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("team"),
-        F.col("l_orderkey").alias("id"),
+        _line_key().alias("id"),
         F.when(F.col("l_suppkey") % 4 != 0, position).alias("position"),
         F.col("l_quantity").alias("predicted_points"),
         (F.col("l_tax") * 100).alias("now_cost"),
@@ -172,10 +174,9 @@ LINES_SQL = """SELECT l_suppkey AS grp,
 def _line_squad(spark, sf_dir):
     kind = F.concat("l_returnflag", "l_linestatus")
     position = F.when(kind == "AF", "GKP").when(kind.isin("NF", "RF"), "DEF").when(kind == "AO", "FWD").otherwise("MID")
-    text_of = lambda name: F.col(name).cast("string")
     return b.table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("team"),
-        F.concat_ws("/", text_of("l_orderkey"), text_of("l_linenumber"), text_of("l_partkey")).alias("id"),
+        _line_key().alias("id"),
         position.alias("position"),
         (F.col("l_extendedprice") / 10000).alias("predicted_points"),
         F.col("l_quantity").alias("now_cost"),
