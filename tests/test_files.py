@@ -1,4 +1,5 @@
 import json
+import os
 import re
 import time
 
@@ -343,7 +344,7 @@ def test_handled_files_move_to_the_archive(spark, tmp_path):
 
 def test_run_that_breaks_off_moves_nothing(spark, tmp_path):
     """The files of a batch whose handling failed stay, and the next run hands them over with what landed since."""
-    landing, state, archive = (str(tmp_path / name) for name in ("landing", "state", "kept"))
+    landing, state, archive = (str(tmp_path / name) for name in ("land ing", "state", "kept"))
     seen, fail = [], [True]
 
     def handle(documents, periods):
@@ -356,7 +357,7 @@ def test_run_that_breaks_off_moves_nothing(spark, tmp_path):
     land(1, 8)
     with pytest.raises(Exception, match="broken off"):
         process_landed(spark, landing, state, handle, archive=archive)
-    names = _landed_files(tmp_path / "landing")
+    names = _landed_files(tmp_path / "land ing")
     assert names and _landed_files(tmp_path / "kept") == []
     fail[0] = False
     land(2, 5)
@@ -366,6 +367,13 @@ def test_run_that_breaks_off_moves_nothing(spark, tmp_path):
     assert process_landed(spark, landing, state, handle, archive=archive)
     assert seen[2:] == [{1: 12}]
     assert not process_landed(spark, landing, state, handle, archive=archive)
+    before = set((tmp_path / "land ing").rglob("*.json"))
+    land(2, 2)
+    month_ago = time.time() - 30 * 86400
+    for late in set((tmp_path / "land ing").rglob("*.json")) - before:
+        os.utime(late, (month_ago, month_ago))  # as of a copy that keeps the time of its original
+    assert process_landed(spark, landing, state, handle, archive=archive)
+    assert seen[3:] == [{2: 7}]
 
 
 def test_shared_folder_comes_from_the_session(spark):
