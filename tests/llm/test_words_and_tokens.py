@@ -121,6 +121,24 @@ def test_no_words(spark):
     assert spelling.group_variants(docs(spark, [(1, None, None, None), (2, "", None, None), (3, "one two", None, None)])).count() == 0
 
 
+def test_the_vocabulary_is_never_broadcast(spark, monkeypatch):
+    """Not even where its files are below the threshold: all of it would go through the driver."""
+    plans = []
+
+    def stage(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, label)
+
+    written = spelling.stage
+    monkeypatch.setattr(spelling, "stage", stage)
+    given = [(n, f"abcde abcdf abcdff {'x' * 80} {'x' * 79}y", None, None) for n in range(200)]
+    made = spelling.group_variants(docs(spark, given))
+    plans.append(made._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in plan for plan in plans) >= 3
+    assert not any("Broadcast" in plan for plan in plans)
+    assert variants(made) == plain_variants(plain_vocabulary([(r[0], r[1]) for r in given]))
+
+
 @needs_tables
 def test_variants_of_the_tables(spark):
     given = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()]

@@ -199,6 +199,7 @@ def near_pairs(words: DataFrame, bits: int, least_size: int = LEAST_SIZE) -> Dat
     the reduced words, and what meets is verified on the words themselves. A word one edit from another is
     also at most one edit from it when both are reduced, so no pair is missed. A probe carries its word if that has up to
     64 code points; longer words are joined back by a hash before they are compared, so hashes that are equal by chance change nothing.
+    Joins are sorted on both sides: the vocabulary grows with the corpus, and a broadcast of it goes through the driver.
     """
     letters = alphabet(words)
 
@@ -218,9 +219,9 @@ def near_pairs(words: DataFrame, bits: int, least_size: int = LEAST_SIZE) -> Dat
     opened = words.select("word", "n").mapInArrow(probe, "word string, n long, keys array<long>")
     one_apart = (F.levenshtein("word", "near", 1) == 1) & (F.col("word") != F.col("near"))
     short, long = F.length("word") <= CARRIED_SIZE, F.length("word") > CARRIED_SIZE
-    at_once = opened.where(short).select("word", "n", F.posexplode("keys").alias("place", "key")).join(indexed, "key").where(one_apart)
-    named = opened.where(long).select(F.xxhash64("word").alias("id"), F.posexplode("keys").alias("place", "key")).join(indexed, "key")
-    later = named.join(words.where(long).select("word", "n", F.xxhash64("word").alias("id")), "id").where(one_apart)
+    at_once = opened.where(short).select("word", "n", F.posexplode("keys").alias("place", "key")).join(indexed.hint("merge"), "key").where(one_apart)
+    named = opened.where(long).select(F.xxhash64("word").alias("id"), F.posexplode("keys").alias("place", "key")).join(indexed.hint("merge"), "key")
+    later = named.join(words.where(long).select("word", "n", F.xxhash64("word").alias("id")).hint("merge"), "id").where(one_apart)
     found = [df.select("place", "word", "n", "near", "near_n") for df in (at_once, later)]
     here = F.struct("word", "n", "near", "near_n")
     there = F.struct(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))
@@ -234,7 +235,7 @@ def roots(forms: DataFrame) -> DataFrame:
     at = stage(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         above = at.select(F.col("word").alias("of"), F.col("root").alias("above"))
-        moved = at.join(above, F.col("root") == F.col("of"), "left").select("word", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved"))
+        moved = at.join(above.hint("merge"), F.col("root") == F.col("of"), "left").select("word", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved"))
         moved = stage(moved, "roots")
         at = moved.select("word", "root")
         if moved.where("moved").isEmpty():
@@ -265,6 +266,6 @@ def group_variants(
     forms = stage(found.select("word", "n_near", F.when(fits, F.col("best.near")).alias("form"), F.when(fits, -F.col("best.less")).alias("form_n")), "forms")
     ends = roots(forms.where("form IS NOT NULL"))
     return (
-        words.join(forms, "word", "left").join(ends, "word", "left")
+        words.join(forms.hint("merge"), "word", "left").join(ends.hint("merge"), "word", "left")
         .select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.col("form_n").cast("long").alias("form_n"))
     )
