@@ -289,7 +289,10 @@ def fixtures_roundtrip(spark, sf_dir):
 
 
 def _one_document(spark, arrays, path):
-    """One JSON document of these tables, an array each, written as a single file; without a name it is the array."""
+    """One JSON document of these tables, an array each, written as a single file; without a name it is the array.
+
+    Many tasks sort the lines; the one that writes the file takes their sorted parts one after another and holds a line at a time.
+    """
     line = lambda part, at, value: [F.lit(part).alias("part"), at.alias("at"), value.alias("value")]
     end = "]}" if arrays[0][0] else "]"
     lines = spark.range(1).select(*line(1000, F.lit(0).cast("long"), F.lit(end)))
@@ -298,7 +301,7 @@ def _one_document(spark, arrays, path):
         comma = F.when(F.col(key) > rows.agg(F.min(key)).scalar(), ",").otherwise("")
         lines = lines.union(spark.range(1).select(*line(2 * place, F.lit(0).cast("long"), F.lit(opened))))
         lines = lines.union(rows.select(*line(2 * place + 1, F.col(key).cast("long"), F.concat(comma, F.to_json(F.struct("*"))))))
-    lines.orderBy("part", "at").coalesce(1).select("value").write.text(path)
+    writers.in_order(lines, [F.col("part"), F.col("at")]).coalesce(1).select("value").write.text(path)
 
 
 @query(

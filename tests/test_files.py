@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from driver_queries import file_queries
 from touchline import session
 from touchline.operators.filters import NoRowsError
 from touchline.operators.ranking import best_first
@@ -438,3 +439,19 @@ def test_root_array_is_read_by_many_tasks(spark, tmp_path, small_blocks, size):
     assert [json.loads(r["item"]) for r in split.orderBy("at").collect()] == given
     rows = documents.document_rows(split, FIXTURE_SCHEMA)
     assert [(r["pos"], r["id"], r["event"]) for r in rows.orderBy("pos").collect()] == [(n, g.get("id"), g.get("event")) for n, g in enumerate(given)]
+
+
+def test_the_task_that_writes_one_document_does_not_sort(spark, tmp_path, monkeypatch):
+    rows = spark.range(0, 3000, 1, 9).select((F.col("id") * 37 % 3000).alias("id"), F.lit('a"}').alias("note"))
+    teams = spark.range(2).select("id", F.lit("T").alias("note"))
+    plans, coalesce = [], type(rows).coalesce
+
+    def gathered(df, parts):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return coalesce(df, parts)
+
+    monkeypatch.setattr(type(rows), "coalesce", gathered)
+    file_queries._one_document(spark, [("elements", rows, "id"), ("teams", teams, "id")], str(tmp_path / "one"))
+    assert len(plans) == 1 and "Sort" not in plans[0] and "Exchange" not in plans[0]
+    (path,) = (tmp_path / "one").glob("part-*")
+    assert json.loads(path.read_text()) == {"elements": [{"id": n, "note": 'a"}'} for n in range(3000)], "teams": [{"id": n, "note": "T"} for n in range(2)]}
