@@ -1,10 +1,12 @@
 """Plans: what reaches the scan, what is shuffled, and what happens to hot keys."""
 
 import glob
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from driver_queries import bindings
 from touchline.operators import lookups, pairings, ranking, stats
 from touchline.operators.features import feature_matrix, prepare_entities
 from touchline.operators.ranking import best_first
@@ -169,6 +171,23 @@ def test_large_limits_end_in_no_single_task(spark, monkeypatch):
     assert "Window" not in _plan(top).split("Join")[0] and "hashpartitioning(g" not in _plan(top)
 
 
+def test_lines_are_summed_in_shuffled_parts(spark, tmp_path):
+    """No scan task holds a table of the orders in its part of the file, which grows with the file; rows stay the same."""
+    day = F.lit("2001-02-03").cast("timestamp")
+    spark.range(3).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(8).select(F.when(F.col("id") < 7, F.col("id")).alias("o_orderkey"), (F.col("id") % 2).alias("o_custkey"), day.alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    lines = spark.range(40).select(
+        F.when(F.col("id") % 10 < 7, F.col("id") % 10).alias("l_orderkey"), F.lit(2.0).alias("l_quantity"), F.lit("R").alias("l_returnflag"),
+        F.lit(0.09).alias("l_discount"), F.lit("F").alias("l_linestatus"), F.lit(10.5).alias("l_extendedprice"),
+    )
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    totals = bindings._order_totals(spark, str(tmp_path))
+    scan = re.search(r"Exchange hashpartitioning\(l_orderkey[^\n]*REPARTITION_BY_COL.*?FileScan parquet \[l_", _plan(totals), re.S)
+    assert scan and "Aggregate" not in scan.group()
+    found = {r["customer"]: (r["starts"], r["minutes"], r["goals_scored"], r["bonus"], float(r["value"])) for r in totals.collect()}
+    assert found == {0: (4, 32, 16, 16, 168.0), 1: (3, 24, 12, 12, 126.0)}
+
+
 def test_statistics_read_each_table_once(spark, tmp_path):
     rows = spark.range(2000).selectExpr(
         "CASE WHEN id % 7 = 0 THEN NULL ELSE concat('T', id % 90) END AS team", "CASE WHEN id % 11 = 0 THEN NULL ELSE concat('P', id % 4) END AS position",
