@@ -213,3 +213,23 @@ def test_forest_is_the_mean_of_its_trees(spark, upto):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     own = {r["id"]: r[model.PREDICTION] for r in forest.transform(vectors).collect()}
     assert walked.keys() == own.keys() and all(abs(walked[i] - own[i]) < 1e-9 for i in own) and len(set(own.values())) > 20
+
+
+def test_statistics_of_a_pass_are_bounded(spark, monkeypatch):
+    """One task for each core, whatever the files; how many passes there are changes no tree."""
+    generator = random.Random(3)
+    rows = [(i, generator.randint(45, 900), 1 + i % 9, str(generator.randint(0, 9)), str(generator.randint(0, 20) / 2)) for i in range(300)]
+    vectors = model.with_label(model.assembled(_prepared(spark, rows)))
+    seen, fit = [], model.RandomForestRegressor.fit
+
+    def fitted(forest, given):
+        seen.append((given.rdd.getNumPartitions(), forest.getMaxMemoryInMB()))
+        return fit(forest, given)
+
+    monkeypatch.setattr(model.RandomForestRegressor, "fit", fitted)
+    many = vectors.repartition(40, "id")
+    forests = [model.train(many, trees=6, depth=6, **settings) for settings in ({}, {"memory_mb": 1}, {"memory_mb": 1024})]
+    assert all(parts <= spark.sparkContext.defaultParallelism for parts, _ in seen) and seen[0][1] <= 256
+    one, two, three = ([tree.toDebugString for tree in forest.trees] for forest in forests)
+    strip = lambda texts: [text.split("\n", 1)[1] for text in texts]
+    assert strip(one) == strip(two) == strip(three)

@@ -63,13 +63,15 @@ def split_rows(
 
 
 def train(
-    df: DataFrame, trees: int = 200, depth: int = 15, leaf: int = 2, seed: int = 42, memory_mb: int = 1024
+    df: DataFrame, trees: int = 200, depth: int = 15, leaf: int = 2, seed: int = 42, memory_mb: int = 256
 ) -> RandomForestRegressionModel:
-    """A forest of the given size. ``memory_mb`` bounds the statistics that are gathered at once: more of it means fewer passes.
+    """A forest of the given size. ``memory_mb`` bounds the statistics that a task gathers at once: more of it means fewer passes.
 
-    The tree of each row is kept between the levels, and its lineage is cut in the shared folder every few levels.
+    Each task makes statistics for every node of a pass, however few rows it has, so the rows are read by one task for each
+    core. The node of each row is kept between the passes, and its lineage is cut in the shared folder every twenty passes.
     """
     shared_dir(df.sparkSession)
+    rows = df.select(VECTOR, LABEL).coalesce(df.sparkSession.sparkContext.defaultParallelism)
     forest = RandomForestRegressor(
         featuresCol=VECTOR,
         labelCol=LABEL,
@@ -81,9 +83,9 @@ def train(
         seed=seed,
         maxMemoryInMB=memory_mb,
         cacheNodeIds=True,
-        checkpointInterval=5,
+        checkpointInterval=20,
     )
-    return forest.fit(df.select(VECTOR, LABEL))
+    return forest.fit(rows)
 
 
 def score(model: RandomForestRegressionModel, df: DataFrame) -> DataFrame:
