@@ -108,7 +108,8 @@ def run(
     rows = writers.declared(keep_present(scored, [key, *SNAPSHOT_COLUMNS])).withColumn("gameweek", F.lit(period))
     path = None
     if folder is not None:
-        rows = writers.in_order(rows, best_first(model.PREDICTION, key))  # scored and sorted once for two writes
+        # Scored once, for a sort reads its rows twice; sorted once for two writes.
+        rows = writers.in_order(stage(rows, "scored"), best_first(model.PREDICTION, key))
         path = writers.export_csv(rows, folder, period)
         writers.publish_period(rows, f"{folder}/predictions", period)
         writers.stamp(rows.sparkSession, folder)
