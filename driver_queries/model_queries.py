@@ -113,8 +113,8 @@ def rf_predict_checked(spark, sf_dir):
 def rf_quality(spark, sf_dir):
     """R² on both shares: at least 0.85 with the target among the features as given, and never above that without it."""
     prepared = _prepared(spark, sf_dir)
-    _, given, _ = score_job.score_entities(prepared)
-    _, honest, _ = score_job.score_entities(prepared, exclude_features=LEAKING)
+    _, given, _ = score_job.score_entities(prepared, in_tasks=True)
+    _, honest, _ = score_job.score_entities(prepared, exclude_features=LEAKING, in_tasks=True)
     best = given.agg(F.max("r2")).scalar()
     given = given.select(F.lit("all").alias("features"), "share", (F.col("r2") <= 1).alias("at_most_one"), (F.col("r2") >= 0.85).alias("good"))
     honest = honest.select(F.lit("without target").alias("features"), "share", (F.col("r2") <= best).alias("at_most_one"), F.lit(None).cast("boolean").alias("good"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from touchline.constants import FEATURES
 from touchline.functions import numbers
+from touchline.operators import forest
 from touchline.operators.features import PREFIX, with_features
 from touchline.operators.ranking import rank_rows
 from touchline.operators.stats import r_squared
@@ -63,16 +64,21 @@ def split_rows(
 
 
 def train(
-    df: DataFrame, trees: int = 200, depth: int = 15, leaf: int = 2, seed: int = 42, memory_mb: int = 256
-) -> RandomForestRegressionModel:
+    df: DataFrame, trees: int = 200, depth: int = 15, leaf: int = 2, seed: int = 42, memory_mb: int = 256, in_tasks: bool = False
+) -> RandomForestRegressionModel | forest.Forest:
     """A forest of the given size. ``memory_mb`` bounds the statistics that a task gathers at once: more of it means fewer passes.
 
     Each task makes statistics for every node of a pass, however few rows it has, so the rows are read by one task for each
     core. The node of each row is kept between the passes, and its lineage is cut in the shared folder every twenty passes.
+
+    ``in_tasks`` grows each tree whole in a task, from draws of its own: for forests of many nodes, whose statistics would take
+    most of the time. Above ``forest.MOST_ROWS`` rows, too many for one task, the passes grow them all the same.
     """
     shared_dir(df.sparkSession)
+    if in_tasks and 0 < (count := df.count()) <= forest.MOST_ROWS:
+        return forest.grow(df, VECTOR, LABEL, PREDICTION, trees, depth, leaf, seed, count)
     rows = df.select(VECTOR, LABEL).coalesce(df.sparkSession.sparkContext.defaultParallelism)
-    forest = RandomForestRegressor(
+    regressor = RandomForestRegressor(
         featuresCol=VECTOR,
         labelCol=LABEL,
         predictionCol=PREDICTION,
@@ -85,10 +91,10 @@ def train(
         cacheNodeIds=True,
         checkpointInterval=20,
     )
-    return forest.fit(rows)
+    return regressor.fit(rows)
 
 
-def score(model: RandomForestRegressionModel, df: DataFrame) -> DataFrame:
+def score(model: RandomForestRegressionModel | forest.Forest, df: DataFrame) -> DataFrame:
     return model.transform(df).drop(VECTOR)
 
 
@@ -120,7 +126,7 @@ def walked_predictions(nodes: DataFrame, df: DataFrame, key: str, depth: int) ->
     return at.join(nodes, ["tree", "node"]).groupBy(F.col("_key").alias(key)).agg(F.avg("value").alias("walked"))
 
 
-def fit_quality(model: RandomForestRegressionModel, training: DataFrame, testing: DataFrame) -> DataFrame:
+def fit_quality(model: RandomForestRegressionModel | forest.Forest, training: DataFrame, testing: DataFrame) -> DataFrame:
     """R² on both shares, one row each."""
     def quality(name: str, df: DataFrame) -> DataFrame:
         return r_squared(model.transform(df), LABEL, PREDICTION).select(F.lit(name).alias("share"), "r2")
@@ -128,7 +134,7 @@ def fit_quality(model: RandomForestRegressionModel, training: DataFrame, testing
     return quality("train", training).unionByName(quality("test", testing))
 
 
-def importance(model: RandomForestRegressionModel, features: Sequence[str] = FEATURES, top: int = 5) -> DataFrame:
+def importance(model: RandomForestRegressionModel | forest.Forest, features: Sequence[str] = FEATURES, top: int = 5) -> DataFrame:
     """The features with the largest importance; the table has one row per feature."""
     rows = [(name, float(weight)) for name, weight in zip(features, model.featureImportances.toArray())]
     table = SparkSession.active().createDataFrame(rows, "feature string, importance double")

@@ -65,16 +65,17 @@ def score_entities(
     seed: int = 42,
     key: str = "id",
     exclude_features: Sequence[str] = (),
+    in_tasks: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Train on the active share and score every row. Returns scored rows, quality and feature importance.
 
     ``points_per_game`` is target and feature alike; name it in ``exclude_features``, with those derived from it, for
-    a model without that leak.
+    a model without that leak. Such a forest has many times the nodes, so grow it ``in_tasks``.
     """
     features = [name for name in FEATURES if name not in set(exclude_features)]
     vectors = stage(model.with_label(model.assembled(prepared, features)), "vectors")
     training, testing = model.split_rows(active_rows(vectors), key, seed=seed)
-    forest = model.train(training, trees, depth, seed=seed)
+    forest = model.train(training, trees, depth, seed=seed, in_tasks=in_tasks)
     scored = model.finish_scores(model.score(forest, vectors).drop(model.LABEL))
     return scored, model.fit_quality(forest, training, testing), model.importance(forest, features)
 
